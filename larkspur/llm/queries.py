@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import simhash
+from larkspur.llm import decontaminate, simhash
 from larkspur.llm.common import table
 
 
@@ -14,8 +14,17 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Words of every document that lie in a benchmark window, and the items they come from."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated")
+    )
+
+
 def queries():
-    return {"op8_simhash_near_dedup": op8_simhash_near_dedup}
+    return {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op8_simhash_near_dedup": op8_simhash_near_dedup}
 
 
 def oracle_sql():
