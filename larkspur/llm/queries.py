@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, simhash
+from larkspur.llm import decontaminate, media, simhash
 from larkspur.llm.common import table
 
 
@@ -23,8 +23,20 @@ def op2_benchmark_decontamination(spark, sf_dir):
     )
 
 
+def op9_media_columns(spark, sf_dir):
+    """Every document as baseline JPEG, and what its bytes give back."""
+    found = media.jpeg_features(media.as_jpeg(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "width", "height"
+    )
+
+
 def queries():
-    return {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op8_simhash_near_dedup": op8_simhash_near_dedup}
+    return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_media_columns": op9_media_columns,
+    }
 
 
 def oracle_sql():
