@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, media, simhash
+from larkspur.llm import decontaminate, media, secrets, simhash
 from larkspur.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_secret_scan(spark, sf_dir):
+    """Secrets in every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     """Words of every document that lie in a benchmark window, and the items they come from."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,6 +38,7 @@ def op9_media_columns(spark, sf_dir):
 
 def queries():
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
