@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, media, secrets, simhash
+from larkspur.llm import decontaminate, media, pii, secrets, simhash
 from larkspur.llm.common import table
 
 
@@ -36,12 +36,18 @@ def op9_media_columns(spark, sf_dir):
     )
 
 
+def op10_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
+        "op10_pii": op10_pii,
     }
 
 
