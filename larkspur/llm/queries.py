@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, media, pii, secrets, simhash
+import public_tokenizers
+
+from larkspur.llm import decontaminate, lines, media, packing, pii, secrets, simhash
 from larkspur.llm.common import table
 
 
+def op3_packing(spark, sf_dir):
+    """Every document's tokens in sequences of at most 2048."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    """Every document without its host's boilerplate lines."""
+    found = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", F.col("n_dropped").cast("long").alias("n_dropped"), "text")
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+OP6_SQL = (
+    lines.SQL.format(docs="documents")
+    + """SELECT d.doc_id, d.source, CAST(len(string_split(d.text, chr(10))) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM (
+  SELECT d.*, list_filter(string_split(d.text, chr(10)), lambda x: trim(x) = '' OR NOT coalesce(list_contains(h.bad, x), false)) AS kept
+  FROM documents d LEFT JOIN held h ON h.source IS NOT DISTINCT FROM d.source) d"""
+)
+
 
 def op1_secret_scan(spark, sf_dir):
     """Secrets in every document."""
@@ -45,6 +65,8 @@ def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_packing": op3_packing,
+        "op6_line_dedup": op6_line_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
@@ -52,4 +74,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
