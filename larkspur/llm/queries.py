@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import decontaminate, lines, media, packing, pii, secrets, simhash
+from larkspur.llm import decontaminate, language, lines, media, packing, pii, secrets, simhash, urls
 from larkspur.llm.common import table
 
 
@@ -15,6 +15,20 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_language_id(spark, sf_dir):
+    """The language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(language.learnable()))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_url_filters(spark, sf_dir):
+    """A verdict on every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark, sf_dir):
     """Every document without its host's boilerplate lines."""
     found = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
@@ -66,6 +80,8 @@ def queries():
         "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
+        "op5_url_filters": op5_url_filters,
         "op6_line_dedup": op6_line_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
