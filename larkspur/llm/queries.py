@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import decontaminate, language, lines, media, packing, pii, secrets, simhash, urls
+from larkspur.llm import decontaminate, language, lines, media, packing, pii, quality, secrets, simhash, urls
 from larkspur.llm.common import table
 
 
@@ -35,6 +35,12 @@ def op6_line_dedup(spark, sf_dir):
     return found.select("doc_id", "source", F.col("n_dropped").cast("long").alias("n_dropped"), "text")
 
 
+def op7_quality_classifier(spark, sf_dir):
+    """Perplexity of every document under a model of trusted text, and whether it is kept."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -83,6 +89,7 @@ def queries():
         "op4_language_id": op4_language_id,
         "op5_url_filters": op5_url_filters,
         "op6_line_dedup": op6_line_dedup,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
