@@ -15,7 +15,7 @@ block yields a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +29,36 @@ from larkspur.llm.components import connected_components
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit majority fingerprint of UTF-8 text; 0 where there are no words.
+def shingle_hashes(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of UTF-8 text, repeats included.
 
     A-Z are lower-cased and words are separated by ASCII white space. Texts of fewer words than a shingle are one
-    shingle. A bit is set if over half of the shingles have it.
+    shingle; texts without words have none.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     k = min(shingle_words, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     of = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    h = np.fromiter((of(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((of(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Unsigned fingerprint of 64-bit hashes: a bit is set if over half of them have it. No hashes: 0."""
+    n = len(h)
     ones = np.concatenate([np.bincount(column, minlength=256) @ _BYTE_BITS for column in h.astype("<u8").view(np.uint8).reshape(n, 8).T])
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit majority fingerprint of UTF-8 text; 0 where there are no words."""
+    return majority(shingle_hashes(text, shingle_words, seed))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -74,40 +84,50 @@ def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if (v & (1 + i % top)).bit_count() % 2) for v in range(1, top + 1)]
 
 
-def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Star edges (member, smallest member) of each group linked within the radius."""
-    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-    root = np.arange(len(values))
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Star edges (place, first place) of each group of a symmetric matrix of links."""
+    root = np.arange(len(near))
     while True:
-        lower = np.where(near, root[None, :], len(values)).min(axis=1)
+        lower = np.where(near, root[None, :], len(near)).min(axis=1)
         lower = np.minimum(lower, lower[lower])
         if (lower == root).all():
-            return [(int(values[i]), int(values[r])) for i, r in enumerate(root) if i != r]
+            return [(i, int(r)) for i, r in enumerate(root) if i != r]
         root = lower
 
 
-def near_links(fps: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect exactly what pairs within the radius connect."""
-    tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]))
-    rows = fps.select("fp", tables.alias("x")).select("fp", "x.t", "x.key")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+def bucket_links(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray], block: int, value: str = "node") -> DataFrame:
+    """Links (a, b) between nodes that share a bucket (t, key), from rows (t, key, node[, value]).
+
+    A bucket of n nodes is cut into ceil(n / block) parts, and each pair of parts is compared apart, so no task holds
+    a large bucket. `near` gives the links among an array of values as a matrix; of those a spanning forest is kept,
+    so no group is written out as all its pairs.
+    """
+    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     rows = rows.join(sizes, ["t", "key"])
-    # A bucket of n fingerprints is cut into ceil(n / block) parts; each fingerprint goes to every pair of parts that has its own.
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    parts = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     cell = rows.groupBy("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    cells = cell.agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    close = F.bit_count(F.element_at("fps", 1).bitwiseXOR(F.element_at("fps", 2))) <= radius
-    pairs = cells.where((F.size("fps") == 2) & close).select(F.element_at("fps", 1).alias("a"), F.element_at("fps", 2).alias("b"))
+    held = F.struct("node", F.col(value).alias("value")) if value != "node" else F.col("node")
+    cells = cell.agg(F.collect_list(held).alias("held")).where(F.size("held") > 1)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [e for x in b.column("fps") for e in _forest(x.values.to_numpy(zero_copy_only=False), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out = []
+            for x in b.column("held"):
+                struct = x.values
+                nodes = (struct if value == "node" else struct.field("node")).to_numpy(zero_copy_only=False)
+                values = nodes if value == "node" else struct.field("value").flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
+                out += [(int(nodes[i]), int(nodes[r])) for i, r in _forest(near(values))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return cells.select("held").mapInArrow(batches, "a long, b long").distinct()
 
-    larger = cells.where(F.size("fps") > 2).select("fps").mapInArrow(batches, "a long, b long")
-    return pairs.unionByName(larger).distinct()
+
+def near_links(fps: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect exactly what pairs within the radius connect."""
+    tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]))
+    rows = fps.select(F.col("fp").alias("node"), tables.alias("x")).select("node", "x.t", "x.key")
+    return bucket_links(rows, lambda v: np.bitwise_count(v[:, None] ^ v[None, :]) <= radius, block)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, block: int = 1024) -> DataFrame:
@@ -130,12 +150,85 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: The stage's similarity, and its min-wise signature: bands of so many rows each. At a similarity of 0.8 a pair
+#: shares a band with probability 0.998. Estimates within about one standard deviation below 0.8 count.
+SIMILARITY, BANDS, BAND_ROWS, TOLERANCE = 0.8, 21, 6, 0.03
+_MULTIPLIERS = (np.random.default_rng(1).integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """Min-wise signature (uint32) of a set of shingle hashes; all ones for none."""
+    out = np.full(len(_MULTIPLIERS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 2048):
+        part = (h[at : at + 2048, None] * _MULTIPLIERS[None, :]) >> np.uint64(32)
+        out = np.minimum(out, part.min(axis=0).astype(np.uint32))
+    return out
+
+
+def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, node, sig) for every row: the fingerprint, the signature, and its hash, which equal texts share."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fps, sigs = [], []
+            for t in b.column("text").cast(pa.binary()):
+                h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle_words, seed)
+                fps.append(_signed(majority(h)))
+                sigs.append(signature(h))
+            nodes = [_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sigs]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array([x.view(np.int32) for x in sigs], pa.list_(pa.int32()))], ["doc_id", "fp", "node", "sig"]
+            )
+
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(batches, "doc_id long, fp long, node long, sig array<int>")
+
+
+def similar_links(sigs: DataFrame, block: int = 512) -> DataFrame:
+    """Links (a, b) between distinct nodes whose signatures agree in at least SIMILARITY - TOLERANCE of their places.
+
+    Candidates share a band. Only nodes in a band's bucket with company carry their signature along.
+    """
+    band = lambda k: F.xxhash64(F.slice("sig", k * BAND_ROWS + 1, BAND_ROWS))
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), band(k).alias("key")) for k in range(BANDS)]))
+    keys = sigs.select("node", bands.alias("x")).select("node", "x.t", "x.key")
+    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
+    rows = materialize(keys.join(shared, ["t", "key"]), "bands").join(sigs.select("node", "sig"), "node")
+    return bucket_links(rows, lambda v: _agreement(v) >= SIMILARITY - TOLERANCE, block, "sig")
+
+
+def _agreement(v: np.ndarray) -> np.ndarray:
+    same = np.zeros((len(v), len(v)), np.int16)
+    for column in v.T:
+        same += column[:, None] == column[None, :]
+    return same / v.shape[1]
+
+
+def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 3) -> DataFrame:
+    """(doc_id, component_id) for every row, as near_duplicates(), with links at a shingle similarity of 0.8 or more.
+
+    A radius of 3 bits holds only pairs of higher similarity (at 0.8 about ten bits differ), and no covering family of
+    usable size reaches that far. So the covering tables' links are joined by those of a banded min-wise signature.
+    """
+    prints = materialize(with_signatures(docs, id_col, text_col, shingle_words), "signatures")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "nodes")
+    groups = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "groups")
+    heads = groups.select("fp", "head")
+    of_a, of_b = heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b"))
+    by_bits = near_links(groups, radius).join(of_a, "a").join(of_b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    same_bits = nodes.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
+    roots = connected_components(by_bits.unionByName(same_bits).unionByName(similar_links(nodes)))
+    own = materialize(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
+    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest, so that one document of each group stays.
+    """The rows of docs whose id is the smallest of its component (of similar_duplicates), so one of each group stays.
 
     Of rows alike in id and text one stays. Rows without an id stay only if their whole component has no id.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = similar_duplicates(docs, id_col, text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
     rows = docs.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(0)), "_none": F.col(id_col).isNull(), "_text": F.xxhash64(text_col), "_size": F.length(text_col)})
     rows = rows.join(kept, ["_id", "_none"], "left_semi")
