@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: The query that the driver's smoke check runs.
-FLAGSHIP = "s4_projected_scan"
+FLAGSHIP = "q8_popular_unseen"
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from larkspur.plans import data, ranking  # noqa: F401
+    from larkspur.plans import data, opsq, ranking  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
