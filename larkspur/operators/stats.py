@@ -151,9 +151,9 @@ def permutation_p(df: DataFrame, a: str, b: str, replicates: int = 500, seed: in
 
 
 def activity_drift(old: DataFrame, new: DataFrame, limit: float = 0.2) -> DataFrame:
-    """(old_mean, new_mean, change, drift, returning, brand_new) of rows a user."""
+    """(old_mean, new_mean, change, drift, returned, brand_new) of rows a user."""
     a, b = (x.groupBy("user_id").agg(F.count("*").alias(n)) for x, n in ((old, "old"), (new, "new")))
     both = a.join(b, "user_id", "full_outer")
-    row = both.agg(F.avg("old").alias("old_mean"), F.avg("new").alias("new_mean"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("returning"), F.count_if(F.col("old").isNull()).alias("brand_new"))
+    row = both.agg(F.avg("old").alias("old_mean"), F.avg("new").alias("new_mean"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("returned"), F.count_if(F.col("old").isNull()).alias("brand_new"))
     change = F.abs(F.col("new_mean") - F.col("old_mean")) / F.col("old_mean")
-    return row.select(F.round("old_mean", 6).alias("old_mean"), F.round("new_mean", 6).alias("new_mean"), F.round(change, 6).alias("change"), (change > limit).cast("int").alias("drift"), "returning", "brand_new")
+    return row.select(F.round("old_mean", 6).alias("old_mean"), F.round("new_mean", 6).alias("new_mean"), F.round(change, 6).alias("change"), (change > limit).cast("int").alias("drift"), "returned", "brand_new")

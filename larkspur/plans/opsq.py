@@ -117,7 +117,7 @@ def d12(spark, d):
     return S.spearman(x, "a", "b")
 
 
-@query("d13_activity_drift", f"WITH {V.INTER}, o AS (SELECT user_id, count(*) AS n FROM inter WHERE rid % 3 <> 0 GROUP BY user_id), w AS (SELECT user_id, count(*) AS n FROM inter WHERE rid % 3 = 0 GROUP BY user_id), m AS (SELECT avg(o.n) AS a, avg(w.n) AS b, count(*) FILTER (WHERE o.n IS NOT NULL AND w.n IS NOT NULL) AS "returning", count(*) FILTER (WHERE o.n IS NULL) AS brand_new FROM o FULL JOIN w ON o.user_id = w.user_id) SELECT round(a, 6) AS old_mean, round(b, 6) AS new_mean, round(abs(b - a) / a, 6) AS change, CAST(abs(b - a) / a > 0.2 AS INTEGER) AS drift, "returning", brand_new FROM m")
+@query("d13_activity_drift", f"WITH {V.INTER}, o AS (SELECT user_id, count(*) AS n FROM inter WHERE rid % 3 <> 0 GROUP BY user_id), w AS (SELECT user_id, count(*) AS n FROM inter WHERE rid % 3 = 0 GROUP BY user_id), m AS (SELECT avg(o.n) AS a, avg(w.n) AS b, count(*) FILTER (WHERE o.n IS NOT NULL AND w.n IS NOT NULL) AS returned, count(*) FILTER (WHERE o.n IS NULL) AS brand_new FROM o FULL JOIN w ON o.user_id = w.user_id) SELECT round(a, 6) AS old_mean, round(b, 6) AS new_mean, round(abs(b - a) / a, 6) AS change, CAST(abs(b - a) / a > 0.2 AS INTEGER) AS drift, returned, brand_new FROM m")
 def d13(spark, d):
     x = V.interactions(spark, d)
     return S.activity_drift(x.where("rid % 3 <> 0"), x.where("rid % 3 = 0"))
