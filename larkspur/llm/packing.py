@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import materialize
 
 #: White space at which the tokenizer's result never depends on both sides.
-_GAPS = re.compile(r"[ \n\t\r]+")
+_GAPS = "\n\t\r"
 #: Chunks made of plain letters and then plain marks: the tokenizer treats the two apart and lower-cases the letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,32})([.,;:!?%&*#$|\-]{0,4})")
 _CACHE_MOST = 400_000
@@ -40,47 +40,46 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as the tokenizer gives them for the whole text."""
-        split = [_GAPS.split(t) for t in texts]
+        for gap in _GAPS:
+            texts = [t.replace(gap, " ") for t in texts]
+        split = [t.split(" ") for t in texts]
         known = self.chunks
-        new = {c for s in split for c in s}.difference(known)
-        if len(known) + len(new) > _CACHE_MOST:
-            known = self.chunks = {}
-            new = {c for s in split for c in s}
-        plain, other = {}, []
+        if len(known) > _CACHE_MOST:
+            known = self.chunks = {"": b""}
+        new = set().union(*split).difference(known)
+        plain, other, match = [], [], _PLAIN.fullmatch
         for c in new:
-            if m := _PLAIN.fullmatch(c):
-                plain[c] = (m[1].lower(), m[2])
+            if m := match(c):
+                plain.append((c, m[1].lower(), m[2]))
             else:
                 other.append(c)
         for c, e in zip(other, self.of.encode_batch(other, add_special_tokens=False), strict=True):
             known[c] = np.array(e.ids, "<u4").tobytes()
-        self._learn({w for pair in plain.values() for w in pair})
-        for c, (word, marks) in plain.items():
-            known[c] = self.words[word] + self.words[marks]
+        self._learn({x[1] for x in plain}, {x[2] for x in plain})
+        words = self.words
+        for c, word, marks in plain:
+            known[c] = words[word] + words[marks] if marks else words[word]
         get = known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > _CACHE_MOST:
+    def _learn(self, letters: set[str], marks: set[str]) -> None:
+        """Ids of lower-case words of letters, many in one call (each ends with a token that ends a word), and of marks."""
+        if len(self.words) > 2 * _CACHE_MOST:
             self.words = {}
-        new = [w for w in words if w not in self.words]
-        letters = [w for w in new if w[:1].isalpha()]
-        for at in range(0, len(letters), 1000):
-            part = letters[at : at + 1000]
+        new = list(letters.difference(self.words))
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
             ids = np.array(self.of.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                for w, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                    self.words[w] = raw[4 * a : 4 * b]
-            else:
-                new += part
-        rest = [w for w in new if w not in self.words]
+                self.words.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        rest = [w for w in (*new, *marks) if w not in self.words]
         for w, e in zip(rest, self.of.encode_batch(rest, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
 
