@@ -80,7 +80,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     rows = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # Written first: its size is then known, so Spark sends it to the texts where it is small.
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
     # The share that gives twice the sample on average, then exactly the first by hash.
     share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
     some = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
