@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_requests(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """A stream of request rows from Parquet files that arrive in a folder."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
+    rows = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone; sessions run in UTC
 
 
 def rolling_health(requests: DataFrame, width: str = "1 minute", slide: str | None = None, late: str = "2 minutes") -> DataFrame:
