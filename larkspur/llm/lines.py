@@ -43,18 +43,20 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     """docs with boilerplate lines taken out of the text, and `n_dropped` (int) lines dropped.
 
     Lines end at newlines. Blank lines stay, and count for nothing. A page that repeats a line counts once for it,
-    and loses every repeat. A null text stays null; a page of boilerplate only becomes empty but stays. Repeated
+    and loses every repeat. A column n_dropped of docs is replaced. A null text stays null; a page of boilerplate only becomes empty but stays. Repeated
     rows are pages of their own. All other columns pass through; an empty table gives no rows.
     """
     found = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    rows = docs.join(found, docs[host_col].eqNullSafe(found["_host"]), "left")
-    every = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(every, lambda x: _blank(x) | ~F.array_contains("_lines", _digest(x)))
-    cleaned = rows.withColumn("_kept", F.when(F.col("_lines").isNotNull() & F.col(text_col).isNotNull(), kept))
-    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("_kept"))
-    return cleaned.withColumn("n_dropped", dropped).withColumn(text_col, text).drop("_host", "_lines", "_kept")
+    # The row travels whole, so its other columns may have any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host_col).alias("site"), F.col(text_col).alias("text"))
+    rows = rows.join(found, rows["site"].eqNullSafe(found["host"]), "left")
+    every = F.split("text", "\n", -1)
+    kept = F.filter(every, lambda x: _blank(x) | ~F.array_contains("lines", _digest(x)))
+    cleaned = rows.withColumn("kept", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), kept))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("kept"))
+    own = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_dropped"]
+    return cleaned.select(*own, dropped.alias("n_dropped"))
 
 
 #: The same rows in DuckDB SQL, over a table or query {docs}.

@@ -230,7 +230,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = similar_duplicates(docs, id_col, text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(0)), "_none": F.col(id_col).isNull(), "_text": F.xxhash64(text_col), "_size": F.length(text_col)})
+    # The row travels whole, so its other columns may have any name.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.coalesce(F.col(id_col), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_none"), F.xxhash64(text_col).alias("_text"), F.length(text_col).alias("_size"))
     rows = rows.join(kept, ["_id", "_none"], "left_semi")
     same = Window.partitionBy("_id", "_none", "_text", "_size").orderBy("_text")
-    return rows.withColumn("_rank", F.row_number().over(same)).where("_rank = 1").select(*docs.columns)
+    rows = rows.withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
