@@ -187,3 +187,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = contamination(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (own == bad["_key"]), "left_anti")
+
+
+#: The contract's rows in DuckDB SQL: every window of every document against every window of every item.
+SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS t FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM windows),
+grams AS (SELECT d.doc_id, s.k, i, array_to_string(w[i:i + s.k - 1], ' ') AS t FROM d, sizes s, unnest(range(1, len(w) - s.k + 2)) AS r(i) WHERE len(w) >= s.k),
+hits AS (SELECT DISTINCT a.doc_id, a.i, a.k, x.item_id FROM grams a JOIN windows x ON x.k = a.k AND x.t = a.t),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, k)) AS r(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""

@@ -97,4 +97,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op1_secret_scan": secrets.sql(), "op2_benchmark_decontamination": decontaminate.SQL, "op6_line_dedup": OP6_SQL}

@@ -150,3 +150,23 @@ def digest(found: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, .
         F.sha2(spelled(own), 256).alias("base_sha256"),
         spelled(F.concat(*tags.values())).alias("spans"),
     )
+
+
+def _sql_spans(rule: Rule) -> str:
+    """A DuckDB list of {start, end} of a rule's spans in `t`."""
+    regex = rule.regex.replace("'", "''")
+    size = f"length(regexp_extract(m[i], '{regex}', {rule.group}))"
+    before = "list_sum(list_transform(b[1:i], lambda x: length(x)))"
+    at = f"CAST({before} + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+    every = f"list_transform(list_filter(range(1, len(m) + 1), lambda i: {size} >= {rule.least}), lambda i: {{'s': {at}, 'e': {at} + length(m[i])}})"
+    return f"(SELECT {every} FROM (SELECT regexp_extract_all(t, '{regex}') AS m, string_split_regex(t, '{regex}') AS b))"
+
+
+def sql(base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA) -> str:
+    """DuckDB SQL for digest(scan(documents)): every rule over every text, without an index."""
+    rules = (*base, *extra)
+    found = ", ".join(f"{_sql_spans(r)} AS {r.kind}" for r in rules)
+    tag = lambda rs: " || ".join(f"list_transform({r.kind}, lambda x: {{'s': x.s, 'o': {rules.index(r)}, 't': concat('{r.kind}:', x.s, ':', x.e)}})" for r in rs)
+    spell = lambda rs: f"coalesce(array_to_string(list_transform(list_sort({tag(rs)}), lambda x: x.t), ','), '')"
+    counts = ", ".join(f"CAST(len({r.kind}) AS BIGINT) AS n_{r.kind}" for r in base)
+    return f"SELECT doc_id, {counts}, sha256({spell(base)}) AS base_sha256, {spell(rules)} AS spans FROM (SELECT doc_id, {found} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
