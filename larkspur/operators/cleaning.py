@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,16 @@ def coercion_losses(df: DataFrame, longs: list[str] = (), doubles: list[str] = (
     return each.select(F.col("x")[0].alias("column"), F.col("x")[1].cast("bigint").alias("missing"), F.col("x")[2].cast("bigint").alias("unparsable"))
 
 
+def _shaped(c: Column, fmt: str) -> Column:
+    """c as a timestamp where its digits and marks have the format's shape, so that other formats are never tried on it."""
+    shape = re.sub("[A-Za-z]", r"\\d", fmt)
+    return F.when(c.rlike(f"^{shape}$"), F.try_to_timestamp(c, F.lit(fmt)))
+
+
 def parse_dates(df: DataFrame, column: str, mode: str = "coalesce", formats=DATE_FORMATS) -> DataFrame:
     """Text to timestamps. mode 'coalesce': the first format that fits a row; 'column': one format for all rows, the
     first that parses any (other rows become null)."""
-    tried = [F.try_to_timestamp(F.col(column), F.lit(f)) for f in formats]
+    tried = [_shaped(F.col(column), f) for f in formats]
     if mode == "coalesce":
         return df.withColumn(column, F.coalesce(*tried))
     found = df.agg(*[F.count(t).alias(f"f{i}") for i, t in enumerate(tried)]).first()

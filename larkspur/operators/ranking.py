@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,46 @@ def knn(queries: DataFrame, items: DataFrame, k: int, similarity=cosine, exclude
     return out
 
 
+def knn_matrix(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True, exclude_self: bool = False, block: int = 4096) -> DataFrame:
+    """knn() by matrix products: (q, i, score, rank) with scores rounded to 9 digits, ties to the smaller i.
+
+    Queries (q, qv) are cut by hash into blocks of about `block` vectors, each sent to the items' partitions (so what is
+    broadcast is bounded); a partition gives at most its own k best of each query, and ties with the last of them.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "qv").toArrow()
+        if not rows.num_rows:
+            continue
+        ids, matrix = rows["q"].to_numpy(), _matrix(rows["qv"], cosine)
+
+        def best(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                own, i = _matrix(batch.column("iv"), cosine), batch.column("i").to_numpy(zero_copy_only=False)
+                if not len(i):
+                    continue
+                scores = np.round(matrix @ own.T, 9)
+                if exclude_self:
+                    scores[ids[:, None] == i[None, :]] = -np.inf
+                last = np.partition(scores, -min(k, len(i)), axis=1)[:, -min(k, len(i))]
+                at, j = np.nonzero((scores >= last[:, None]) & np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(i[j]), pa.array(scores[at, j])], ["q", "i", "score"])
+
+        found = items.select("i", "iv").mapInArrow(best, "q long, i long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return items.sparkSession.createDataFrame([], "q long, i long, score double, rank int")
+    return top_k(out, ["q"], "score", k, "i")
+
+
+def _matrix(column, unit: bool) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0) if unit else m
+
+
 def exclude_pairs(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(seen.select(*keys), keys, "left_anti")
 

@@ -75,7 +75,7 @@ def q1(spark, d):
 def q3(spark, d):
     v = V.vectors(spark, d)
     q = v.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
-    return _r6(R.knn(q, v.select(F.col("id").alias("i"), F.col("vec").alias("iv")), 5, lambda a, b: F.round(X.cosine(a, b), 9), exclude_self=True), "score")
+    return _r6(R.knn_matrix(q, v.select(F.col("id").alias("i"), F.col("vec").alias("iv")), 5, exclude_self=True), "score")
 
 
 @query("j14_filtered_knn", f"WITH {VEC}, s AS (SELECT a.id AS q, b.id AS i, {_COS.format('a.vec', 'b.vec')} AS score FROM vec a JOIN vec b ON a.label = b.label WHERE a.id < 20 AND b.id >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score >= 0.25")
@@ -252,7 +252,7 @@ def a33(spark, d):
 def r14(spark, d):
     v = V.vectors(spark, d)
     q, i = v.where("id < 10").select(F.col("id").alias("q"), F.col("vec").alias("qv")), v.where("id >= 10").select(F.col("id").alias("i"), F.col("vec").alias("iv"))
-    hits = R.knn(q, i, 30, lambda a, b: F.round(X.cosine(a, b), 9)).where("score >= 0.1").select("q", F.col("i").alias("product_id"), F.col("score").alias("semantic"))
+    hits = R.knn_matrix(q, i, 30).where("score >= 0.1").select("q", F.col("i").alias("product_id"), F.col("score").alias("semantic"))
     joined = hits.join(V.products(spark, d), "product_id").withColumn("popularity", F.lit(None).cast("double"))
     return _r6(R.search_score(joined).select("q", "product_id", "final_score"), "final_score")
 
@@ -313,5 +313,5 @@ def m19(spark, d):
 def q4(spark, d):
     v = V.vectors(spark, d)
     q, i = v.select(F.col("id").alias("q"), F.col("vec").alias("qv")), v.select(F.col("id").alias("i"), F.col("vec").alias("iv"))
-    top = R.knn(q, i, 50, lambda a, b: F.round(X.cosine(a, b), 9), exclude_self=True, blocks=2)
+    top = R.knn_matrix(q, i, 50, exclude_self=True, block=300)
     return top.groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
