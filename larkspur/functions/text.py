@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the review-quality adjustment.
@@ -106,3 +107,30 @@ def version_parts(c: Column) -> Column:
     return F.struct(
         F.regexp_extract(c, r"^(.*)_v\d+\.\d+$", 1).alias("model"), F.regexp_extract(c, r"_v(\d+)\.\d+$", 1).try_cast("int").alias("major"), F.regexp_extract(c, r"_v\d+\.(\d+)$", 1).try_cast("int").alias("minor")
     )
+
+
+def token_adjustment(c: Column, positive: list[str], negative: list[str], up: float = 0.03, up_cap: float = 0.10, down: float = 0.05, down_cap: float = 0.15) -> Column:
+    """Adjustment by words joined with underscores (names of pictographs): each good one adds, each bad one takes away,
+    up to a cap. A skin tone at the end of a name doesn't count."""
+    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w+(?:_\w+)+\b"), F.lit(0)), lambda t: F.regexp_replace(t, "_(light|medium_light|medium|medium_dark|dark)_skin_tone$", ""))
+    count = lambda names: F.size(F.filter(found, lambda t: t.isin(*names)))
+    return F.least(up * count(positive), F.lit(up_cap)) - F.least(down * count(negative), F.lit(down_cap))
+
+
+def score_texts(df: DataFrame, text: str, model, name: str = "score") -> DataFrame:
+    """df with a score by a plain function from a list of texts to numbers, called with whole Arrow batches."""
+    @F.pandas_udf("double")
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([float(x) for x in model(batch.fillna("").tolist())])
+
+    return df.withColumn(name, run(text))
+
+
+def hashed_vector(df: DataFrame, text: str, size: int = 256, name: str = "vec") -> DataFrame:
+    """df with unit vectors of hashed words: an encoder that needs no model."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = df.withColumn("_w", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != ""))
+    out = Normalizer(inputCol="_tf", outputCol="_n").transform(HashingTF(numFeatures=size, inputCol="_w", outputCol="_tf").transform(words))
+    return out.withColumn(name, vector_to_array("_n")).drop("_w", "_tf", "_n")

@@ -114,8 +114,9 @@ def learning_rate(kind: str, base: float, step: int, steps: int, warm: int = 0)
     return base
 
 
-def fit_bpr(triplets: DataFrame, n_users: int, n_items: int, rank: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 0.01, seed: int = 42, schedule: str = "constant", batch: int = 512) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """BPR factors by SGD in each partition, averaged after each epoch, and the mean loss by epoch.
+def fit_bpr(triplets: DataFrame, n_users: int, n_items: int, rank: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 0.01, seed: int = 42, schedule: str = "constant", batch: int = 512, optimizer: str = "sgd", weight: str | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """BPR factors by SGD (or AdaGrad, restarted each epoch) in each partition, averaged after each epoch, and the mean
+    loss by epoch. `weight` names a column of triplets that scales each one's gradient.
 
     The driver and each task hold the two factor tables, (users + items) * rank numbers, which is the bound on this
     trainer's model; the triplets stay partitioned.
@@ -130,6 +131,14 @@ def fit_bpr(triplets: DataFrame, n_users: int, n_items: int, rank: int = 16, epo
 
         def epoch_step(it: Iterator[pd.DataFrame], shared=shared, lr=lr) -> Iterator[pd.DataFrame]:
             a, b = (x.copy() for x in shared.value)
+            squares = [np.full_like(a, 1e-8), np.full_like(b, 1e-8)]
+
+            def step(table: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+                if optimizer == "adagrad":
+                    np.add.at(seen, at, grad * grad)
+                    grad = grad / np.sqrt(seen[at])
+                np.add.at(table, at, lr * grad)
+
             loss, n = 0.0, 0
             for p in it:
                 for at in range(0, len(p), batch):
@@ -137,11 +146,13 @@ def fit_bpr(triplets: DataFrame, n_users: int, n_items: int, rank: int = 16, epo
                     du, di, dj = a[ui], b[ii], b[ji]
                     x = (du * (di - dj)).sum(axis=1)
                     g = 1 / (1 + np.exp(x))
+                    if weight:
+                        g = g * p[weight].to_numpy()[at : at + batch]
                     loss += float(np.logaddexp(0, -x).sum())
                     n += len(ui)
-                    np.add.at(a, ui, lr * (g[:, None] * (di - dj) - reg * du))
-                    np.add.at(b, ii, lr * (g[:, None] * du - reg * di))
-                    np.add.at(b, ji, lr * (-g[:, None] * du - reg * dj))
+                    step(a, squares[0], ui, g[:, None] * (di - dj) - reg * du)
+                    step(b, squares[1], ii, g[:, None] * du - reg * di)
+                    step(b, squares[1], ji, -g[:, None] * du - reg * dj)
             if n:
                 yield pd.DataFrame({"u": [a.ravel() * n], "v": [b.ravel() * n], "loss": [loss], "n": [n]})
 
@@ -165,3 +176,24 @@ def project(df: DataFrame, vec: str, k: int) -> DataFrame:
     ready = df.withColumn("_v", array_to_vector(vec))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(ready)
     return model.transform(ready).withColumn("factors", vector_to_array("_p")).drop("_v", "_p")
+
+
+def initial_factors(ids: DataFrame, rank: int, scale: float = 0.01, seed: int = 0) -> DataFrame:
+    """(id, features): normal draws by Box and Muller from hashes of the id, so they never change."""
+    draw = lambda i, k: F.pmod(F.xxhash64("id", i, F.lit(k), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    normal = lambda i: scale * F.sqrt(-2 * F.log(draw(i, 0) + 1e-12)) * F.cos(2 * np.pi * draw(i, 1))
+    return ids.select("id", F.transform(F.sequence(F.lit(1), F.lit(rank)), normal).alias("features"))
+
+
+def mixed_negatives(pairs: DataFrame, n_items: int, pools: dict[str, DataFrame], shares: dict[str, float], progress: float, seed: int = 0) -> DataFrame:
+    """(u_idx, i_idx, j_idx, strategy): each pair's strategy by training progress, then a negative from that strategy's pool
+    (u_idx, j_idx), or a uniform one where the pool has none for the user."""
+    chosen = pairs.select("u_idx", "i_idx").withColumn("strategy", strategy(progress, shares, "u_idx", "i_idx", seed=seed))
+    uniform = sample_negatives(pairs, n_items, 1, seed=seed)
+    out = chosen.join(uniform, ["u_idx", "i_idx"], "left").withColumn("best", F.lit(None).cast("int"))
+    for name, pool in pools.items():
+        w = Window.partitionBy("u_idx", "i_idx").orderBy("h", "p_idx")
+        mine = chosen.where(F.col("strategy") == name).join(pool.select("u_idx", F.col("j_idx").alias("p_idx")).distinct(), "u_idx")
+        mine = mine.withColumn("h", uniform_draw("u_idx", "i_idx", "p_idx", seed=seed)).withColumn("k", F.row_number().over(w)).where("k = 1")
+        out = out.join(mine.select("u_idx", "i_idx", "p_idx"), ["u_idx", "i_idx"], "left").withColumn("best", F.coalesce("best", "p_idx")).drop("p_idx")
+    return out.select("u_idx", "i_idx", F.coalesce("best", "j_idx").alias("j_idx"), "strategy").where("j_idx is not null")

@@ -157,3 +157,18 @@ def activity_drift(old: DataFrame, new: DataFrame, limit: float = 0.2) -> DataFr
     row = both.agg(F.avg("old").alias("old_mean"), F.avg("new").alias("new_mean"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("returned"), F.count_if(F.col("old").isNull()).alias("brand_new"))
     change = F.abs(F.col("new_mean") - F.col("old_mean")) / F.col("old_mean")
     return row.select(F.round("old_mean", 6).alias("old_mean"), F.round("new_mean", 6).alias("new_mean"), F.round(change, 6).alias("change"), (change > limit).cast("int").alias("drift"), "returned", "brand_new")
+
+
+def normality(df: DataFrame, value: str) -> DataFrame:
+    """(n, skew, excess_kurtosis, jarque_bera) from population moments; a substitute for order-statistic tests, which need
+    a global sort."""
+    r = df.agg(F.count(value).alias("n"), F.skewness(value).alias("s"), F.kurtosis(value).alias("k"))
+    jb = F.col("n") / 6 * (F.col("s") ** 2 + F.col("k") ** 2 / 4)
+    return r.select("n", F.round("s", 6).alias("skew"), F.round("k", 6).alias("excess_kurtosis"), F.round(jb, 5).alias("jarque_bera"))
+
+
+def compare_models(df: DataFrame, model: str, a: str, b: str) -> DataFrame:
+    """(model, n, t, d) of paired differences a - b for each model; few rows, ready for corrected()."""
+    d = F.col(a) - F.col(b)
+    r = df.groupBy(model).agg(F.count(d).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
+    return r.select(model, "n", F.round(F.col("m") / (F.col("s") / F.sqrt("n")), 6).alias("t"), F.round(F.col("m") / F.col("s"), 6).alias("d"))

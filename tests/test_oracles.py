@@ -1,6 +1,7 @@
 """Every core query that SQL can express agrees with DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from larkspur.plans import registry
@@ -18,7 +19,7 @@ def duck(sf_dir):
 
 def _rows(df):
     def plain(v):
-        return None if v is None or v != v else str(v)[:19] if hasattr(v, "year") else v
+        return None if pd.isna(v) else str(v)[:19] if hasattr(v, "year") else v
 
     return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 
