@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.ordered import running_totals
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz's method)."""
@@ -57,16 +59,11 @@ def paired_t(df: DataFrame, a: str, b: str, alternative: str = "two-sided") -> d
     return {"n": n, "mean": mean, "t": t, "p": {"two-sided": 2 * min(upper, 1 - upper), "greater": upper, "less": 1 - upper}[alternative]}
 
 
-def average_ranks(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    """df with avg_rank: ties share their mean rank.
-
-    Ranks come from counts of each distinct value, so only distinct values meet in the ordered window.
-    """
-    by = by or []
-    counts = df.withColumn("_v", value).groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("avg_rank", before + (F.col("_n") + 1) / 2).drop("_n")
-    return df.withColumn("_v", value).join(ranks, [*by, "_v"]).drop("_v")
+def average_ranks(df: DataFrame, value: Column) -> DataFrame:
+    """df with avg_rank: ties share their mean rank. Ranks come from running counts of distinct values."""
+    counts = df.withColumn("_v", value).groupBy("_v").agg(F.count("*").alias("_n"))
+    ranks = running_totals(counts, "_v", ["_n"]).select("_v", (F.col("run__n") - F.col("_n") + (F.col("_n") + 1) / 2).alias("avg_rank"))
+    return df.withColumn("_v", value).join(ranks, "_v").drop("_v")
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,9 +103,8 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """(n_a, n_b, d): the largest distance of two empirical distributions, over counts of distinct values."""
     both = a.select(F.col(value).alias("x"), F.lit(1).alias("in_a")).unionByName(b.select(F.col(value).alias("x"), F.lit(0).alias("in_a"))).where("x is not null")
     steps = both.groupBy("x").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"ra": F.sum("a").over(w), "rb": F.sum("b").over(w)}).crossJoin(steps.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")))
-    return run.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.round(F.max(F.abs(F.col("ra") / F.col("n_a") - F.col("rb") / F.col("n_b"))), 6).alias("d"))
+    run = running_totals(steps, "x", ["a", "b"]).crossJoin(steps.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")))
+    return run.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.round(F.max(F.abs(F.col("run_a") / F.col("n_a") - F.col("run_b") / F.col("n_b"))), 6).alias("d"))
 
 
 def ks_p(d: float, n: int, m: int) -> float:

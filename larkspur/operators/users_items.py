@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.ordered import running_totals
+
 
 def user_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id").agg(
@@ -32,21 +34,10 @@ def drop_rare_items(df: DataFrame, least: int = 5) -> DataFrame:
     return df.join(rare, "product_id", "left_anti")
 
 
-def dense_index(df: DataFrame, key: str, name: str, buckets: int = 64) -> DataFrame:
-    """(key, name): 0, 1, ... in key order over distinct numeric keys.
-
-    Keys are cut into ranges at approximate quantiles (a few numbers on the driver) and numbered within each; a
-    range's offset is the number of keys before it. So no single task sorts all keys.
-    """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    bounds = sorted(set(keys.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.002)))
-    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    keys = keys.withColumn("_b", F.size(F.filter(cuts, lambda c: c < F.col(key))))
-    local = keys.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1)
-    sizes = keys.groupBy("_b").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # At most `buckets` rows.
-    return local.join(F.broadcast(sizes.select("_b", before.alias("_before"))), "_b").select(key, (F.col("_n") + F.col("_before")).cast("int").alias(name))
+def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): 0, 1, ... in key order over distinct numeric keys; nulls have none. No task sees every key."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("one", F.lit(1))
+    return running_totals(keys, key, ["one"]).select(key, (F.col("run_one") - 1).cast("int").alias(name))
 
 
 def index_violations(mapping: DataFrame, idx: str) -> DataFrame:
