@@ -2,6 +2,7 @@
 rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -108,6 +109,32 @@ def test_pii_patterns_discover(spark):
     assert got[100] == "context_email:18:32" and got[101] == ""
 
 
+def test_pii_scores(spark):
+    """Two rounds of scoring against a plain version over dictionaries."""
+    r = random.Random(3)
+    mentions = []
+    for _ in range(400):
+        v = f"v{r.randint(0, 60)}"
+        mentions.append((pii.KINDS[int(v[1:]) % 4] if int(v[1:]) % 3 else None, v, f"p{r.randint(0, 12)}" if r.random() < 0.95 else None))
+    edges = {(p, v): [0.0] * 4 for _, v, p in mentions if p}
+    for k, v, p in mentions:
+        if p and k:
+            edges[p, v][pii.KINDS.index(k)] = 1.0
+    seed = {v: [max(s[i] for (_, w), s in edges.items() if w == v) for i in range(4)] for _, v in edges}
+    belief, conf = seed, {}
+    for left in (2, 1, 0):
+        for p in {p for p, _ in edges}:
+            mine = [v for q, v in edges if q == p]
+            conf[p] = [(sum(belief[v][i] for v in mine) / (len(mine) + 1), sum(belief[v][i] for v in mine)) for i in range(4)]
+        if left:
+            belief = {v: [max(seed[v][i], 1 - math.prod(1 - min(conf[p][i][0], 0.99) for p, w in edges if w == v)) for i in range(4)] for v in seed}
+    got = pii.score_patterns(spark.createDataFrame(mentions, "kind string, value string, pattern string")).collect()
+    assert {x.pattern for x in got} == set(conf)
+    for x in got:
+        assert [x[f"c_{k}"] for k in pii.KINDS] == pytest.approx([c for c, _ in conf[x.pattern]])
+        assert [x[f"n_{k}"] for k in pii.KINDS] == pytest.approx([n for _, n in conf[x.pattern]])
+
+
 # -- 2
 
 
