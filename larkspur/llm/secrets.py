@@ -8,7 +8,6 @@ every document. All of the data work is DataFrame expressions; only the rules ar
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
