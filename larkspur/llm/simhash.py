@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialize
@@ -150,9 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The stage's similarity, and its min-wise signature: bands of so many rows each. At a similarity of 0.8 a pair
-#: shares a band with probability 0.998. Estimates within about one standard deviation below 0.8 count.
-SIMILARITY, BANDS, BAND_ROWS, TOLERANCE = 0.8, 21, 6, 0.03
+#: The stage's similarity, and its min-wise signature: bands of so many rows each. Signatures only find candidates: at a
+#: similarity of 0.8 a pair shares a band with probability 0.9999, and its estimate then falls below LEAST_ESTIMATE
+#: (over four standard deviations) in one of some 30,000 cases.
+SIMILARITY, BANDS, BAND_ROWS, LEAST_ESTIMATE = 0.8, 25, 5, 0.65
 _MULTIPLIERS = (np.random.default_rng(1).integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -165,27 +166,37 @@ def signature(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_set(text: bytes | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct shingle hashes of UTF-8 text."""
+    return np.unique(shingle_hashes(text, shingle_words, seed))
+
+
 def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, node, sig) for every row: the fingerprint, the signature, and its hash, which equal texts share."""
+    """(doc_id, copy, fp, node, sig) for every row: a hash of the text, the fingerprint, a hash of the set of shingles,
+    and the signature. Texts of the same shingles share a node."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps, sigs = [], []
+            fps, nodes, sigs = [], [], []
             for t in b.column("text").cast(pa.binary()):
                 h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle_words, seed)
                 fps.append(_signed(majority(h)))
+                h = np.unique(h)
+                nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes())))
                 sigs.append(signature(h))
-            nodes = [_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sigs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array([x.view(np.int32) for x in sigs], pa.list_(pa.int32()))], ["doc_id", "fp", "node", "sig"]
-            )
+            columns = [b.column("doc_id"), b.column("copy"), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array([x.view(np.int32) for x in sigs], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "fp", "node", "sig"])
+
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("copy", _copy("text"))
+    return kept.mapInArrow(batches, "doc_id long, copy long, fp long, node long, sig array<int>")
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(batches, "doc_id long, fp long, node long, sig array<int>")
+
+def _copy(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def similar_links(sigs: DataFrame, block: int = 512) -> DataFrame:
-    """Links (a, b) between distinct nodes whose signatures agree in at least SIMILARITY - TOLERANCE of their places.
+    """Candidate links (a, b) between distinct nodes whose signatures agree in at least LEAST_ESTIMATE of their places.
 
     Candidates share a band. Only nodes in a band's bucket with company carry their signature along.
     """
@@ -194,7 +205,7 @@ def similar_links(sigs: DataFrame, block: int = 512) -> DataFrame:
     keys = sigs.select("node", bands.alias("x")).select("node", "x.t", "x.key")
     shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
     rows = materialize(keys.join(shared, ["t", "key"]), "bands").join(sigs.select("node", "sig"), "node")
-    return bucket_links(rows, lambda v: _agreement(v) >= SIMILARITY - TOLERANCE, block, "sig")
+    return bucket_links(rows, lambda v: _agreement(v) >= LEAST_ESTIMATE, block, "sig")
 
 
 def _agreement(v: np.ndarray) -> np.ndarray:
@@ -204,20 +215,95 @@ def _agreement(v: np.ndarray) -> np.ndarray:
     return same / v.shape[1]
 
 
+def _alike(sets: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets have an exact Jaccard similarity of SIMILARITY or more, as a symmetric matrix."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[place] > 1  # what only one set holds is in no intersection
+    owner, place = owner[common], (np.cumsum(times > 1) - 1)[place[common]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both, width = np.zeros((n, n), np.float32), 4096
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        lo, hi = np.searchsorted(place, [at, at + width])
+        part = np.zeros((n, int(place[hi - 1]) - at + 1), np.float32)
+        part[owner[lo:hi], place[lo:hi] - at] = 1
+        both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both.astype(np.float64)
+    near = both >= SIMILARITY * union - 1e-9
+    np.fill_diagonal(near, True)
+    return near
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, text_col: str = "text", shingle_words: int = 5, seed: int = 42, block: int = 256) -> DataFrame:
+    """Links (a, b) that connect exactly what pairs of an exact shingle similarity of SIMILARITY connect, within the
+    groups (node, root) that candidate links made.
+
+    All pairs of a group are compared on their shingle hashes, whatever their estimates. Each node's text goes to its
+    group once; groups over `block` nodes are cut into parts, and pairs of parts are compared apart, as in bucket_links().
+    """
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            held = [shingle_set(t.as_buffer().to_pybytes(), shingle_words, seed).view(np.int64) for t in b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(held, pa.list_(pa.int64()))], ["node", "root", "shingles"])
+
+    texts = docs.select(_copy(text_col).alias("copy"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).groupBy("copy").agg(F.first("text").alias("text"))
+    found = nodes.select("node", "copy").join(roots, "node").join(texts, "copy").select("node", "root", "text")
+    members = materialize(found.mapInArrow(sets, "node long, root long, shingles array<long>"), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / block).cast("int")
+    rows = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+
+    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell; a cell may go on in the next batch."""
+        cell, nodes_, held = None, [], []
+        for b in it:
+            out = []
+            keys = np.stack([b.column(c).to_numpy() for c in ("root", "i", "j")], axis=1)
+            values = b.column("shingles")
+            flat, ends = values.values.to_numpy(), values.offsets.to_numpy()
+            own = b.column("node").to_numpy()
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if (key := tuple(keys[lo].tolist())) != cell:
+                    out += linked(nodes_, held)
+                    cell, nodes_, held = key, [], []
+                nodes_ += own[lo:hi].tolist()
+                held += [flat[ends[k] : ends[k + 1]].copy() for k in range(lo, hi)]
+            yield edges(out)
+        yield edges(linked(nodes_, held))
+
+    def linked(nodes_: list[int], held: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(nodes_[i], nodes_[r]) for i, r in _forest(_alike(held))] if len(held) > 1 else []
+
+    def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(cells, "a long, b long").distinct()
+
+
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) for every row, as near_duplicates(), with links at a shingle similarity of 0.8 or more.
 
     A radius of 3 bits holds only pairs of higher similarity (at 0.8 about ten bits differ), and no covering family of
-    usable size reaches that far. So the covering tables' links are joined by those of a banded min-wise signature.
+    usable size reaches that far. So candidates are the covering tables' links and those of a banded min-wise
+    signature; the pairs of a group of candidates link if their exact similarity is 0.8 or more.
     """
     prints = materialize(with_signatures(docs, id_col, text_col, shingle_words), "signatures")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "nodes")
     groups = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "groups")
     heads = groups.select("fp", "head")
     of_a, of_b = heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b"))
     by_bits = near_links(groups, radius).join(of_a, "a").join(of_b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     same_bits = nodes.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
-    roots = connected_components(by_bits.unionByName(same_bits).unionByName(similar_links(nodes)))
+    candidates = connected_components(by_bits.unionByName(same_bits).unionByName(similar_links(nodes)))
+    roots = connected_components(verified_links(docs, nodes, candidates, text_col, shingle_words))
     own = materialize(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

@@ -388,6 +388,43 @@ def test_keep_one(spark, hard, empty):
     assert simhash.keep_one(empty).isEmpty()
 
 
+def test_similar_pairs_are_exact(spark):
+    r, rows, want = random.Random(8), [], {}
+    text = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    for k in range(240):  # pairs of 200 words; the tail of one is new, so the similarity falls by the words replaced
+        base = text(200)
+        other = base[: 200 - (x := 17 + k % 16)] + text(x)
+        similar = (196 - x) / (196 + x)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k if similar >= 0.8 else 2 * k + 1
+    chain = text(300)
+    for i in range(8):  # neighbours at 0.88, ends at 0.38: linked through what lies between
+        rows.append((1000 + i, " ".join(chain[10 * i : 10 * i + 160])))
+        want[1000 + i] = 1000
+    got = simhash.similar_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == want
+    assert sum(a != b for a, b in want.items()) == 75 + 7  # of the 240 pairs, those with up to 21 new words
+
+
+def test_exact_similarity_in_parts(spark):
+    r = random.Random(9)
+    pool = [r.getrandbits(63) for _ in range(60)]
+    sets = [np.array(sorted({*r.sample(pool, r.randint(40, 60))}), np.int64) for _ in range(30)] + [np.empty(0, np.int64)]
+    near = simhash._alike(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len({*a.tolist()} & {*b.tolist()})
+            assert near[i, j] == (10 * both >= 8 * (len(a) + len(b) - both)), (i, j)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words[: 100 + 2 * k]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.with_signatures(docs)
+    roots = nodes.select("node", F.lit(1).cast("long").alias("root"))
+    for block in (4, 256):  # many cells, and one
+        links = simhash.verified_links(docs, nodes, roots, block=block)
+        assert components.connected_components(links).groupBy("root").count().first()["count"] == 40
+
+
 # -- 9
 
 
