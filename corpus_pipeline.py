@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's boilerplate lines out of its texts; every document stays, with its new length."""
-    return lines.drop_boilerplate(docs.select(*COLUMNS)).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS BIGINT) AS n_chars")
+    """Take each source's boilerplate lines out of its texts; every document stays, with its new length.
+    Copies count as one page, as near_dedup has yet to drop them: else a large group's lines all go, from the kept copy too."""
+    return lines.drop_boilerplate(docs.select(*COLUMNS), copies=False).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS BIGINT) AS n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

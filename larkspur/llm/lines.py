@@ -28,25 +28,28 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): for each host with boilerplate, the SHA-256 digests of those lines. A null host is a host of its own."""
-    pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """(host, lines): for each host with boilerplate, the SHA-256 digests of those lines. A null host is a host of its own.
+    Without `copies`, a host's pages of the same text are one page."""
+    pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("page", F.xxhash64("text"))
+    number = F.count("*") if copies else F.count_distinct("page")
     lines = F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: ~_blank(x)))
-    counts = pages.select("host", F.explode(lines).alias("line")).groupBy("host", _digest(F.col("line")).alias("digest")).agg(F.count("*").alias("n"))
+    counts = pages.select("host", "page", F.explode(lines).alias("line")).groupBy("host", _digest(F.col("line")).alias("digest")).agg(number.alias("n"))
     often = materialize(counts.where(F.col("n") >= min_pages), "lines")
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = pages.groupBy("host").agg(number.alias("pages"))
     held = often.join(totals, often["host"].eqNullSafe(totals["host"])).where(F.col("n") > ratio * F.col("pages"))
     return held.groupBy(often["host"]).agg(F.collect_list("digest").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and `n_dropped` (int) lines dropped.
 
     Lines end at newlines. Blank lines stay, and count for nothing. A page that repeats a line counts once for it,
     and loses every repeat. A column n_dropped of docs is replaced. A null text stays null; a page of boilerplate only becomes empty but stays. Repeated
-    rows are pages of their own. All other columns pass through; an empty table gives no rows.
+    rows are pages of their own, unless `copies` is false: then a large group of copies doesn't make its lines
+    boilerplate. All other columns pass through; an empty table gives no rows.
     """
-    found = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages, copies), "boilerplate")
     # The row travels whole, so its other columns may have any name.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host_col).alias("site"), F.col(text_col).alias("text"))
     rows = rows.join(found, rows["site"].eqNullSafe(found["host"]), "left")

@@ -27,6 +27,17 @@ def test_pipeline_empty(spark, sf_dir):
             break
 
 
+def test_copies_keep_their_text(spark, sf_dir):
+    text = "\n".join(f"line {i} of a text that has many copies" for i in range(9))
+    rows = [(i, f"{text}\nMENU" if i < 40 else f"page {i} says {i * i}\nMENU", "en", "hot", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.line_dedup(spark, docs, sf_dir)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert len(got) == 60 and all(got[i] == text for i in range(40)) and got[59] == "page 59 says 3481"
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, out, sf_dir).collect()}
+    assert kept[0] == text and not {*range(1, 40)} & {*kept}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_every_query_runs(spark, sf_dir, name):
     table = "pages" if name.startswith("op5") else "documents"
