@@ -58,7 +58,8 @@ def uniform_draw(*keys: Column | str, seed: int = 0) -> Column:
 
 def sample_negatives(pairs: DataFrame, n_items: int, per_pair: int = 4, draws: int = 8, seed: int = 0, hard: DataFrame | None = None, hard_share: float = 0.3) -> DataFrame:
     """(u_idx, i_idx, j_idx): for each positive pair, items drawn by hash that the user has no positive with; a share of
-    them from `hard` (u_idx, j_idx) where the user has any. More draws than wanted are made and the first unseen stay."""
+    them from `hard` (u_idx, j_idx) where the user has any. More draws than wanted are made and the first unseen stay;
+    pairs that these leave short draw from the list of all items that their user has no positive with."""
     tries = pairs.select("u_idx", "i_idx").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(per_pair * draws - 1))))
     tries = tries.withColumn("j_idx", F.floor(uniform_draw("u_idx", "i_idx", "t", seed=seed) * n_items).cast("int"))
     free = tries.join(pairs.select("u_idx", F.col("i_idx").alias("j_idx")).distinct(), ["u_idx", "j_idx"], "left_anti").withColumn("first", F.lit(1))
@@ -68,6 +69,14 @@ def sample_negatives(pairs: DataFrame, n_items: int, per_pair: int = 4, draws: i
         mine = mine.withColumn("t", F.row_number().over(w) - 1).where(F.col("t") < max(1, round(hard_share * per_pair)))
         free = free.unionByName(mine.select("u_idx", "j_idx", "i_idx", "t", F.lit(0).alias("first")))
     first = Window.partitionBy("u_idx", "i_idx").orderBy("first", "t")
+    most = free.groupBy("u_idx", "i_idx").agg(F.count("*").alias("had"))
+    short = pairs.select("u_idx", "i_idx").distinct().join(most, ["u_idx", "i_idx"], "left").where(F.coalesce("had", F.lit(0)) < per_pair).select("u_idx", "i_idx")
+    # Of a user's unseen items, draws fall on equal places of the list, so no pair meets them all.
+    seen = pairs.select("u_idx", "i_idx").distinct().join(short.select("u_idx").distinct(), "u_idx", "left_semi").groupBy("u_idx").agg(F.collect_set("i_idx").alias("seen"))
+    unseen = seen.select("u_idx", F.array_except(F.sequence(F.lit(0), F.lit(n_items - 1)), "seen").alias("unseen")).where(F.size("unseen") > 0)
+    more = short.join(unseen, "u_idx").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(per_pair - 1))))
+    at = F.floor(uniform_draw("u_idx", "i_idx", "t", seed=seed + 2) * F.size("unseen")).cast("int")
+    free = free.unionByName(more.select("u_idx", F.get("unseen", at).cast("int").alias("j_idx"), "i_idx", "t", F.lit(2).alias("first")))
     return free.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_pair).select("u_idx", "i_idx", "j_idx")
 
 

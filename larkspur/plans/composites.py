@@ -15,6 +15,7 @@ from larkspur.operators import stats as S
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, matrix
+from larkspur.plans.models import item_count
 from larkspur.plans.opsq import PAIRS, pairs
 from larkspur.plans.ranking import _FINAL, _HITS, _SIGNALS, TRUTH, VEC, items, recs, signals, truth
 from larkspur.plans.registry import query
@@ -207,7 +208,7 @@ def l11(spark, d):
     m = matrix(spark, d)
     pos = m.where("is_positive = 1").select("u_idx", "i_idx")
     hard = m.where("rating <= 2").select("u_idx", F.col("i_idx").alias("j_idx"))
-    return L.mixed_negatives(pos, 2000, {"hard": hard}, {"hard": 0.5}, 0.6)
+    return L.mixed_negatives(pos, item_count(m), {"hard": hard}, {"hard": 0.5}, 0.6)
 
 
 @query("l12_initial_factors")

@@ -12,6 +12,7 @@ from larkspur.operators import ranking as R
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, _POP, _TRAIN, _split_sql, matrix
+from larkspur.plans.models import item_count
 from larkspur.plans.opsq import MODELS, models
 from larkspur.plans.ranking import TOP, TRUTH, VEC, items, recs, truth
 from larkspur.plans.registry import query
@@ -188,8 +189,9 @@ def u4(spark, d):
 
 @query("u5_triplet_violations", "SELECT CAST(0 AS BIGINT) AS violations")
 def u5(spark, d):
-    m = matrix(spark, d).where("is_positive = 1").select("u_idx", "i_idx")
-    neg = L.sample_negatives(m, 2000, per_pair=1)
+    every = matrix(spark, d)
+    m = every.where("is_positive = 1").select("u_idx", "i_idx")
+    neg = L.sample_negatives(m, item_count(every), per_pair=1)
     return neg.join(m.select("u_idx", F.col("i_idx").alias("j_idx")), ["u_idx", "j_idx"], "left_semi").agg(F.count("*").alias("violations"))
 
 

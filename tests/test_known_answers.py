@@ -14,6 +14,8 @@ from larkspur.operators import models as L
 from larkspur.operators import ranking as R
 from larkspur.operators import stats as S
 from larkspur.operators import users_items as U
+from larkspur.plans import registry
+from larkspur.plans.data import matrix
 
 
 def rows(df):
@@ -118,6 +120,16 @@ def test_samplers_and_bpr(spark):
     assert np.isfinite(v).all()
 
 
+def test_negatives_cover_every_item(spark, sf_dir):
+    heavy = spark.createDataFrame([(0, i) for i in range(2000) if i not in (7, 1900)] + [(1, i) for i in range(2000)], "u_idx int, i_idx int")
+    neg = L.sample_negatives(heavy, 2000, per_pair=2).groupBy("u_idx").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("j_idx")).alias("items")).collect()
+    assert [tuple(r) for r in neg] == [(0, 2 * 1998, [7, 1900])]  # user 1 has no item left
+    top = matrix(spark, sf_dir).agg(F.max("i_idx")).first()[0]
+    for name in ("l9_negative_samples", "l11_mixed_negatives"):
+        drawn = registry.queries()[name](spark, sf_dir).agg(F.max("j_idx")).first()[0]
+        assert 0.9 * top < drawn <= top
+
+
 def test_als_beats_random(spark):
     pairs = spark.createDataFrame([(u, i, 1.0) for u in range(40) for i in range(30) if i % 3 == u % 3 and (u + i) % 5], "u_idx int, i_idx int, value double")
     model = L.fit_als(pairs, rank=8, maxIter=8, alpha=10.0)
