@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,22 @@ from larkspur.session import table  # noqa: F401  (used by the query modules)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, else what setCheckpointDir() was given.
+
+    Where neither is set, a local session gets a new temporary folder, kept as its checkpoint folder. On a cluster that
+    is an error: a folder of one machine would lose rows.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
