@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,27 +58,65 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def spans(text: Column, regex: str) -> Column:
+SPAN = "struct<start:int,end:int,value:string>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative join over an array of ints: sums, maxima.
+
+    Appending copies an array, so it is done in blocks of about the square root of the size: each block has running
+    results of its own, and those of the blocks' last ones are joined on. Time grows with the power 1.5 of the size.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("last"), none.alias("out"))
+
+        def step(acc, x):
+            now = F.when(acc["last"].isNull(), x).otherwise(join(acc["last"], x)).cast("int")
+            return F.struct(now.alias("last"), F.array_append(acc["out"], now).alias("out"))
+
+        return F.aggregate(block, start, step, lambda acc: acc["out"])
+
+    def blocks(v: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / n).cast("int") - 1), lambda k: within(F.slice(v, k * n + 1, n))))
+
+    def joined(inner: Column) -> Column:
+        # What each block is joined to: the running result of all blocks before it, none for the first.
+        before = let(within(F.transform(inner, lambda x: F.element_at(x, -1))), lambda t: F.concat(F.array(F.lit(None).cast("int")), F.slice(t, 1, F.size(t) - 1)))
+        return F.flatten(F.zip_with(inner, before, lambda x, o: F.when(o.isNull(), x).otherwise(F.transform(x, lambda v: join(o, v).cast("int")))))
+
+    return F.when(F.size(values) == 0, none).otherwise(let(values, lambda v: let(blocks(v), joined)))
+
+
+def spans(text: Column, regex: str, context: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches of a Java regex that never matches the empty string, as
     array<struct<start, end, value>>. Offsets are code points; end is exclusive.
 
     What lies between the matches (split) and the matches themselves alternate, so their lengths add up to offsets.
+    With `context`, a field `pattern` more: its result for the text before a match, back to the end of the match before
+    the one before. All such texts together are at most twice the text.
     """
-    lit = F.lit(regex)
-    between, found = F.split(text, regex, -1), F.regexp_extract_all(text, lit, F.lit(0))
-    parts = F.arrays_zip(between.alias("b"), found.alias("m"))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc, x):
-        at = acc["at"] + F.length(x["b"])
-        end = at + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(at.alias("start"), end.alias("end"), x["m"].alias("value"))).alias("out"))
-
-    whole = F.filter(parts, lambda x: x["m"].isNotNull())
-    return F.when(text.rlike(regex), F.aggregate(whole, start, step, lambda acc: acc["out"])).otherwise(
-        F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    )
+    kind = "array<" + (SPAN if context is None else SPAN.replace(">", ",pattern:string>")) + ">"
+
+    def span(x: Column, i: Column, m: Column, b: Column, ends: Column) -> Column:
+        own = [(F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("value")]
+        if context is not None:
+            own.append(context(F.when(i == 0, F.get(b, i)).otherwise(F.concat(F.get(b, i - 1), F.get(m, i - 1), F.get(b, i)))).alias("pattern"))
+        return F.struct(*own)
+
+    def found(m: Column, b: Column) -> Column:
+        ends = running(F.zip_with(m, F.slice(b, 1, F.size(m)), lambda x, y: F.length(x) + F.length(y)), lambda x, y: x + y)
+        return let(ends, lambda e: F.transform(m, lambda x, i: span(x, i, m, b, e)))
+
+    matches, between = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
+    every = let(F.struct(matches.alias("m"), between.alias("b")), lambda x: found(x["m"], x["b"]))
+    return F.when(text.rlike(regex), every).otherwise(F.array().cast(kind)).cast(kind)
 
 
 def tagged(found: Column, kind: str, order: int) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keyed, materialize, same_row, spans, spelled, tagged
+from larkspur.llm.common import keyed, let, materialize, running, same_row, spans, spelled, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -27,8 +27,8 @@ _CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A token that may be an identifier: at least six characters, one of them a digit.
 _IDENTIFIER = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z0-9@._%+-]{6})[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
-#: Code points before a span that may hold its two words of context.
-_BEFORE = 80
+#: The two words at the end of a text, on the text reversed; quotes and brackets before an entity aren't part of them.
+_TWO_WORDS = r"^[\s\"'(<]*+(\S++)\s++(\S++)"
 
 
 def _digits(value: Column) -> Column:
@@ -43,39 +43,57 @@ def _luhn(digits: Column) -> Column:
     return summed % 10 == 0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: Column, context=None) -> dict[str, Column]:
     """The fixed patterns' spans by kind, leftmost and not overlapping; failing matches are dropped, not retried."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>" if context is None else "array<struct<start:int,end:int,value:string,pattern:string>>")
     n = lambda x: F.length(_digits(x["value"]))
-    ip = F.filter(spans(text, _IP), lambda x: F.forall(F.split(x["value"], r"\."), lambda p: p.cast("double") <= 255))
-    card = F.filter(spans(text, _CARD), lambda x: F.when(n(x).between(12, 19), _luhn(_digits(x["value"]))).otherwise(False))
+    ip = F.filter(spans(text, _IP, context), lambda x: F.forall(F.split(x["value"], r"\."), lambda p: p.cast("double") <= 255))
+    card = F.filter(spans(text, _CARD, context), lambda x: F.when(n(x).between(12, 19), _luhn(_digits(x["value"]))).otherwise(False))
     return {
-        "email": F.when(F.contains(text, F.lit("@")), spans(text, _EMAIL)).otherwise(none),
+        "email": F.when(F.contains(text, F.lit("@")), spans(text, _EMAIL, context)).otherwise(none),
         "ip": ip,
         "card": card,
-        "phone": F.when(F.contains(text, F.lit("+")), F.filter(spans(text, _PHONE), lambda x: n(x).between(9, 15))).otherwise(none),
+        "phone": F.when(F.contains(text, F.lit("+")), F.filter(spans(text, _PHONE, context), lambda x: n(x).between(9, 15))).otherwise(none),
     }
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-cased and with digits as 0; null where there are fewer than two."""
-    before = F.substring(text, F.greatest(start - _BEFORE, F.lit(0)) + 1, F.least(start, F.lit(_BEFORE)))
-    two = F.regexp_extract(before, r"(\S+)\s+(\S+)[\s\"'(<]*$", 1), F.regexp_extract(before, r"(\S+)\s+(\S+)[\s\"'(<]*$", 2)
-    return F.nullif(F.regexp_replace(F.lower(F.concat_ws(" ", F.nullif(two[0], F.lit("")), F.nullif(two[1], F.lit("")))), "[0-9]", "0"), F.lit(""))
+def _context(before: Column) -> Column:
+    """The last two words of the text before a mention, lower-cased and with digits as 0; null where there are fewer."""
+    back = F.reverse(before)
+    two = F.concat_ws(" ", *[F.nullif(F.reverse(F.regexp_extract(back, _TWO_WORDS, n)), F.lit("")) for n in (2, 1)])
+    return F.nullif(F.regexp_replace(F.lower(two), "[0-9]", "0"), F.lit(""))
+
+
+def _free(tokens: Column, held: Column) -> Column:
+    """The tokens that overlap no held span. Both are put in order of position, spans by start and tokens by end: a
+    token is free if no span before it ends after its start."""
+    nothing = F.lit(None).cast("struct<start:int,end:int,value:string,pattern:string>")
+    events = F.concat(
+        F.transform(held, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("kind"), x["end"].alias("end"), nothing.alias("token"))),
+        F.transform(tokens, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("end"), x.alias("token"))),
+    )
+
+    def untouched(ordered: Column) -> Column:
+        last = running(F.transform(ordered, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(ordered, last, lambda x, e: F.when((x["kind"] == 0) & (e <= x["token"]["start"]), x["token"]))
+        return F.filter(both, lambda x: x.isNotNull())
+
+    return F.when((F.size(tokens) == 0) | (F.size(held) == 0), tokens).otherwise(let(F.array_sort(events), untouched))
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, found, mentions) of keyed docs: the base spans by kind, and every seed or candidate mention
     as (kind or null, start, end, value, pattern)."""
     text = F.col("text")
-    rows = docs.select("doc_id", "text_key", "text", F.struct(*[c.alias(k) for k, c in base_spans(text).items()]).alias("found"), spans(text, _IDENTIFIER).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists(F.concat(*[F.col("found")[k] for k in KINDS]), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    rows = docs.select("doc_id", "text_key", F.struct(*[c.alias(k) for k, c in base_spans(text, _context).items()]).alias("seen"), spans(text, _IDENTIFIER, _context).alias("tokens"))
 
     def mention(kind: str | None):
-        return lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), _context(text, x["start"]).alias("pattern"))
+        return lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), x["pattern"].alias("pattern"))
 
-    seeds = [F.transform(F.col("found")[k], mention(k)) for k in KINDS]
-    return rows.select("doc_id", "text_key", "found", F.concat(*seeds, F.transform(free, mention(None))).alias("mentions"))
+    own = {k: F.col("seen")[k] for k in KINDS}
+    plain = F.struct(*[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).alias(k) for k, c in own.items()])
+    free = F.transform(_free(F.col("tokens"), F.concat(*own.values())), mention(None))
+    return rows.select("doc_id", "text_key", plain.alias("found"), F.concat(*[F.transform(c, mention(k)) for k, c in own.items()], free).alias("mentions"))
 
 
 def score_patterns(mentions: DataFrame, rounds: int = 2, prior: float = 1.0) -> DataFrame:

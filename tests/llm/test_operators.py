@@ -83,13 +83,14 @@ def test_trigram_queries_are_necessary():
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
-def _pii(text):
-    def keep(kind, m):
-        d = re.sub("[^0-9]", "", m)
-        luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
-        return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+def _pii_keeps(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
 
-    every = [(a, n, k, e) for n, (k, x) in enumerate(PII.items()) for a, e in _spans(x, text, lambda m, k=k: keep(k, m.group(0)))]
+def _pii(text):
+    every = [(a, n, k, e) for n, (k, x) in enumerate(PII.items()) for a, e in _spans(x, text, lambda m, k=k: _pii_keeps(k, m.group(0)))]
     return (*[sum(x[2] == k for x in every) for k in PII], hashlib.sha256(_spelled(every).encode()).hexdigest(), _spelled(every))
 
 
@@ -109,13 +110,8 @@ def test_pii_patterns_discover(spark):
     assert got[100] == "context_email:18:32" and got[101] == ""
 
 
-def test_pii_scores(spark):
-    """Two rounds of scoring against a plain version over dictionaries."""
-    r = random.Random(3)
-    mentions = []
-    for _ in range(400):
-        v = f"v{r.randint(0, 60)}"
-        mentions.append((pii.KINDS[int(v[1:]) % 4] if int(v[1:]) % 3 else None, v, f"p{r.randint(0, 12)}" if r.random() < 0.95 else None))
+def _pattern_scores(mentions):
+    """Two rounds of scoring over dictionaries: each pattern's confidence and support by kind."""
     edges = {(p, v): [0.0] * 4 for _, v, p in mentions if p}
     for k, v, p in mentions:
         if p and k:
@@ -128,6 +124,17 @@ def test_pii_scores(spark):
             conf[p] = [(sum(belief[v][i] for v in mine) / (len(mine) + 1), sum(belief[v][i] for v in mine)) for i in range(4)]
         if left:
             belief = {v: [max(seed[v][i], 1 - math.prod(1 - min(conf[p][i][0], 0.99) for p, w in edges if w == v)) for i in range(4)] for v in seed}
+    return conf
+
+
+def test_pii_scores(spark):
+    """Two rounds of scoring against a plain version over dictionaries."""
+    r = random.Random(3)
+    mentions = []
+    for _ in range(400):
+        v = f"v{r.randint(0, 60)}"
+        mentions.append((pii.KINDS[int(v[1:]) % 4] if int(v[1:]) % 3 else None, v, f"p{r.randint(0, 12)}" if r.random() < 0.95 else None))
+    conf = _pattern_scores(mentions)
     got = pii.score_patterns(spark.createDataFrame(mentions, "kind string, value string, pattern string")).collect()
     assert {x.pattern for x in got} == set(conf)
     for x in got:
@@ -135,6 +142,62 @@ def test_pii_scores(spark):
         assert [x[f"n_{k}"] for k in pii.KINDS] == pytest.approx([n for _, n in conf[x.pattern]])
 
 
+def _mentions(text):
+    """Plain version of extract(): (kind, start, end, value, pattern) of every seed and free identifier."""
+    keeps = {k: (lambda m, k=k: _pii_keeps(k, m)) for k in PII}
+    out = []
+    for kind, regex in [*PII.items(), (None, r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z0-9@._%+-]{6})[A-Za-z@._%+-]*[0-9][A-Za-z0-9@._%+-]*")]:
+        every = list(re.finditer(regex, text))
+        for i, m in enumerate(every):
+            since = every[i - 2].end() if i > 1 else 0
+            words = text[since : m.start()].rstrip(" \t\n\"'(<").split()
+            pattern = re.sub("[0-9]", "0", " ".join(words[-2:]).lower()) if len(words) > 1 else None
+            if kind is None and not any(a < m.end() and m.start() < e for k, a, e, *_ in out if k) or kind and keeps[kind](m.group(0)):
+                out.append((kind, m.start(), m.end(), m.group(0).lower(), pattern))
+    return out
+
+
+def test_pii_discovers_as_brute_force(spark):
+    """Regular contexts of every kind, contexts beyond long words and white space, tokens that overlap spans."""
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    values = {
+        "mail to:": lambda: f"u{digits(3)}@m{digits(2)}.org" if r.random() < 0.8 else f"u{digits(3)}_at_m{digits(2)}",
+        "from host": lambda: f"10.{r.randint(0, 255)}.3.{r.randint(0, 300)}" if r.random() < 0.9 else f"srv-{digits(4)}",
+        "call me (": lambda: f"+49{digits(9)}" if r.random() < 0.85 else f"0049{digits(8)}",
+        "page " + "x" * 300: lambda: f"ref{digits(5)}",
+        "w" * 200 + " " * 300 + "id": lambda: f"a{digits(2)}@b.de" if r.random() < 0.8 else f"acct{digits(4)}",
+    }
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randint(0, 12)):
+            c = r.choice(list(values))
+            parts.append(f"{prose(r.randint(0, 4), r.random())} {c} {values[c]()}{r.choice(['', '.', ', then', ' and so'])}")
+        docs.append((i, " ".join(parts)))
+    every = {i: _mentions(t) for i, t in docs}
+    conf = _pattern_scores([(k, v, p) for ms in every.values() for k, _, _, v, p in ms])
+    trusted = {}
+    for p, scores in conf.items():
+        c, n, kind = max((c, n, k) for (c, n), k in zip(scores, pii.KINDS, strict=True))
+        if c >= 0.7 and n >= 3:
+            trusted[p] = kind
+    want = {i: {(a, trusted[p], e) for k, a, e, _, p in ms if k is None and p in trusted} for i, ms in every.items()}
+    got = pii.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: {tuple(y) for y in x.extra} for x in got} == want
+    assert len({k for found in want.values() for _, k, _ in found}) == 3 and any(a > 300 for found in want.values() for a, _, _ in found)
+
+
+def test_many_hits_in_one_text(spark):
+    line, n = "log 10.2.3.4 user a9@b.com key=abc123def token=abcdef77 0123456789abcdef01234567\n", 20_000
+    df = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+    one, size = _pii(line), len(line)
+    got = pii.digest(pii.scan(df)).first()
+    assert (got.n_email, got.n_ip) == (n, n) and f"email:{line.index('a9') + (n - 1) * size}:" in got.spans and one[0] == one[1] == 1
+    found = secrets.digest(secrets.scan(df)).first()
+    assert (found.n_assign, found.n_hex) == (n, n) and f"hex:{line.index('0123') + (n - 1) * size}:{n * size - 1}" in found.spans
+
+
 # -- 2
 
 
