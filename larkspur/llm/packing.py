@@ -1,16 +1,18 @@
 """Packing of tokenised documents into fixed windows by Karmarkar-Karp differencing.
 
-A document is cut into whole windows and a rest; the rest is cut into parts of at most `part` tokens. Rests go to
-groups of about `windows` windows by hash. In each group, multiway differencing splits the parts over the least number
-of windows that could hold them: partial partitions are merged two at a time, largest spread first, with opposing
-imbalances, which leaves nearly equal windows. If one exceeds the capacity, the number of windows rises by one and the
-group is split again.
+A document is cut into whole windows and a rest; the rest is cut into parts of at most `part` tokens. Whole windows are
+sequences as they are. Parts go to groups of about `windows` windows by hash. In each group, multiway differencing
+splits the parts over the least number of windows that could hold them: partial partitions are merged two at a time,
+largest spread first, with opposing imbalances, which leaves nearly equal windows. If one exceeds the capacity, the
+number of windows rises by one and the group is split again.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,72 +23,114 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialize
 
-#: White space at which the tokenizer's result never depends on both sides.
-_GAPS = "\n\t\r"
-#: Chunks made of plain letters and then plain marks: the tokenizer treats the two apart and lower-cases the letters.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,32})([.,;:!?%&*#$|\-]{0,4})")
-_CACHE_MOST = 400_000
-_tokenizers: dict[str, ChunkTokenizer] = {}
+#: Words of the cache at most, and characters of a cached word at most; longer ones are encoded each time.
+_CACHE_MOST, _WORD_MOST = 400_000, 64
+#: A text is encoded in stretches of about so many characters, cut at spaces where that can't change the result.
+_STRETCH = 1 << 18
+#: A normaliser that only joins white space and lower-cases, and a step that changes nothing but the spelling of bytes.
+_LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_LATIN = [chr(i) for i in range(256)]
+_PROBES = ("It's I'm ALL we'll x'S, \"'s\" 'tis 3.14 word.,;word ***9*a're''d 12th\n\n(a)b_c<|a|>", "".join(_LATIN), " ".join(_LATIN), "".join(f"a{c}1{c}.{c}'s" for c in _LATIN))
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
-class ChunkTokenizer:
-    """A word-splitting tokenizer with a bounded cache from chunks of text to the little-endian bytes of their ids."""
+def _class(kind: str) -> str:
+    """The Latin-1 characters of a general category, for a regex class."""
+    return "".join(f"\\x{i:02x}" for i, c in enumerate(_LATIN) if unicodedata.category(c)[0] == kind)
+
+
+class WordTokenizer:
+    """A tokenizer with a bounded cache from words to the little-endian bytes of their ids.
+
+    Texts are taken apart only where the tokenizer's file says that it lower-cases, splits by a pattern that never
+    crosses white space, and encodes each match by itself. Latin-1 texts are then split by that pattern here, and others
+    are cut at spaces. For any other file, or if a probe comes out differently, the tokenizer encodes whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         self.of = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.special = [x["content"] for x in said.get("added_tokens") or []]
         vocabulary = self.of.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.pattern = self._pattern(said)
+        if self.pattern is not None and self.encode(list(_PROBES)) != self._whole(list(_PROBES)):
+            self.pattern = None
+
+    @staticmethod
+    def _pattern(said: dict) -> re.Pattern | None:
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        regex = (steps[0].get("pattern") or {}).get("Regex", "")
+        by_words = {"type": "Split", "pattern": {"Regex": regex}, "behavior": "Removed", "invert": True}
+        if said.get("normalizer") != _LOWER or steps != [by_words, _BYTES] or said["model"].get("end_of_word_suffix") != "</w>":
+            return None
+        for name, chars in (("\\p{L}", _class("L")), ("\\p{N}", _class("N")), ("\\s", "\\x09-\\x0d\\x20\\x85\\xa0")):
+            regex = regex.replace(name, chars)
+        own = None if "\\p" in regex else re.compile(regex)
+        return own if own is not None and not own.groups else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as the tokenizer gives them for the whole text."""
-        for gap in _GAPS:
-            texts = [t.replace(gap, " ") for t in texts]
-        split = [t.split(" ") for t in texts]
-        known = self.chunks
-        if len(known) > _CACHE_MOST:
-            known = self.chunks = {"": b""}
-        new = set().union(*split).difference(known)
-        plain, other, match = [], [], _PLAIN.fullmatch
-        for c in new:
-            if m := match(c):
-                plain.append((c, m[1].lower(), m[2]))
-            else:
-                other.append(c)
-        for c, e in zip(other, self.of.encode_batch(other, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        self._learn({x[1] for x in plain}, {x[2] for x in plain})
-        words = self.words
-        for c, word, marks in plain:
-            known[c] = words[word] + words[marks] if marks else words[word]
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def _learn(self, letters: set[str], marks: set[str]) -> None:
-        """Ids of lower-case words of letters, many in one call (each ends with a token that ends a word), and of marks."""
-        if len(self.words) > 2 * _CACHE_MOST:
+        cut = [self._stretches(t) for t in texts]
+        parts = [p for stretches in cut for p in stretches]
+        split = [self._split(p) for p in parts]
+        if len(self.words) > _CACHE_MOST:
             self.words = {}
-        new = list(letters.difference(self.words))
+        long = self._learn(set().union(*[w for w in split if w is not None]))
+        get = self.words.__getitem__
+        rest = iter(self._whole([p for p, w in zip(parts, split, strict=True) if w is None]))
+        ids = iter([next(rest) if w is None else b"".join(map(get, w)) for w in split])
+        for w in long:
+            del self.words[w]
+        return [next(ids) if len(stretches) == 1 else b"".join(next(ids) for _ in stretches) for stretches in cut]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch(texts, add_special_tokens=False)]
+
+    def _stretches(self, text: str) -> list[str]:
+        """The text in parts, cut before spaces; whole if the tokenizer isn't known to split there."""
+        out, at = [], 0
+        while self.pattern is not None and len(text) - at > _STRETCH and (cut := text.find(" ", at + _STRETCH)) > 0:
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:]]
+
+    def _split(self, text: str) -> list[str] | None:
+        """The words of Latin-1 text without special tokens, if the tokenizer's pattern is known; else None."""
+        if self.pattern is None or any(x in text for x in self.special):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return self.pattern.findall(text.lower())
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Caches new words, many in one call (each ends with a token that ends a word); returns those too long to keep."""
+        new = list(words.difference(self.words))
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
             ids = np.array(self.of.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                self.words.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        rest = [w for w in (*new, *marks) if w not in self.words]
-        for w, e in zip(rest, self.of.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+                found = [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            else:
+                found = self._whole(part)
+            self.words.update(zip(part, found, strict=True))
+        return [w for w in new if len(w) > _WORD_MOST]
 
 
-def _tokenizer(path: str) -> ChunkTokenizer:
+def _tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
@@ -158,14 +202,28 @@ def _flat(held: tuple) -> Iterator[int]:
 
 
 def fill(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most `capacity`: as few as could hold all, one more whenever one exceeds it."""
-    m = max(1, -(-sum(sizes) // capacity)) if sizes else 0
-    while sizes:
-        held = differencing(sizes, m)
-        if max(sum(sizes[i] for i in x) for x in held) <= capacity:
-            return [x for x in held if x]
+    """Near-equal windows of at most `capacity`: as few as could hold all, one more whenever one exceeds it.
+
+    Sizes far below the capacity are tied into bundles first, in the order given, so that a group of very many tiny
+    parts has no more items than one of larger parts.
+    """
+    if not sizes:
+        return []
+    least = max(1, capacity // 64)
+    bundles, size = [], least
+    for i, x in enumerate(sizes):
+        if size + x > least or x >= least:
+            bundles.append([])
+            size = 0
+        bundles[-1].append(i)
+        size += x
+    tied = [sum(sizes[i] for i in b) for b in bundles]
+    m = max(1, -(-sum(sizes) // capacity))
+    while True:
+        held = differencing(tied, m)
+        if max(sum(tied[i] for i in x) for x in held) <= capacity:
+            return [[j for i in x for j in bundles[i]] for x in held if x]
         m += 1
-    return []
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, part: int = 512, windows: int = 128, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,25 +231,28 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
 
     Pieces of a sequence lie gapless from offset 0; a sequence has at most `capacity` tokens. A null or empty text is
     its end_id alone. Repeated rows and null ids are packed like any other row. An empty table gives no rows.
-    Which group a piece goes to depends on the piece alone, so a lost task gives the same rows again.
+    Whole windows need no group. Other pieces go to groups by a hash of their row number in the pieces as written, which
+    a lost task gives again; pieces that are alike are spread like others.
     """
     pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity, part, with_ids, id_col, text_col), "pieces")
-    total = pieces.where(F.col("length") < capacity).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    own = pieces.columns
+    rows = pieces.withColumn("row", F.monotonically_increasing_id())
+    short = F.col("length") < capacity
+    total = pieces.where(short).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // (windows * capacity)))
-    of = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "doc_tokens"), F.lit(groups)).cast("int")
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns("grp").sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens"))])
-        lengths = rows["length"].to_numpy()
-        full = int((lengths == capacity).sum())
-        sizes = lengths[full:].tolist()
-        window, offset = np.arange(len(lengths), dtype=np.int64), np.zeros(len(lengths), np.int64)
+        rows = rows.drop_columns("grp").sort_by([("length", "descending"), ("row", "ascending")]).drop_columns("row")
+        sizes = rows["length"].to_pylist()
+        window, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for k, held in enumerate(fill(sizes, capacity)):
             at = 0
             for i in held:
-                window[full + i], offset[full + i] = full + k, at
+                window[i], offset[i] = k, at
                 at += sizes[i]
         return rows.append_column("sequence_id", pa.array(window + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("grp", of).groupBy("grp").applyInArrow(place, schema)
+    parts = rows.where(short).withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).groupBy("grp").applyInArrow(place, schema)
+    # Numbers of the two kinds never meet: the rows' are below, the groups' from 0 up.
+    return parts.unionByName(rows.where(~short).select(*own, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
