@@ -27,6 +27,10 @@ class JpegError(ValueError):
     """Not a baseline JPEG that this decoder reads."""
 
 
+#: What bytes that are no whole baseline JPEG can raise: a bad marker, a missing table, a body that is too short.
+ERRORS = (JpegError, struct.error, IndexError, KeyError, ValueError)
+
+
 @dataclass
 class Frame:
     """What the markers of one image say, and its entropy-coded bytes by restart interval."""
@@ -162,14 +166,18 @@ def _decode(frames: list[Frame]) -> list[np.ndarray]:
     units, chunks = [], []
     for f in frames:
         total = _mcu(f)[1] * _mcu(f)[2]
+        if not total:
+            raise JpegError("no size")
         each = f.restart or total
-        counts = [min(each, total - k) for k in range(0, total, each)]
-        if len(f.intervals) < len(counts):
+        if len(f.intervals) < -(-total // each):
             raise JpegError("an interval is missing")
+        counts = [min(each, total - k) for k in range(0, total, each)]
         units += counts
         chunks += f.intervals[: len(counts)]
     n = np.array(units, np.int64)
     sizes = np.array([len(c) for c in chunks], np.int64)
+    if (8 * sizes < 2 * len(blocks) * n).any():  # a block has two codes; checked before room is made for the terms
+        raise JpegError("an interval is cut off")
     # 24 bits from every byte on; ones beyond the end, as in the padding of an interval.
     flat = np.concatenate([*chunks, np.full(8, 255, np.uint8)])
     ahead = flat[:-7].astype(np.int32) << 16 | flat[1:-6].astype(np.int32) << 8 | flat[2:-5]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import jpeg
 
-_FEATURES = "frames int, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+_FEATURES = "frames int, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
 
 
 def padded(text: bytes) -> bytes:
@@ -36,12 +36,22 @@ def difference_hash(thumb: np.ndarray) -> int:
 
 
 def _features(images: list[bytes]) -> list[tuple]:
+    """For each image the values of _FEATURES. One that can't be read has nulls and an error, and doesn't hold up others."""
+    try:
+        found = jpeg.thumbnails(images)
+    except jpeg.ERRORS as e:
+        if len(images) > 1:
+            return [x for i in images for x in _features([i])]
+        return [(*[None] * 7, f"{type(e).__name__}: {e}")]
     out = []
-    for frames in jpeg.thumbnails(images):
+    for frames in found:
+        if not frames:
+            out.append((*[None] * 7, "no image"))
+            continue
         payload = b"".join(t.tobytes() for _, _, t in frames)
         width, height = max(w for w, _, _ in frames), sum(h for _, h, _ in frames)
         hashes = "".join(f"{difference_hash(t):016x}" for _, _, t in frames)
-        out.append((len(frames), width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), f"{width}x{height}:{hashes}"))
+        out.append((len(frames), width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), f"{width}x{height}:{hashes}", None))
     return out
 
 
@@ -79,8 +89,13 @@ def as_jpeg(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def jpeg_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The columns of media with, read from the JPEG bytes: the number of frames, width and (summed) height, size,
-    SHA-256 and CRC-32 of the last 64 of the thumbnails' bytes, and the thumbnails' difference hashes. A null gives nulls."""
-    schema = pa.schema([("frames", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+    SHA-256 and CRC-32 of the last 64 of the thumbnails' bytes, and the thumbnails' difference hashes.
+
+    A null gives nulls. Bytes that hold no baseline JPEG that can be read whole (empty ones too) give nulls and what was
+    wrong in `error`. Columns of media with these names are replaced.
+    """
+    schema = pa.schema([("frames", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string()), ("error", pa.string())])
+    media = media.drop(*schema.names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
