@@ -1,9 +1,10 @@
 """URL filters by association rules.
 
-Labelled URLs become transactions of tokens (host labels, path parts, query keys) and their label. Spark's FP-growth
-mines frequent combinations; rules from tokens to a label are kept above a confidence, and dropped where a shorter
-rule says the same at least as surely. Rules match pages through an inverted index: each rule is posted under its
-rarest token, so a page meets only the rules of its own tokens, and the rest of the combination is then verified.
+Labelled URLs become transactions of tokens (host labels, path parts, query keys) and their label. Tokens that occur in
+the same labelled URLs only are one item, as FP-growth would list every combination of them. Spark's FP-growth mines
+frequent combinations; rules from items to a label are kept above a confidence, and dropped where they are no surer than
+the label's share of all, or than a shorter rule. Rules match pages through an inverted index: each rule is posted under
+the tokens of its rarest item, so a page meets only the rules of its own tokens, and the rest is then verified.
 """
 
 from __future__ import annotations
@@ -49,44 +50,58 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, r"\.", "h:"), parts(F.regexp_replace(path, "[0-9]+", "#"), "/", "p:"), keys))
 
 
+def _items(rows: DataFrame, least: float) -> DataFrame:
+    """(token, item, members) for tokens on at least `least` of the rows (id, tokens); tokens of the same rows share an item.
+
+    There are at most (tokens of an average URL) * rows / least of them.
+    """
+    by = rows.select("id", F.explode("tokens").alias("token")).groupBy("token")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    often = materialize(by.agg(F.count("*").alias("n"), *same).where(F.col("n") >= least), "tokens")
+    sets = often.groupBy("n", "s0", "s1").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return materialize(sets.select(F.explode("members").alias("token"), F.col("members")[0].alias("item"), "members"), "items")
+
+
 def mine(labelled: DataFrame, support: float = 0.001, confidence: float = 0.5, url_col: str = "url", label_col: str = "label") -> DataFrame:
-    """(rule_id, antecedent, label, confidence, support) from rows with a URL and a label.
+    """(rule_id, antecedent, label, confidence, support) from rows with a URL and a label; antecedent is an array of
+    items, each the array of its tokens.
 
-    support is a share of the labelled rows. Tokens on over half of them say nothing and are left out before mining.
-    No labelled rows: no rules.
+    support is a share of the labelled rows. A rule must be surer than the label's own share. No labelled rows: no rules.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
-    rows = materialize(rows.select(tokens(F.col(url_col)).alias("tokens"), F.concat(F.lit("="), F.col(label_col)).alias("label")), "labelled")
-    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, label string, confidence double, support double")
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("id"), tokens(F.col(url_col)).alias("tokens"), F.concat(F.lit("="), F.col(label_col)).alias("label")), "labelled")
     n = rows.count()
     if not n:
-        return empty
-    common = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > n / 2)
-    # At most twice the tokens of an average URL can be on over half of the URLs.
-    usual = F.array(*[F.lit(r[0]) for r in common.select("token").collect()]).cast("array<string>")
-    baskets = rows.select(F.concat(F.array_except("tokens", usual), F.array("label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(support, 2.0 / n), minConfidence=confidence).fit(baskets)
+        return spark.createDataFrame([], "rule_id long, antecedent array<array<string>>, label string, confidence double, support double")
+    share = max(support, 2.0 / n)
+    items = _items(rows, share * n)
+    held = rows.select("id", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token").groupBy("id").agg(F.collect_set("item").alias("held"))
+    baskets = rows.select("id", "label").join(held, "id", "left").select(F.concat(F.coalesce("held", F.array().cast("array<string>")), F.array("label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     label = F.element_at("consequent", 1)
-    found = model.associationRules.where(label.startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    found = model.associationRules.where(label.startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")) & (F.col("lift") > 1 + 1e-9))
     found = materialize(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(label, 2, 1000).alias("label"), "confidence", "support"), "rules")
     # A rule is of no use if a part of its combination gives the same label as surely: look each part up.
     short = found.select(F.col("antecedent").alias("part"), F.col("label").alias("_label"), F.col("confidence").alias("_confidence"))
     parts = found.where(F.size("antecedent") > 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("antecedent") - 1)))
     parts = parts.withColumn("part", F.filter("antecedent", lambda x, j: j != F.col("i")))
     beaten = parts.join(short, (parts["part"] == short["part"]) & (parts["label"] == short["_label"]) & (short["_confidence"] >= parts["confidence"])).select("antecedent", "label").distinct()
-    kept = found.join(beaten, ["antecedent", "label"], "left_anti")
-    return materialize(kept.select(F.xxhash64("antecedent", "label").alias("rule_id"), "antecedent", "label", "confidence", "support"), "kept")
+    kept = found.join(beaten, ["antecedent", "label"], "left_anti").withColumn("rule_id", F.xxhash64("antecedent", "label"))
+    members = items.select("item", "members").distinct()
+    whole = kept.select("rule_id", "label", "confidence", "support", F.explode("antecedent").alias("item")).join(members, "item")
+    whole = whole.groupBy("rule_id", "label", "confidence", "support").agg(F.array_sort(F.collect_list("members")).alias("antecedent"))
+    return materialize(whole.select("rule_id", "antecedent", "label", "confidence", "support"), "kept")
 
 
 def match(pages: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
-    """(url, verdict, rule_id) of the surest rule whose whole combination is among a distinct URL's tokens."""
+    """(url, verdict, rule_id) of the surest rule of whose every item a distinct URL has a token."""
     urls = pages.select(F.col(key).alias("url")).where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    posted = rules.select("rule_id", "antecedent", "label", "confidence", F.explode("antecedent").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("rules"))
-    rarest = posted.join(often, "token").groupBy("rule_id", "antecedent", "label", "confidence").agg(F.min(F.struct("rules", "token")).alias("t"))
-    index = materialize(rarest.select(F.col("t.token").alias("token"), "rule_id", "antecedent", "label", "confidence"), "index")
-    met = urls.withColumn("token", F.explode("tokens")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    posted = rules.select("rule_id", "antecedent", "label", "confidence", F.explode("antecedent").alias("item"))
+    often = posted.groupBy("item").agg(F.count("*").alias("rules"))
+    rarest = posted.join(often, "item").groupBy("rule_id", "antecedent", "label", "confidence").agg(F.min(F.struct("rules", "item")).alias("t"))
+    index = materialize(rarest.select(F.explode("t.item").alias("token"), "rule_id", "antecedent", "label", "confidence"), "index")
+    met = urls.withColumn("token", F.explode("tokens")).join(index, "token").where(F.forall("antecedent", lambda item: F.arrays_overlap(item, "tokens")))
     best = F.max(F.struct("confidence", F.size("antecedent").alias("n"), "label", "rule_id"))
     return met.groupBy("url").agg(best.alias("b")).select("url", F.col("b.label").alias("mined"), F.col("b.rule_id").alias("rule_id"), F.col("b.confidence").alias("confidence"))
 

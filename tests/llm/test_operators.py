@@ -2,6 +2,7 @@
 rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -261,6 +262,41 @@ def test_packing(spark, hard, empty):
     assert packing.pack(empty, TOKENIZER).isEmpty()
 
 
+def _sequences(got):
+    """Checks that sequences are gapless and fit; returns the pieces sorted."""
+    placed = got.sort_values(["sequence_id", "offset"])
+    assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all()
+    assert placed.groupby("sequence_id").length.sum().max() <= 2048
+    return placed
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_any_tokenizer(spark, name):
+    """Ids of any tokenizers file, of repeated rows and of rows without an id; scripts that no rule here splits."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["It's 3.14, \"it's\" a <|endoftext|> b", "你好 世界" * 50, "x" * 70 + " y" * 300_000, "Ünï Ωmega ÀB. é e\u0301", None, None, "a b", "a b", "a\u00a0b\x1cc\x85d"]
+    docs = spark.createDataFrame([(i if i != 7 else 6, t) if i != 5 else (None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = _sequences(packing.pack(docs, public_tokenizers.path(name), with_ids=True).toPandas())
+    want = sorted((-1 if r.doc_id is None else r.doc_id, [*own.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect())
+    rows = sorted((-1 if np.isnan(i) else int(i), s, list(x)) for i, s, x in zip(got.doc_id.astype(float), got.start, got.ids, strict=True))
+    assert sum(len(x) for _, x in want) == sum(len(x) for _, _, x in rows)
+    for i, ids in want:
+        mine = sorted((s, tuple(x)) for j, s, x in rows if j == i)
+        copies = len([1 for j, _ in want if j == i])
+        assert [t for _, x in mine[::copies] for t in x] == ids and len(mine) == copies * len({s for s, _ in mine})
+
+
+def test_packing_whole_windows_and_tiny_parts(spark):
+    full = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 2047).alias("text"))
+    got = _sequences(packing.pack(full, TOKENIZER).toPandas())
+    assert len(got) == got.sequence_id.nunique() == 40 and (got.length == 2048).all() and (got.sequence_id < 0).all()
+    none = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = _sequences(packing.pack(none, TOKENIZER, windows=2).toPandas())
+    assert len(got) == 9000 and got.sequence_id.nunique() <= 7  # groups of two windows or so; no key decides the group
+
+
 def test_differencing():
     r = random.Random(1)
     for n, m in ((1, 3), (50, 7), (300, 20)):
@@ -344,6 +380,41 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or "allow")
 
 
+def _url_tokens(url):
+    host, path = _verdict(url)[:2]
+    query = re.search(r"\?([^#]*)", url)
+    parts = [f"h:{x}" for x in host.split(".") if x] + [f"p:{x}" for x in re.sub("[0-9]+", "#", path).split("/") if x]
+    return {*parts, *[f"q:{x.split('=')[0]}" for x in (query[1].split("&") if query else []) if x]}
+
+
+def _mined(labelled, urls_, support, confidence=0.5):
+    """Plain association rules: each URL's surest label by every combination of items, up to four of them."""
+    rows = [(_url_tokens(u), x) for u, x in labelled if u is not None and x is not None]
+    n, where = len(rows), {}
+    for i, (ts, _) in enumerate(rows):
+        for t in ts:
+            where.setdefault(t, set()).add(i)
+    least = max(support, 2 / n) * n
+    items = {}
+    for t, at in where.items():
+        if len(at) >= least:
+            items.setdefault(frozenset(at), set()).add(t)
+    share = {x: sum(y == x for _, y in rows) / n for x in ("allow", "block")}
+    rules = []
+    for k in range(1, 5):
+        for combo in itertools.combinations(items, k):
+            at = frozenset.intersection(*combo)
+            for x in share:
+                both = sum(rows[i][1] == x for i in at)
+                if at and both >= least and both / len(at) >= confidence and both / len(at) > share[x] * (1 + 1e-9):
+                    rules.append((both / len(at), x, [items[c] for c in combo]))
+    out = {}
+    for u in urls_:
+        fits = [(c, x) for c, x, sets in rules if all(s & _url_tokens(u) for s in sets)]
+        out[u] = (max(fits)[0], {x for c, x in fits if c == max(fits)[0]}) if fits else (None, {None})
+    return out
+
+
 def test_mined_rules(spark):
     rows = [(f"http://spam{i % 3}.bad.info/buy/{i}", "block") for i in range(30)] + [(f"http://ok{i % 5}.good.info/read/{i}", "allow") for i in range(30)] + [(None, "block"), ("http://x.info/", None)]
     labelled = spark.createDataFrame(rows, "url string, label string")
@@ -351,10 +422,37 @@ def test_mined_rules(spark):
     got = {r.page_id: r for r in urls.judge(pages, labelled, support=0.05).collect()}
     assert (got[1].verdict, got[2].verdict, got[3].verdict) == ("block", "allow", "allow") and got[1].mined_confidence == 1.0
     rules = urls.mine(labelled, support=0.05).collect()
-    held = [({*r.antecedent}, r.label) for r in rules]
+    held = [({*map(tuple, r.antecedent)}, r.label) for r in rules]
     assert not any(a < b and x == y for a, x in held for b, y in held)  # no rule repeats a shorter one
 
 
+def test_mined_rules_as_brute_force(spark):
+    """Tokens on most rows, tokens that always go together, labels that depend on combinations."""
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        host = f"{r.choice(['a', 'b', 'c'])}.{r.choice(['x', 'y'])}.info"
+        url = f"http://{host}/{r.choice(['en', 'de'])}/{i}" + ("?utm=1&src=2&med=3" if r.random() < 0.4 else "")
+        bad = 0.9 if "a.x" in url or "utm" in url and "/de/" in url else 0.2
+        rows.append((url, "block" if r.random() < bad else "allow"))
+    given = sorted({u for u, _ in rows}) + ["http://q.x.info/de/1?src=1", "http://other.org/"]
+    want = _mined(rows, given, 0.05)
+    got = urls.match(spark.createDataFrame([(u,) for u in given], "url string"), urls.mine(spark.createDataFrame(rows, "url string, label string"), support=0.05)).collect()
+    assert {x.url for x in got} == {u for u, (c, _) in want.items() if c is not None}
+    for x in got:
+        assert x.confidence == pytest.approx(want[x.url][0]) and x.mined in want[x.url][1], x
+
+
+def test_parameters_that_go_together(spark):
+    tracked = "&".join(f"t{k}=1" for k in range(30))
+    rows = [(f"http://h{i % 7}.info/p?{tracked}", "block" if i % 10 else "allow") for i in range(100)] + [(f"http://h{i % 7}.info/p", "allow") for i in range(100)]
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    rules = urls.mine(labelled, support=0.05).collect()
+    assert any(len(item) == 30 for x in rules for item in x.antecedent) and len(rules) < 100
+    got = urls.judge(spark.createDataFrame([(1, "http://z.info/p?t7=9")], "page_id long, url string"), labelled, support=0.05).first()
+    assert got.verdict == "block" and got.mined_confidence == pytest.approx(0.9)
+
+
 # -- 6
 
 
@@ -551,12 +649,27 @@ def test_jpeg_with_ac_and_colour():
     assert (width, height) == (64, 48) and (thumb == want).all()
 
 
-def test_jpeg_errors():
-    for bad in (b"", b"no", b"\xff\xd8\xff\xc2\0\x0b\x08\0\x08\0\x08\1\1\x11\0\xff\xd9", jpeg.write_dc(b"\0" * 64)[:-6]):
+def _bad_jpegs():
+    good = jpeg.write_dc(media.padded(b"a text " * 40))
+    r = random.Random(5)
+    cut = [good[:n] for n in (2, 20, 100, len(good) - 6)]
+    huge = good.replace(good[good.index(b"\xff\xc0") :][:9], b"\xff\xc0" + good[good.index(b"\xff\xc0") + 2 :][:3] + b"\xff\xff\xff\xff")
+    progressive = b"\xff\xd8\xff\xc2\0\x0b\x08\0\x08\0\x08\1\1\x11\0\xff\xd9"
+    noise = [b"\xff\xd8" + r.randbytes(60) for _ in range(20)]
+    return [b"", b"no", progressive, huge, *cut, *noise]
+
+
+def test_bad_images_are_rows(spark):
+    good = jpeg.write_dc(media.padded(b"a text"))
+    for bad in _bad_jpegs():
         try:
-            assert jpeg.thumbnails([bad])[0] == [] or bad
-        except jpeg.JpegError:
+            assert jpeg.thumbnails([bad])[0] == []
+        except jpeg.ERRORS:
             pass
+    rows = [(0, good, 1), (1, None, 2), *[(2 + k, x, 3) for k, x in enumerate(_bad_jpegs())], (99, good, 4)]
+    got = {x.k: x for x in media.jpeg_features(spark.createDataFrame(rows, "k int, media binary, width int")).collect()}
+    assert got[0].feature == got[99].feature == "512x8:0000000000000000" and got[0].error is None and got[1].feature is None and got[1].error is None
+    assert all(got[k].feature is None and got[k].frames is None and got[k].error for k in range(2, len(rows) - 1)) and len(got) == len(rows)
 
 
 def test_media(spark, hard, empty):
