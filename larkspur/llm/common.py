@@ -46,6 +46,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB in memory.
+SMALL_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written df of a few narrow columns, marked for broadcast if it has at most SMALL_ROWS rows; else as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and a content hash. Rows alike in doc_id and text are one case with one result;
     the hash keeps rows apart that share a doc_id (or have none) but not their text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import materialize, small
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,18 +19,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").where("a <> b")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")
-    labels = None
-    while True:
-        parent = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
-        parent = materialize(parent, "parents")
-        if labels is None:
-            labels = parent.select(F.col("a").alias("node"), F.col("p").alias("root"))
+    labels = both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    first = True
+    while not both.isEmpty():
+        parent = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents")
+        if first:
+            labels, first = parent.select(F.col("a").alias("node"), F.col("p").alias("root")), False
         else:
-            labels = labels.join(parent, labels["root"] == parent["a"], "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels = materialize(labels, "labels")
-        left = parent.select("a", F.col("p").alias("pa"))
-        right = parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+            labels = labels.join(small(parent), labels["root"] == parent["a"], "left").select("node", F.coalesce("p", "root").alias("root"))
+            labels = materialize(labels, "labels")
+        left = small(parent.select("a", F.col("p").alias("pa")))
+        right = small(parent.select(F.col("a").alias("b"), F.col("p").alias("pb")))
         both = both.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct()
         both = materialize(both, "edges")
-        if both.isEmpty():
-            return labels
+    return labels

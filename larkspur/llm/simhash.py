@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import materialize, small
 from larkspur.llm.components import connected_components
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -84,29 +84,37 @@ def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if (v & (1 + i % top)).bit_count() % 2) for v in range(1, top + 1)]
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Star edges (place, first place) of each group of a symmetric matrix of links."""
-    root = np.arange(len(near))
-    while True:
-        lower = np.where(near, root[None, :], len(near)).min(axis=1)
-        lower = np.minimum(lower, lower[lower])
-        if (lower == root).all():
-            return [(i, int(r)) for i, r in enumerate(root) if i != r]
-        root = lower
+def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Star edges (place, first place) of each group among n places; near(i, others) says which others link to i.
+
+    Each place meets only places that no group has yet, so a bucket of near copies takes about n comparisons.
+    """
+    out, rest = [], np.arange(n)
+    while len(rest):
+        root, rest = int(rest[0]), rest[1:]
+        ahead = [root]
+        while ahead and len(rest):
+            linked = near(ahead.pop(), rest)
+            found, rest = rest[linked], rest[~linked]
+            ahead += found.tolist()
+            out += [(i, root) for i in found.tolist()]
+    return out
+
+
+def _star(near: np.ndarray) -> list[tuple[int, int]]:
+    return _forest(len(near), lambda i, others: near[i, others])
 
 
-def bucket_links(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray], block: int, value: str = "node") -> DataFrame:
-    """Links (a, b) between nodes that share a bucket (t, key), from rows (t, key, node[, value]).
+def bucket_links(rows: DataFrame, near: Callable[[np.ndarray, int, np.ndarray], np.ndarray], block: int, value: str = "node") -> DataFrame:
+    """Links (a, b) between nodes that share a bucket, from rows (key, size, node[, value]), size being the bucket's.
 
     A bucket of n nodes is cut into ceil(n / block) parts, and each pair of parts is compared apart, so no task holds
-    a large bucket. `near` gives the links among an array of values as a matrix; of those a spanning forest is kept,
-    so no group is written out as all its pairs.
+    a large bucket. near(values, i, others) says which others link to i; of those links a spanning forest is kept, so
+    no group is written out as all its pairs. A value is binary, of one length for all.
     """
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, ["t", "key"])
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cell = rows.groupBy("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cell = rows.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     held = F.struct("node", F.col(value).alias("value")) if value != "node" else F.col("node")
     cells = cell.agg(F.collect_list(held).alias("held")).where(F.size("held") > 1)
 
@@ -116,18 +124,28 @@ def bucket_links(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray], bloc
             for x in b.column("held"):
                 struct = x.values
                 nodes = (struct if value == "node" else struct.field("node")).to_numpy(zero_copy_only=False)
-                values = nodes if value == "node" else struct.field("value").flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
-                out += [(int(nodes[i]), int(nodes[r])) for i, r in _forest(near(values))]
+                values = nodes if value == "node" else np.frombuffer(b"".join(struct.field("value").to_pylist()), np.uint8).reshape(len(nodes), -1)
+                out += [(int(nodes[i]), int(nodes[r])) for i, r in _forest(len(nodes), lambda i, others, v=values: near(v, i, others))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return cells.select("held").mapInArrow(batches, "a long, b long").distinct()
 
 
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(key, size, node) for the buckets with company, from (key, node) rows without repeats. Buckets of the same nodes
+    are one, as a pair of near copies shares many."""
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), *same).where("size > 1")
+    once = materialize(shared.groupBy("size", "s0", "s1").agg(F.min("key").alias("key")).select("key", "size"), "shared")
+    return keyed.join(small(once), "key").select("key", "size", "node")
+
+
 def near_links(fps: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect exactly what pairs within the radius connect."""
-    tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]))
-    rows = fps.select(F.col("fp").alias("node"), tables.alias("x")).select("node", "x.t", "x.key")
-    return bucket_links(rows, lambda v: np.bitwise_count(v[:, None] ^ v[None, :]) <= radius, block)
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(covering_masks(radius))]))
+    rows = buckets(fps.select(F.col("fp").alias("node"), keys.alias("key")))
+    # Unsigned: the bits of a negative number are counted in its absolute value.
+    return bucket_links(rows, lambda v, i, others: np.bitwise_count((v[i] ^ v[others]).view(np.uint64)) <= radius, block)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, block: int = 1024) -> DataFrame:
@@ -160,59 +178,53 @@ _MULTIPLIERS = (np.random.default_rng(1).integers(1, 1 << 63, BANDS * BAND_ROWS,
 def signature(h: np.ndarray) -> np.ndarray:
     """Min-wise signature (uint32) of a set of shingle hashes; all ones for none."""
     out = np.full(len(_MULTIPLIERS), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 2048):
-        part = (h[at : at + 2048, None] * _MULTIPLIERS[None, :]) >> np.uint64(32)
+    for at in range(0, len(h), 512):
+        part = (h[at : at + 512, None] * _MULTIPLIERS[None, :]) >> np.uint64(32)
         out = np.minimum(out, part.min(axis=0).astype(np.uint32))
     return out
 
 
-def shingle_set(text: bytes | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct shingle hashes of UTF-8 text."""
-    return np.unique(shingle_hashes(text, shingle_words, seed))
-
-
-def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, copy, fp, node, sig) for every row: a hash of the text, the fingerprint, a hash of the set of shingles,
-    and the signature. Texts of the same shingles share a node."""
+def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, copy, node, keys, places) for every row: a hash of the text, a hash of the set of shingles, the buckets
+    of the fingerprint's covering masks and of the signature's bands, and a byte of each of the signature's places.
+    Texts of the same shingles share a node."""
+    masks = covering_masks(radius)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = xxhash.xxh64_intdigest
         for b in it:
-            fps, nodes, sigs = [], [], []
+            nodes, keys, places = [], [], []
             for t in b.column("text").cast(pa.binary()):
                 h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle_words, seed)
-                fps.append(_signed(majority(h)))
+                fp = majority(h)
                 h = np.unique(h)
-                nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes())))
-                sigs.append(signature(h))
-            columns = [b.column("doc_id"), b.column("copy"), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array([x.view(np.int32) for x in sigs], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "fp", "node", "sig"])
+                sig = signature(h)
+                bands = sig.reshape(BANDS, BAND_ROWS)
+                nodes.append(_signed(of(h.tobytes())))
+                keys.append([*[_signed(of((fp & m).to_bytes(8, "little"), k)) for k, m in enumerate(masks)], *[_signed(of(x.tobytes(), len(masks) + k)) for k, x in enumerate(bands)]])
+                places.append(sig.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.binary())], ["doc_id", "copy", "node", "keys", "places"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("copy", _copy("text"))
-    return kept.mapInArrow(batches, "doc_id long, copy long, fp long, node long, sig array<int>")
+    return kept.mapInArrow(batches, "doc_id long, copy long, node long, keys array<long>, places binary")
 
 
 def _copy(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def similar_links(sigs: DataFrame, block: int = 512) -> DataFrame:
-    """Candidate links (a, b) between distinct nodes whose signatures agree in at least LEAST_ESTIMATE of their places.
+def _estimate(v: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Which signatures' estimated similarity to the i-th is LEAST_ESTIMATE or more; bytes agree by chance in 1 of 256."""
+    return (v[others] == v[i]).mean(axis=1) >= LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 256
 
-    Candidates share a band. Only nodes in a band's bucket with company carry their signature along.
-    """
-    band = lambda k: F.xxhash64(F.slice("sig", k * BAND_ROWS + 1, BAND_ROWS))
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), band(k).alias("key")) for k in range(BANDS)]))
-    keys = sigs.select("node", bands.alias("x")).select("node", "x.t", "x.key")
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    rows = materialize(keys.join(shared, ["t", "key"]), "bands").join(sigs.select("node", "sig"), "node")
-    return bucket_links(rows, lambda v: _agreement(v) >= LEAST_ESTIMATE, block, "sig")
 
+def similar_links(nodes: DataFrame, block: int = 512) -> DataFrame:
+    """Candidate links (a, b) between distinct nodes (node, keys, places) that share a bucket and whose signatures agree.
 
-def _agreement(v: np.ndarray) -> np.ndarray:
-    same = np.zeros((len(v), len(v)), np.int16)
-    for column in v.T:
-        same += column[:, None] == column[None, :]
-    return same / v.shape[1]
+    Only nodes in a bucket with company carry their signature along.
+    """
+    rows = materialize(buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets")
+    return bucket_links(rows.join(nodes.select("node", "places"), "node"), _estimate, block, "places")
 
 
 def _alike(sets: list[np.ndarray]) -> np.ndarray:
@@ -237,89 +249,97 @@ def _alike(sets: list[np.ndarray]) -> np.ndarray:
     return near
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, text_col: str = "text", shingle_words: int = 5, seed: int = 42, block: int = 256) -> DataFrame:
-    """Links (a, b) that connect exactly what pairs of an exact shingle similarity of SIMILARITY connect, within the
-    groups (node, root) that candidate links made.
+def verified_links(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42, block: int = 256) -> DataFrame:
+    """Links (a, b, whole) that connect exactly what pairs of an exact shingle similarity of SIMILARITY connect, within
+    the groups (node, root, doc_id, copy) that candidate links made; doc_id and copy say which row has a node's text.
 
     All pairs of a group are compared on their shingle hashes, whatever their estimates. Each node's text goes to its
     group once; groups over `block` nodes are cut into parts, and pairs of parts are compared apart, as in bucket_links().
+    Links of a group that is whole in one cell are stars: b is a's component.
     """
-
-    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            held = [shingle_set(t.as_buffer().to_pybytes(), shingle_words, seed).view(np.int64) for t in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(held, pa.list_(pa.int64()))], ["node", "root", "shingles"])
-
-    texts = docs.select(_copy(text_col).alias("copy"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).groupBy("copy").agg(F.first("text").alias("text"))
-    found = nodes.select("node", "copy").join(roots, "node").join(texts, "copy").select("node", "root", "text")
-    members = materialize(found.mapInArrow(sets, "node long, root long, shingles array<long>"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    rows = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    where = materialize(groups.join(small(materialize(sizes, "sizes")), "root").select("node", "root", "doc_id", "copy", F.ceil(F.col("size") / block).cast("int").alias("parts")), "groups")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), _copy(text_col).alias("_copy"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(small(where), (F.col("_copy") == F.col("copy")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "parts", "node", "text")
 
     def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; a cell may go on in the next batch."""
-        cell, nodes_, held = None, [], []
+        """Rows come sorted by cell and node; a cell may go on in the next batch, and rows that are alike follow each other."""
+        cell, nodes, held = None, [], []
         for b in it:
             out = []
-            keys = np.stack([b.column(c).to_numpy() for c in ("root", "i", "j")], axis=1)
-            values = b.column("shingles")
-            flat, ends = values.values.to_numpy(), values.offsets.to_numpy()
-            own = b.column("node").to_numpy()
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if (key := tuple(keys[lo].tolist())) != cell:
-                    out += linked(nodes_, held)
-                    cell, nodes_, held = key, [], []
-                nodes_ += own[lo:hi].tolist()
-                held += [flat[ends[k] : ends[k + 1]].copy() for k in range(lo, hi)]
+            keys = zip(*[b.column(c).to_pylist() for c in ("root", "i", "j", "parts")], strict=True)
+            for key, node, text in zip(keys, b.column("node").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                if key != cell:
+                    out += linked(cell, nodes, held)
+                    cell, nodes, held = key, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    held.append(np.unique(shingle_hashes(text.as_buffer().to_pybytes(), shingle_words, seed)))
             yield edges(out)
-        yield edges(linked(nodes_, held))
+        yield edges(linked(cell, nodes, held))
+
+    def linked(cell: tuple | None, nodes: list[int], held: list[np.ndarray]) -> list[tuple[int, int, bool]]:
+        return [(nodes[i], nodes[r], cell[3] == 1) for i, r in _star(_alike(held))] if len(held) > 1 else []
+
+    def edges(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "whole"])
 
-    def linked(nodes_: list[int], held: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(nodes_[i], nodes_[r]) for i, r in _forest(_alike(held))] if len(held) > 1 else []
+    found = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(cells, "a long, b long, whole boolean")
+    return materialize(found, "verified")
 
-    def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(cells, "a long, b long").distinct()
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's (doc_id, copy, node); every node's (node, least, rows), least being its first row by id, then text; and
+    (node, root) of nodes that link to another."""
+    prints = materialize(with_signatures(docs, id_col, text_col, shingle_words, radius), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("least")
+    nodes = materialize(prints.groupBy("node").agg(first, F.count("*").alias("rows"), F.first("keys").alias("keys"), F.first("places").alias("places")), "nodes")
+    candidates = connected_components(similar_links(nodes))
+    groups = candidates.join(nodes.select("node", "least.doc_id", "least.copy"), "node")
+    links = verified_links(docs, groups, id_col, text_col, shingle_words)
+    whole = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = materialize(whole.unionByName(connected_components(links.where("NOT whole"))), "roots")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    return prints.select("doc_id", "copy", "node"), nodes.select("node", "least", "rows"), materialize(roots, "roots")
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) for every row, as near_duplicates(), with links at a shingle similarity of 0.8 or more.
 
     A radius of 3 bits holds only pairs of higher similarity (at 0.8 about ten bits differ), and no covering family of
-    usable size reaches that far. So candidates are the covering tables' links and those of a banded min-wise
-    signature; the pairs of a group of candidates link if their exact similarity is 0.8 or more.
+    usable size reaches that far. So candidates share a bucket of the covering tables or a band of a min-wise signature;
+    the pairs of a group of candidates link if their exact similarity is 0.8 or more.
     """
-    prints = materialize(with_signatures(docs, id_col, text_col, shingle_words), "signatures")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "nodes")
-    groups = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "groups")
-    heads = groups.select("fp", "head")
-    of_a, of_b = heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b"))
-    by_bits = near_links(groups, radius).join(of_a, "a").join(of_b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    same_bits = nodes.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
-    candidates = connected_components(by_bits.unionByName(same_bits).unionByName(similar_links(nodes)))
-    roots = connected_components(verified_links(docs, nodes, candidates, text_col, shingle_words))
-    own = materialize(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
-    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    prints, nodes, roots = _similar(docs, id_col, text_col, shingle_words, radius)
+    own = materialize(nodes.select("node", "least.doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "named")
+    named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component (of similar_duplicates), so one of each group stays.
+    """One row of each component of similar_duplicates(): that with the smallest id (rows without an id come last), of
+    those the one with the smallest hash of its text, and of rows alike in both just one.
 
-    Of rows alike in id and text one stays. Rows without an id stay only if their whole component has no id.
+    Two texts under one id are different rows, and each stays if it is its component's first. Only ids and hashes move:
+    a table of the rows to drop is joined to docs, which is no shuffle of texts unless very many are dropped.
     """
-    found = similar_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
+    prints, nodes, roots = _similar(docs, id_col, text_col, 5, 3)
+    linked = nodes.join(roots, "node", "left").where("root IS NOT NULL OR rows > 1").select("node", "least", F.coalesce("root", "node").alias("root"))
+    linked = materialize(linked, "linked")
+    winner = materialize(linked.groupBy("root").agg(F.min("least").alias("winner")), "winners")
+    named = materialize(linked.select("node", "root").join(small(winner), "root").select("node", "winner"), "named")
+    rows = prints.join(small(named), "node").groupBy("doc_id", "copy").agg(F.count("*").alias("times"), F.first("winner").alias("winner"))
+    wins = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("copy") == F.col("winner.copy"))
+    marked = rows.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), wins.alias("wins"), "times").where("NOT wins OR times > 1")
+    marked = materialize(marked, "marked")
     # The row travels whole, so its other columns may have any name.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.coalesce(F.col(id_col), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_none"), F.xxhash64(text_col).alias("_text"), F.length(text_col).alias("_size"))
-    rows = rows.join(kept, ["_id", "_none"], "left_semi")
-    same = Window.partitionBy("_id", "_none", "_text", "_size").orderBy("_text")
-    rows = rows.withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("_own"), _copy(text_col).alias("_text"))
+    every = every.join(small(marked), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_copy")), "left")
+    alone = every.where("wins IS NULL").select("row")
+    out = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    if marked.where("wins").isEmpty():  # no rows alike in id and text
+        return alone.select(*out)
+    alike = every.where("wins").select("row", "_id", "_copy", F.row_number().over(Window.partitionBy("_id", "_copy").orderBy("_copy")).alias("rank")).where("rank = 1").select("row")
+    return alone.unionByName(alike).select(*out)

@@ -501,31 +501,44 @@ def test_near_duplicates(spark, hard, empty):
     assert simhash.near_duplicates(empty).isEmpty()
 
 
+def _signed64(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _roots(nodes, links):
+    root = {v: v for v in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
+
+
 def test_covering_and_blocks(spark):
     masks = simhash.covering_masks()
     r = random.Random(2)
     for _ in range(3000):
         d = sum(1 << b for b in r.sample(range(64), r.randint(0, 3)))
         assert any(d & m == 0 for m in masks)
-    centre = r.getrandbits(63)
-    near = {centre ^ (1 << b) for b in range(60)} | {r.getrandbits(63) for _ in range(200)}
-    df = spark.createDataFrame([(x,) for x in near], "fp long")
-    values = np.array(sorted(near), np.uint64)
-    adjacency = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    centre = r.getrandbits(64)
+    near = {centre ^ (1 << b) for b in range(60)} | {r.getrandbits(64) for _ in range(200)}
+    alone = [r.getrandbits(64) for _ in range(64)]
+    near |= {*alone} | {x ^ (1 << b) ^ (1 << (b + 7) % 64) for b, x in enumerate(alone)}  # every bit, the highest too
+    values = np.array(sorted(_signed64(x) for x in near), np.int64)
+    df = spark.createDataFrame([(int(x),) for x in values], "fp long")
+    bits = values.view(np.uint64)
+    adjacency = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3
+    want = np.arange(len(values))
+    for _ in range(len(values)):
+        want = np.where(adjacency, want[None, :], len(values)).min(axis=1)
     for block in (4, 1024):  # many parts of a bucket, and one
-        links = simhash.near_links(df, block=block).collect()
-        root = {int(v): int(v) for v in values}
-        for _ in range(len(links)):
-            changed = False
-            for a, b in links:
-                low = min(root[a], root[b])
-                changed |= root[a] != low or root[b] != low
-                root[a] = root[b] = low
-            if not changed:
-                break
-        group = np.array([root[int(v)] for v in values])
-        assert (group[:, None] == group[None, :])[adjacency].all() and len(set(group.tolist())) == 201
-        assert len(links) < 15 * 60 * 4
+        links = [(x.a, x.b) for x in simhash.near_links(df, block=block).collect()]
+        root = _roots(values.tolist(), links)
+        group = np.array([root[v] for v in values.tolist()])
+        assert (group == values[want]).all() and len(links) < 15 * len(values)
 
 
 def test_components_path(spark):
@@ -541,9 +554,12 @@ def test_keep_one(spark, hard, empty):
     base = prose(120, 11)
     near = base.split()
     near[60] = "changed"
-    extra = spark.createDataFrame([(300, base), (301, " ".join(near)), (302, base), (303, prose(120, 12)), (303, prose(120, 12))], "doc_id long, text string")
-    kept = sorted(r.doc_id for r in simhash.keep_one(extra).collect())
-    assert kept == [300, 303]  # a word of 120 changed: a similarity of 0.92 in five-word shingles
+    near, other = " ".join(near), prose(120, 12)
+    rows = [(300, base), (301, near), (302, base), (303, other), (303, other), (304, prose(120, 13)), (304, prose(120, 14)), (None, base), (None, prose(120, 15)), (None, prose(120, 15)), (None, prose(120, 16)), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # A word of 120 changed: a similarity of 0.92 in five-word shingles. Texts without words are near duplicates of each other.
+    want = [(300, base), (303, other), (304, prose(120, 13)), (304, prose(120, 14)), (None, prose(120, 15)), (None, prose(120, 16)), (None, "")]
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted((i or 0, t) for i, t in want)
     out = simhash.keep_one(hard)
     assert out.columns == hard.columns and {r._id for r in out.collect()} == {7}
     assert simhash.keep_one(empty).isEmpty()
@@ -579,11 +595,11 @@ def test_exact_similarity_in_parts(spark):
     words = [f"w{k}" for k in range(300)]
     texts = [" ".join(words[: 100 + 2 * k]) for k in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    nodes = simhash.with_signatures(docs)
-    roots = nodes.select("node", F.lit(1).cast("long").alias("root"))
+    groups = simhash.with_signatures(docs).select("node", F.lit(1).cast("long").alias("root"), "doc_id", "copy")
     for block in (4, 256):  # many cells, and one
-        links = simhash.verified_links(docs, nodes, roots, block=block)
+        links = simhash.verified_links(docs, groups, block=block)
         assert components.connected_components(links).groupBy("root").count().first()["count"] == 40
+        assert {x.whole for x in links.collect()} == {block == 256}
 
 
 # -- 9
