@@ -5,8 +5,8 @@ it lies in any occurrence of any window. Windows are sets of word shingles, orde
 of a window's shingles must occur, the necessary prefix is its rarest one. Documents join on that shingle only; the
 shingle's place in the window bounds where the window can start and end, and the words there are then compared.
 
-The corpus is read once: a Bloom filter of fixed size over the benchmark's shingles picks the stretches of text whose
-every word lies in some benchmark shingle. Equal stretches are joined once, however many documents hold them.
+The corpus is read once: a Bloom filter over the benchmark's shingles picks the stretches of text whose every word lies
+in some benchmark shingle. Equal stretches are joined once, however many documents hold them.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keyed, materialize, same_row
+from larkspur.llm.common import keyed, materialize, same_row, small
 
-#: Bits of the Bloom filter (2 MB), whatever the size of the benchmark; what it lets through is joined exactly.
-BLOOM_BITS = 24
+#: The Bloom filter's size: 64 bits a shingle, between 2**20 and 2**28 (32 MB); what it lets through is joined exactly, so
+#: with over 16 million shingles more of the text is joined, and nothing is lost.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 20, 28
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -46,26 +47,34 @@ def _shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return (s ^ (s >> np.uint64(29))) * _M2
 
 
-def _bloom_bits(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = np.uint64(64 - BLOOM_BITS)
+def _bloom_bits(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    top = np.uint64(64 - size)
     return s >> top, (s * _M1) >> top
 
 
 def _bloom_filter(shingles: DataFrame) -> np.ndarray:
-    """The filter's bits as bytes. The driver gets at most 2**(BLOOM_BITS - 6) longs."""
+    """The filter's bits, packed in bytes: 2**20 to 2**28 of them, the number being a power of two."""
+    size = min(max((BITS_EACH * shingles.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             s = [_shingle_hashes(_hashes(w), len(w)) for x in b.column("shingle").to_pylist() if (w := x.encode().split(b" "))]
-            at = np.concatenate([y for x in s for y in _bloom_bits(x)]) if s else np.empty(0, np.uint64)
+            at = np.concatenate([y for x in s for y in _bloom_bits(x, size)]) if s else np.empty(0, np.uint64)
             bits = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], ["slot", "bits"])
 
-    rows = shingles.mapInArrow(batches, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for slot, bits in rows:
-        out[slot] = bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    rows = shingles.mapInArrow(batches, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _passes(s: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """Which shingles pass the filter."""
+    out = np.ones(len(s), bool)
+    for at in _bloom_bits(s, (len(bloom) * 8).bit_length() - 1):
+        out &= (bloom[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _stretches(texts: list[bytes], sizes: list[int], bloom: np.ndarray) -> list[tuple[int, list[str]]]:
@@ -78,8 +87,7 @@ def _stretches(texts: list[bytes], sizes: list[int], bloom: np.ndarray) -> list[
     covered = np.zeros(len(words) + 1, np.int64)
     for k in sizes:
         if len(words) >= k:
-            a, b = _bloom_bits(_shingle_hashes(h, k))
-            at = np.flatnonzero(bloom[a] & bloom[b] & (doc[: len(words) - k + 1] == doc[k - 1 :]))
+            at = np.flatnonzero(_passes(_shingle_hashes(h, k), bloom) & (doc[: len(words) - k + 1] == doc[k - 1 :]))
             np.add.at(covered, at, 1)
             np.add.at(covered, at + k, -1)
     mask = np.cumsum(covered)[:-1] > 0
@@ -95,10 +103,10 @@ def _stretches(texts: list[bytes], sizes: list[int], bloom: np.ndarray) -> list[
 
 def _scan(docs: DataFrame, sizes: list[int], bloom: np.ndarray) -> DataFrame:
     """(doc_id, text_key, n_words, stretches) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        bits = shared.value
         for b in it:
             texts = [x.as_buffer().to_pybytes() for x in b.column("text").cast(pa.binary())]
             found, start, size = [], 0, 0
@@ -145,7 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pieces = materialize(_shingled(windows, "words", "k").select("window", "w", "k", "pos", "shingle"), "shingles")
     sizes = sorted(r[0] for r in pieces.select("k").distinct().collect())  # at most shingle_words values
 
-    scanned = materialize(_scan(docs, sizes, _bloom_filter(pieces.select("shingle").distinct())), "stretches")
+    distinct = materialize(pieces.select("shingle").distinct(), "distinct")
+    scanned = materialize(_scan(docs, sizes, _bloom_filter(distinct)), "stretches")
     # Rows alike in id and text count once; their result goes to each of them.
     hits = scanned.where(F.size("stretches") > 0).groupBy("doc_id", "text_key").agg(F.first("stretches").alias("stretches"))
     hits = materialize(hits.select("doc_id", "text_key", F.explode("stretches").alias("stretch")).withColumn("run", F.sha2("stretch", 256)), "hits")
@@ -183,10 +192,14 @@ def is_contaminated():
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that the rule calls contaminated; columns as they were."""
+    """docs without the rows that the rule calls contaminated; columns as they were.
+
+    The rows to drop are written first, so that their number is known: texts are only shuffled if very many go.
+    """
     bad = contamination(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    bad = materialize(bad, "contaminated")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (own == bad["_key"]), "left_anti")
+    return docs.join(small(bad), docs["doc_id"].eqNullSafe(bad["_id"]) & (own == bad["_key"]), "left_anti")
 
 
 #: The contract's rows in DuckDB SQL: every window of every document against every window of every item.
