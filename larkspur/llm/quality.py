@@ -6,28 +6,28 @@ probability then splits into a sum over the n-grams of a text:
 
     log P(c | h) = u + sum over lengths k of  w[last k characters of hc] + b[last k - 1 characters of h]
 
-with w and b zero for what was not seen. So a document's likelihood is a join of its n-grams with the count tables,
-summed, and the tables can be cut into shards of bounded size; each shard adds its part. Texts are never shuffled for
-scoring. A document is kept if its perplexity is within the quantile that trusted documents of its language reach.
+with w and b zero for what was not seen. So a document's likelihood is a join of its n-gram counts with the model's
+table, summed. The table is cut into shards of bounded size, which travel to the documents: each shard is joined where
+the n-grams are made, and only sums by document are shuffled, never n-grams or texts. A document is kept if its perplexity is within the quantile that trusted documents of its language reach.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import materialize, same_row
 
 ORDER = 4
 #: Rows of the model in one shard at most (on average); labelled ids that may be broadcast at most.
-SHARD_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
+SHARD_ROWS, BROADCAST_IDS = 500_000, 300_000
 _SYMBOL = 16
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: An n-gram's shard is the remainder of its code folded by these shifts; Spark and numpy compute it alike.
+_FOLDS, _LOW = (13, 29, 47), (1 << 31) - 1
 _DIGIT, _SPACE = ord("0"), ord(" ")
 
 
@@ -118,110 +118,84 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     return out.groupBy("gram").agg(F.sum("w").alias("w"), F.sum("b").alias("b")), unseen
 
 
-@dataclass
-class Shard:
-    """An open-addressed table of n-grams, at most half full."""
-
-    keys: np.ndarray
-    w: np.ndarray
-    b: np.ndarray
-    probes: int
-
-    @classmethod
-    def of(cls, gram: np.ndarray, w: np.ndarray, b: np.ndarray) -> Shard:
-        bits = max(4, (2 * len(gram)).bit_length())
-        keys = np.zeros(1 << bits, np.uint64)
-        held_w, held_b = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
-        at = cls._home(gram, bits)
-        left, probes = np.arange(len(gram)), 0
-        while len(left):
-            free = left[keys[at[left]] == 0]
-            _, first = np.unique(at[free], return_index=True)
-            won = free[first]
-            keys[at[won]], held_w[at[won]], held_b[at[won]] = gram[won], w[won], b[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
-            at[left] = (at[left] + 1) & ((1 << bits) - 1)
-            probes += 1
-        return cls(keys, held_w, held_b, probes)
-
-    @staticmethod
-    def _home(gram: np.ndarray, bits: int) -> np.ndarray:
-        return ((gram * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def places(self, gram: np.ndarray) -> np.ndarray:
-        """Where each n-gram is; -1 if it isn't here."""
-        bits = len(self.keys).bit_length() - 1
-        at = self._home(gram, bits)
-        held = self.keys[at]
-        out = np.where(held == gram, at, -1)
-        open_ = np.flatnonzero((held != gram) & (held != 0))
-        for _ in range(self.probes - 1):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
-            held = self.keys[at[open_]]
-            hit = held == gram[open_]
-            out[open_[hit]] = at[open_[hit]]
-            open_ = open_[~hit & (held != 0)]
-        return out
-
-    def score(self, texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the sum of this shard's terms, and the number of symbols predicted."""
-        each = [symbols(t) for t in texts]
-        sizes = np.array([len(s) for s in each])
-        ends = np.cumsum(sizes)
-        s = np.concatenate(each)
-        doc = np.repeat(np.arange(len(each)), sizes)
-        inside = np.arange(len(s)) - np.repeat(ends - sizes, sizes)
-        total = np.zeros(len(s), np.float32)
-        values = np.append(self.w, 0), np.append(self.b, 0)
-        codes = s
-        for k in range(1, order + 1):  # codes[i]: the last k symbols up to i
-            if k == 1:
-                codes = s.copy()
-            else:
-                codes[k - 1 :] |= s[: len(s) - k + 1] << np.uint64(_SYMBOL * (k - 1))
-            at = np.where(inside >= k - 1, self.places(codes), -1)
-            total += values[0][at]
-            if k < order:  # it is the context of the next symbol, if that is in the same text
-                total[1:] += np.where(inside[1:] > 0, values[1][at[:-1]], 0)
-        return np.bincount(doc, total, len(each)), sizes
+def _shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
+    for by in _FOLDS:
+        gram = gram ^ (gram >> np.uint64(by))
+    return (gram & np.uint64(_LOW)) % np.uint64(shards)
+
+
+def _counted(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the text, gram, n, n_context) for every text's distinct n-grams up to `order`: how often each occurs, and
+    how often before another symbol. The n-gram 0 stands for the text: its n is the number of symbols, its n_context 1."""
+    each = [symbols(t) for t in texts]
+    sizes = np.array([len(s) for s in each])
+    yield np.arange(len(each)), np.zeros(len(each), np.uint64), sizes, np.ones(len(each), np.int64)
+    for k in range(1, order + 1):
+        longs = [i for i, s in enumerate(each) if len(s) >= k]
+        found = [np.unique(_codes(each[i], k), return_counts=True) for i in longs]
+        if not found:
+            continue
+        gram, n = (np.concatenate([f[c] for f in found]) for c in (0, 1))
+        own = np.array([len(f[0]) for f in found])
+        before = n.copy() if k < order else np.zeros_like(n)
+        if k < order:  # a text's last n-gram is before nothing
+            starts = np.cumsum(own) - own
+            before[[a + int(np.searchsorted(f[0], _codes(each[i][-k:], k)[0])) for a, f, i in zip(starts.tolist(), found, longs, strict=True)]] -= 1
+        yield np.repeat(longs, own), gram, n, before
+
+
+def document_ngrams(docs: DataFrame, order: int = ORDER, shards: int = 1, shard: int = 0) -> DataFrame:
+    """(doc_id, text_key, gram, n, n_context) for the distinct n-grams of every row that are in the shard."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column("text").to_pylist()
+            at = 0
+            while at < len(texts):  # about 100 kB at a time
+                end, size = at, 0
+                while end < len(texts) and size < 100_000:
+                    size += len(texts[end])
+                    end += 1
+                for which, gram, n, before in _counted(texts[at:end], order):
+                    if shards > 1:
+                        here = _shard_of(gram, shards) == shard
+                        which, gram, n, before = which[here], gram[here], n[here], before[here]
+                    rows = pa.array(which + at)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("text_key").take(rows), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(before.astype(np.int64))], ["doc_id", "text_key", "gram", "n", "n_context"])
+                at = end
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text_key", "text").mapInArrow(batches, f"doc_id {kind}, text_key long, gram long, n long, n_context long")
 
 
 def score(docs: DataFrame, model: DataFrame, unseen: float, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (with a column `text`) with loglik and n_symbols instead of the text; every shard of the model adds its part.
+    """(doc_id, text_key, loglik, n_symbols) for every distinct doc_id and text_key of docs (with a column `text`).
 
-    Shards are made by hash and hold about shard_rows n-grams, so what is sent to the driver and broadcast at a time
-    is bounded however large the model is.
+    Shards are made by hash and hold about shard_rows n-grams. Each is joined to the documents' n-gram counts by
+    broadcast, and its sums are written before the next one is sent, so however large the model is, one shard is held.
     """
-    model = materialize(model, "model")
+    spark = docs.sparkSession
+    seen = spark.createDataFrame([(0, unseen, 0.0)], "gram long, w double, b double")  # the n-gram 0: all symbols as unseen ones
+    model = materialize(model.unionByName(seen), "model")
     shards = max(1, -(-model.count() // shard_rows))
-    sc = docs.sparkSession.sparkContext
-    out = docs.withColumns({"loglik": F.lit(0.0), "n_symbols": F.lit(0).cast("long")})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    folded = F.col("gram")
+    for by in _FOLDS:
+        folded = folded.bitwiseXOR(F.shiftrightunsigned(folded, by))
+    part = folded.bitwiseAND(F.lit(_LOW)) % shards
+    keys, whole = ["doc_id", "text_key"], F.col("gram") == 0
+    sums = None
     for i in range(shards):
-        rows = model.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i).toArrow()
-        shard = sc.broadcast(Shard.of(rows["gram"].to_numpy().view(np.uint64), rows["w"].to_numpy(), rows["b"].to_numpy()))
-
-        def batches(it: Iterator[pa.RecordBatch], shard=shard, first=i == 0) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                texts = b.column("text").to_pylist()
-                loglik, n = np.array(b.column("loglik").to_pylist(), float), np.zeros(len(texts), np.int64)
-                at = 0
-                while at < len(texts):  # about 300 kB at a time
-                    end, size = at, 0
-                    while end < len(texts) and size < 300_000:
-                        size += len(texts[end])
-                        end += 1
-                    part, count = shard.value.score(texts[at:end], order)
-                    loglik[at:end] += part + (unseen * count if first else 0)
-                    n[at:end] = count
-                    at = end
-                columns = {name: b.column(name) for name in b.schema.names} | {"loglik": pa.array(loglik), "n_symbols": pa.array(n)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        out = out.mapInArrow(batches, schema)
-    return out.drop("text")
+        own = model if shards == 1 else model.where(part == i)
+        joined = document_ngrams(docs, order, shards, i).join(F.broadcast(own), "gram")
+        found = joined.groupBy(*keys).agg(
+            F.sum(F.col("n") * F.col("w") + F.col("n_context") * F.col("b")).alias("loglik"), F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("n_symbols"), F.sum(F.when(whole, F.col("n_context")).otherwise(0)).alias("rows")
+        )
+        found = materialize(found, "sums")
+        sums = found if sums is None else sums.unionByName(found)
+    if shards > 1:
+        sums = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("loglik", "n_symbols", "rows")])
+    # Rows alike in id and text were counted together.
+    return sums.select(*keys, (F.col("loglik") / F.col("rows")).alias("loglik"), F.floor(F.col("n_symbols") / F.col("rows")).alias("n_symbols"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: float = 200.0, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -241,7 +215,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior:
     learn = F.pmod("text_key", F.lit(5)) != 0
     texts = rows.where("text <> ''").where(learn).join(ids, "doc_id", "left_semi").select("text")
     model, unseen = train(texts, order)
-    scored = materialize(score(rows, model, unseen, order), "scored")
+    sums = score(rows, model, unseen, order)
+    # A language is not part of a row's text: rows alike in id and text may differ in it.
+    names = rows.select("doc_id", "text_key", "lang")
+    scored = names.join(sums, same_row(names, sums)).select(names["doc_id"], names["text_key"], "lang", "loglik", "n_symbols")
+    scored = materialize(scored, "scored")
     nll, n = -F.col("loglik"), F.col("n_symbols")
     known = scored.where(n > 1).where(~learn).join(ids, "doc_id", "left_semi")
     typical = known.groupBy(F.col("lang").alias("_lang")).agg((F.sum(nll) / F.sum(n)).alias("mu"))

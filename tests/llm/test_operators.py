@@ -326,17 +326,96 @@ def test_language(spark, sf_dir, hard, empty):
     assert language.predict(empty, model).isEmpty()
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = ["abracadabra abra", "cadabra abrac dab", "aab bba abab", "zebra quux"]
-    model, unseen = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    rows = model.toArrow()
-    shard = quality.Shard.of(rows["gram"].to_numpy().view(np.uint64), rows["w"].to_numpy(), rows["b"].to_numpy())
-
-    def loglik(t):
-        return shard.score([t], 4)[0][0] + unseen * (len(t) + 1)
-
+class _KneserNey:
+    """Plain interpolated modified Kneser-Ney over dictionaries of strings."""
+
+    def __init__(self, texts, order=4):
+        self.order = order
+        texts = [self.norm(t) for t in texts]
+        counts = [{} for _ in range(order + 1)]
+        for t in texts:
+            for i in range(len(t) - order + 1):
+                counts[order][t[i : i + order]] = counts[order].get(t[i : i + order], 0) + 1
+        for k in range(order - 1, 0, -1):
+            left = {}
+            for g in counts[k + 1]:
+                left.setdefault(g[1:], set()).add(g[0])
+            starts = {t[:k] for t in texts if len(t) >= k}
+            counts[k] = {g: len(left.get(g, ())) + (g in starts) for g in {*left, *starts}}
+        self.counts, self.levels = counts, [None]
+        for k in range(1, order + 1):
+            of = {}
+            for n in counts[k].values():
+                of[n] = of.get(n, 0) + 1
+            d = [0.5, 0.75, 1.0]
+            if all(of.get(i) for i in (1, 2, 3, 4)):
+                y = of[1] / (of[1] + 2 * of[2])
+                d = [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+            context = {}
+            for g, n in counts[k].items():
+                total, mass = context.get(g[:-1], (0, 0.0))
+                context[g[:-1]] = total + n, mass + d[min(n, 3) - 1]
+            self.levels.append((d, context))
+        self.base = self.levels[1][1][""][1] / self.levels[1][1][""][0] / (len(counts[1]) + 1)
+
+    @staticmethod
+    def norm(t):
+        return re.sub(r"[\t-\r]", " ", re.sub("[0-9]", "0", " " + t))
+
+    def p(self, h, c):
+        out = self.base
+        for k in range(1, self.order + 1):
+            if k - 1 > len(h):
+                break
+            own = h[len(h) - k + 1 :]
+            d, context = self.levels[k]
+            if own in context or k == 1:
+                total, mass = context.get(own, (0, 0.0))
+                n = self.counts[k].get(own + c, 0)
+                lower = out if k > 1 else self.base
+                out = (n - d[min(n, 3) - 1] if n else 0) / total + (lower * mass / total if k > 1 else self.base)
+        return out
+
+    def loglik(self, t):
+        t = self.norm(t)
+        return sum(math.log(self.p(t[max(0, i - self.order + 1) : i], t[i])) for i in range(len(t))), len(t)
+
+
+KN_TEXTS = ["abracadabra abra", "cadabra abrac dab", "aab bba abab", "zebra quux", "", "a", "éa ü12 3\n\nzebra", prose(80, 1), prose(60, 2), "quux abra"]
+
+
+def test_kneser_ney_as_plain(spark):
+    own = _KneserNey(KN_TEXTS[:8])
     for h in ("abr", "xyz", "z", "ab ", "qq"):
-        assert sum(np.exp(loglik(h + c) - loglik(h)) for c in [*sorted(set("".join(texts) + " ")), "~"]) == pytest.approx(1, abs=1e-4)
+        assert sum(own.p(h, c) for c in [*own.counts[1], "~"]) == pytest.approx(1)
+    model, unseen = quality.train(spark.createDataFrame([(t,) for t in KN_TEXTS[:8]], "text string"))
+    docs = spark.createDataFrame([(i, i * 7, t) for i, t in enumerate(KN_TEXTS)] + [(3, 21, KN_TEXTS[3]), (None, 99, "abra"), (None, 99, "abra")], "doc_id long, text_key long, text string")
+    want = {(i, i * 7): own.loglik(t) for i, t in enumerate(KN_TEXTS)} | {(None, 99): own.loglik("abra")}
+    for rows in (500_000, 50):  # one shard, and many
+        got = {(x.doc_id, x.text_key): (x.loglik, x.n_symbols) for x in quality.score(docs, model, unseen, shard_rows=rows).collect()}
+        assert got.keys() == want.keys()
+        for key, (loglik, n) in want.items():
+            assert got[key][1] == n and got[key][0] == pytest.approx(loglik, rel=1e-9), key
+
+
+def test_quality_as_plain(spark):
+    """Perplexities and thresholds of classify() against the plain model, with the training fold taken from Spark's hash."""
+    rows = [(i, prose(r.randint(5, 60), i) if r.random() < 0.9 else "zq xx", r.choice(["en", "de", None])) for r in [random.Random(7)] for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 11 == 0)) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    fold = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(5)).alias("f")).collect()}
+    trusted = {i for i in range(0, 120, 2) if i % 3 and i % 11}
+    own = _KneserNey([t for i, t, _ in rows if i in trusted and fold[i]])
+    scores = {i: own.loglik(t) for i, t, _ in rows}
+    held = [i for i in trusted if not fold[i]]
+    mean = lambda ids: -sum(scores[i][0] for i in ids) / sum(scores[i][1] for i in ids)
+    lang = {i: x for i, _, x in rows}
+    of = lambda x: [i for i in held if lang[i] == x and x is not None] or held
+    ppl = {i: math.exp((-s + 200 * mean(of(lang[i]))) / (n + 200)) for i, (s, n) in scores.items()}
+    for x in quality.classify(docs, labels, quantile=0.8).collect():
+        limits = sorted(ppl[i] for i in of(x.lang))
+        assert x.perplexity == pytest.approx(ppl[x.doc_id]) and x.threshold == pytest.approx(limits[math.ceil(0.8 * len(limits)) - 1])
+        assert x.keep == (x.perplexity <= x.threshold)
 
 
 def test_quality(spark, hard, empty):
@@ -347,18 +426,11 @@ def test_quality(spark, hard, empty):
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
     assert len(got) == 64 and not got[100].keep and not got[101].keep and got[101].perplexity is None and not got[102].keep
     assert sum(got[i].keep for i in range(60)) >= 50 and got[103].threshold is not None
-    shards = {r.doc_id: r.perplexity for r in quality.score(docs.fillna("", "text").select("doc_id", "text"), *_model(spark, good), shard_rows=200).selectExpr("doc_id", "loglik AS perplexity").collect()}
-    one = {r.doc_id: r.perplexity for r in quality.score(docs.fillna("", "text").select("doc_id", "text"), *_model(spark, good)).selectExpr("doc_id", "loglik AS perplexity").collect()}
-    assert shards == pytest.approx(one, rel=1e-4)
     nothing = quality.classify(hard, labels.limit(0))
     assert nothing.count() == hard.count() and nothing.where("keep").count() == nothing.where("perplexity is not null").count()
     assert quality.classify(empty, labels).isEmpty()
 
 
-def _model(spark, good):
-    return quality.train(spark.createDataFrame([(t,) for _, t, _ in good], "text string"))
-
-
 # -- 5
 
 
