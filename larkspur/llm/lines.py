@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import let, materialize
 
 #: A line is boilerplate on a host if it is on more than this share of its pages, and on at least this many.
 RATIO, MIN_PAGES = 0.01, 5
@@ -29,7 +29,7 @@ def _blank(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
-    """(host, lines): for each host with boilerplate, the SHA-256 digests of those lines. A null host is a host of its own.
+    """(host, lines): for each host with boilerplate, the SHA-256 digests of those lines in hex. A null host is a host of its own.
     Without `copies`, a host's pages of the same text are one page."""
     pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("page", F.xxhash64("text"))
     number = F.count("*") if copies else F.count_distinct("page")
@@ -38,7 +38,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     often = materialize(counts.where(F.col("n") >= min_pages), "lines")
     totals = pages.groupBy("host").agg(number.alias("pages"))
     held = often.join(totals, often["host"].eqNullSafe(totals["host"])).where(F.col("n") > ratio * F.col("pages"))
-    return held.groupBy(often["host"]).agg(F.collect_list("digest").alias("lines"))
+    return held.groupBy(often["host"]).agg(F.collect_list(F.lower(F.hex("digest"))).alias("lines"))
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
@@ -54,12 +54,14 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host_col).alias("site"), F.col(text_col).alias("text"))
     rows = rows.join(found, rows["site"].eqNullSafe(found["host"]), "left")
     every = F.split("text", "\n", -1)
-    kept = F.filter(every, lambda x: _blank(x) | ~F.array_contains("lines", _digest(x)))
+    # A page's own boilerplate is found by hash in one pass over the host's list, not by a search of it for each line.
+    own = F.array_intersect(F.transform(every, lambda x: F.sha2(x, 256)), "lines")
+    kept = let(own, lambda bad: F.when(F.size(bad) == 0, every).otherwise(F.filter(every, lambda x: _blank(x) | ~F.array_contains(bad, F.sha2(x, 256)))))
     cleaned = rows.withColumn("kept", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), kept))
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("kept"))
-    own = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_dropped"]
-    return cleaned.select(*own, dropped.alias("n_dropped"))
+    columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_dropped"]
+    return cleaned.select(*columns, dropped.alias("n_dropped"))
 
 
 #: The same rows in DuckDB SQL, over a table or query {docs}.
