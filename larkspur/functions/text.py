@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -126,6 +129,19 @@ def score_texts(df: DataFrame, text: str, model, name: str = "score") -> DataFra
     return df.withColumn(name, run(text))
 
 
+def word_model(weights: dict[str, float], per_word: float = 0.0) -> Callable[[list[str]], list[float]]:
+    """A logistic model of word counts for score_texts(): weights of lower-case words, and one for every word."""
+
+    def score(texts: list[str]) -> list[float]:
+        out = []
+        for t in texts:
+            total = per_word * len(re.findall("[^ ]+", t)) + sum(weights.get(w, 0.0) for w in re.findall(r"\b[a-z]+\b", t.lower()))
+            out.append(1 / (1 + math.exp(-total)) if total > -700 else 0.0)
+        return out
+
+    return score
+
+
 def hashed_vector(df: DataFrame, text: str, size: int = 256, name: str = "vec") -> DataFrame:
     """df with unit vectors of hashed words: an encoder that needs no model."""
     from pyspark.ml.feature import HashingTF, Normalizer

@@ -35,18 +35,36 @@ def coercion_losses(df: DataFrame, longs: list[str] = (), doubles: list[str] = (
     return each.select(F.col("x")[0].alias("column"), F.col("x")[1].cast("bigint").alias("missing"), F.col("x")[2].cast("bigint").alias("unparsable"))
 
 
-def _shaped(c: Column, fmt: str) -> Column:
-    """c as a timestamp where its digits and marks have the format's shape, so that other formats are never tried on it."""
-    shape = re.sub("[A-Za-z]", r"\\d", fmt)
-    return F.when(c.rlike(f"^{shape}$"), F.try_to_timestamp(c, F.lit(fmt)))
+def _shape(text: str) -> str:
+    return re.sub("[A-Za-z0-9]", "0", text)
+
+
+def _iso(c: Column, fmt: str) -> Column:
+    """Text of the format's shape rewritten year first, by the places of the format's fields."""
+    field = lambda name: F.substring(c, fmt.index(name) + 1, len(name))
+    day = F.concat_ws("-", *[field(x) for x in ("yyyy", "MM", "dd")])
+    return F.concat(day, F.lit(" "), F.concat_ws(":", *[field(x) for x in ("HH", "mm", "ss")])) if "HH" in fmt else day
+
+
+def _parsed(c: Column, formats: list[str]) -> Column:
+    """A timestamp where the text has the shape of one of the formats (its digits and marks) and is a date; of formats of
+    one shape the first that gives a date."""
+    same: dict[str, list[str]] = {}
+    for f in formats:
+        same.setdefault(_shape(f), []).append(f)
+    shape, out = F.translate(c, "0123456789", "0" * 10), None
+    for of, held in same.items():
+        value = F.coalesce(*[_iso(c, f).try_cast("timestamp") for f in held])
+        out = F.when(shape == of, value) if out is None else out.when(shape == of, value)
+    return out
 
 
 def parse_dates(df: DataFrame, column: str, mode: str = "coalesce", formats=DATE_FORMATS) -> DataFrame:
     """Text to timestamps. mode 'coalesce': the first format that fits a row; 'column': one format for all rows, the
     first that parses any (other rows become null)."""
-    tried = [_shaped(F.col(column), f) for f in formats]
     if mode == "coalesce":
-        return df.withColumn(column, F.coalesce(*tried))
+        return df.withColumn(column, _parsed(F.col(column), list(formats)))
+    tried = [_parsed(F.col(column), [f]) for f in formats]
     found = df.agg(*[F.count(t).alias(f"f{i}") for i, t in enumerate(tried)]).first()
     best = next((i for i in range(len(formats)) if found[i]), 0)
     return df.withColumn(column, tried[best])

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import dot
-from larkspur.operators.ranking import exclude_pairs, top_k
+from larkspur.functions.vectors import unit
+from larkspur.operators.ranking import item_blocks, top_k, top_of, unseen_of
 
 #: Fixed presets of the ALS trainer: rank, iterations, regularisation, alpha.
 PRESETS = {"default": (64, 15, 0.1, 10.0), "fast": (32, 8, 0.1, 10.0), "sparse": (64, 15, 0.05, 40.0)}
@@ -26,18 +27,49 @@ def fit_als(matrix: DataFrame, preset: str = "default", seed: int = 42, **overri
     return ALS(userCol="u_idx", itemCol="i_idx", ratingCol="value", implicitPrefs=True, coldStartStrategy="drop", seed=seed, **args).fit(matrix)
 
 
-def recommend(user_factors: DataFrame, item_factors: DataFrame, seen: DataFrame, k: int, blocks: int = 1) -> DataFrame:
-    """(user_id, item, score, rank) of unseen items by dot product. Items are taken in blocks; each block's best k a user
-    are kept and merged, so no user's whole list is ever held."""
-    found = None
-    users = user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("uf"))
-    for b in range(blocks):
-        part = item_factors if blocks == 1 else item_factors.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        pairs = users.crossJoin(part.select(F.col("id").alias("item"), F.col("features").alias("vf")))
-        scores = exclude_pairs(pairs.select("user_id", "item", dot(F.col("uf"), F.col("vf")).alias("score")), seen, ["user_id", "item"])
-        best = top_k(scores, ["user_id"], "score", k, "item")
-        found = best if found is None else found.unionByName(best)
-    return found if blocks == 1 else top_k(found.drop("rank"), ["user_id"], "score", k, "item")
+def recommend(user_factors: DataFrame, item_factors: DataFrame, seen: DataFrame, k: int, blocks: int = 1, block: int = 65_536) -> DataFrame:
+    """(user_id, item, score, rank) of unseen items by dot product; scores are rounded to 9 digits, ties go to the smaller item.
+
+    Item factors are sent in blocks of about `block` (or in `blocks` at least) to the users' partitions, where a matrix
+    product scores them and a user's own history is left out; each block gives a user's k best, so no user's whole list
+    is ever held, and no pairs are shuffled but those.
+    """
+    held = seen.groupBy("user_id").agg(F.collect_set(F.col("item").cast("long")).alias("seen"))
+    users = user_factors.select(F.col("id").cast("long").alias("user_id"), F.col("features").cast("array<double>").alias("uf")).join(held, "user_id", "left")
+    items = item_factors.select(F.col("id").cast("long").alias("q"), F.col("features").cast("array<double>").alias("qv"))
+    n = max(1, item_factors.count())
+    found = users.sparkSession.createDataFrame([], "user_id long, item long, score double")
+    for ids, matrix in item_blocks(items, min(block, -(-n // blocks))):
+        order = np.argsort(ids)
+
+        def best(it: Iterator[pa.RecordBatch], ids=ids[order], matrix=matrix[order]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                own, history = batch.column("uf"), batch.column("seen")
+                user = batch.column("user_id").to_numpy()
+                factors = own.flatten().to_numpy().reshape(len(user), -1)
+                step = max(1, 4_000_000 // len(ids))
+                for at in range(0, len(user), step):
+                    scores = np.round(factors[at : at + step] @ matrix.T, 9)
+                    for row, x in enumerate(history.slice(at, step)):
+                        if x.is_valid:
+                            mine = x.values.to_numpy()
+                            place = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                            scores[row, place[ids[place] == mine]] = -np.inf
+                    u, j = np.nonzero(top_of(scores, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(user[at + u]), pa.array(ids[j]), pa.array(scores[u, j])], ["user_id", "item", "score"])
+
+        found = found.unionByName(users.mapInArrow(best, "user_id long, item long, score double"))
+    return top_k(found, ["user_id"], "score", k, "item")
+
+
+def content_blend(user_factors: DataFrame, item_factors: DataFrame, profiles: DataFrame, vectors: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """(user_id, item, score, rank): weight * factors' dot product + (1 - weight) * cosine of a user's content profile and
+    an item's vector. Both are one dot product of longer vectors. profiles and vectors are (id, vec)."""
+    both = lambda f, v, a, b: F.concat(F.transform(f, lambda x: x * a), F.transform(unit(v), lambda x: x * b))
+    users = user_factors.join(profiles, "id").select("id", both(F.col("features").cast("array<double>"), F.col("vec"), weight, 1 - weight).alias("features"))
+    items = item_factors.join(vectors, "id").select("id", both(F.col("features").cast("array<double>"), F.col("vec"), 1.0, 1.0).alias("features"))
+    none = users.sparkSession.createDataFrame([], "user_id long, item long")
+    return recommend(users, items, none, k)
 
 
 def route(recommended: DataFrame, users: DataFrame, popular: DataFrame, k: int) -> DataFrame:
@@ -81,12 +113,16 @@ def sample_negatives(pairs: DataFrame, n_items: int, per_pair: int = 4, draws: i
 
 
 def popularity_negatives(pairs: DataFrame, popularity: DataFrame, per_pair: int = 1, pool: int = 200, seed: int = 0) -> DataFrame:
-    """Negatives from the `pool` most popular items with probability by count: the smallest exponential keys -ln(u) / n."""
-    top = popularity.orderBy(F.desc("n"), "i_idx").limit(pool).select(F.col("i_idx").alias("j_idx"), "n")
-    keys = pairs.select("u_idx", "i_idx").crossJoin(F.broadcast(top)).withColumn("key", -F.log(uniform_draw("u_idx", "i_idx", "j_idx", seed=seed) + 1e-12) / F.col("n"))
-    free = keys.join(pairs.select("u_idx", F.col("i_idx").alias("j_idx")).distinct(), ["u_idx", "j_idx"], "left_anti")
-    w = Window.partitionBy("u_idx", "i_idx").orderBy("key")
-    return free.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_pair).select("u_idx", "i_idx", "j_idx")
+    """Negatives from the `pool` most popular items with probability by count: the smallest exponential keys -ln(u) / n.
+    A pair's keys are made and cut within its row, of the pool's items that its user has no positive with."""
+    top = popularity.orderBy(F.desc("n"), "i_idx").limit(pool).persist()
+    users = pairs.select("u_idx").distinct()
+    free = unseen_of(top, users, pairs, "u_idx", "i_idx")
+    counts = top.agg(F.map_from_entries(F.collect_list(F.struct("i_idx", "n"))).alias("_counts"))
+    rows = pairs.select("u_idx", "i_idx").join(free, "u_idx").crossJoin(F.broadcast(counts))
+    key = lambda j: -F.log(uniform_draw("u_idx", "i_idx", j, seed=seed) + 1e-12) / F.element_at("_counts", j)
+    keyed = F.transform("free", lambda j: F.struct(key(j).alias("key"), j.alias("j_idx")))
+    return rows.select("u_idx", "i_idx", F.explode(F.slice(F.array_sort(keyed), 1, per_pair)).alias("x")).select("u_idx", "i_idx", "x.j_idx")
 
 
 def strategy(progress: float, shares: dict[str, float], *keys: str, seed: int = 0) -> Column:

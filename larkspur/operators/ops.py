@@ -72,9 +72,10 @@ def retention(models: DataFrame, by: str, ts: str, keep: int, metric: str) -> Da
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """(rows, digest): order-insensitive digest of a table, one number a row and a sum."""
-    h = F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)]), F.lit(1 << 40))
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"))
+    """(rows, digest): order-insensitive digest of a table, two 64-bit hashes a row and their sums."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in sorted(df.columns)]
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), *cells).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in (0, 1)]
+    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256).alias("digest"))
 
 
 def compare_maps(a: Column, b: Column) -> Column:

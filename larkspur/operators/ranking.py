@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine, dot
+from larkspur.functions.vectors import cosine, unit
 
 #: Fixed weights and ranges of the hybrid reranker.
 WEIGHTS = {"cf": 0.3, "content": 0.4, "popularity": 0.2, "quality": 0.1}
@@ -25,60 +27,124 @@ def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFra
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def scored_pairs(queries: DataFrame, items: DataFrame, similarity=dot) -> DataFrame:
+def item_blocks(queries: DataFrame, block: int, unit: bool = False, codes: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Vectors (q, qv[, codes]) as (ids, matrix[, codes]), in blocks by hash of about `block` vectors, so that what is
+    sent at a time is bounded."""
+    blocks = max(1, -(-queries.count() // block))
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "qv", *["codes"] * codes).toArrow()
+        if rows.num_rows:
+            yield rows["q"].to_numpy(), _matrix(rows["qv"], unit), *([_codes(rows["codes"])] if codes else [])
+
+
+def scored_pairs(queries: DataFrame, items: DataFrame, cosine: bool = False, block: int = 4096) -> DataFrame:
     """(q, i, score) of every stated query vector against every item: queries (q, qv), items (i, iv).
 
-    The queries are the stated side and are sent to the items' partitions; see knn() for many of them.
+    Blocks of queries are sent to the items' partitions and scored by matrix products. All pairs come out; where only
+    the best are wanted, knn_matrix() keeps them within each partition.
     """
-    return items.crossJoin(queries).select("q", "i", similarity(F.col("qv"), F.col("iv")).alias("score"))
+    out = items.sparkSession.createDataFrame([], "q long, i long, score double")
+    for ids, matrix in item_blocks(queries, block, cosine):
 
+        def scored(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                own, i = _matrix(batch.column("iv"), cosine), batch.column("i").to_numpy(zero_copy_only=False)
+                step = max(1, 1_000_000 // max(len(ids), 1))
+                for at in range(0, len(i), step):
+                    scores = own[at : at + step] @ matrix.T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(scores))), pa.array(np.repeat(i[at : at + step], len(ids))), pa.array(scores.ravel())], ["q", "i", "score"])
 
-def knn(queries: DataFrame, items: DataFrame, k: int, similarity=cosine, exclude_self: bool = False, blocks: int = 1) -> DataFrame:
-    """(q, i, score, rank): exact nearest neighbours. Queries are taken in blocks by hash, each against all items, with
-    a partial top k within each partition of the ranking window."""
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        pairs = scored_pairs(part, items, similarity)
-        pairs = pairs.where("q <> i") if exclude_self else pairs
-        found = top_k(pairs, ["q"], "score", k, "i")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(items.select("i", "iv").mapInArrow(scored, "q long, i long, score double"))
     return out
 
 
-def knn_matrix(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True, exclude_self: bool = False, block: int = 4096) -> DataFrame:
-    """knn() by matrix products: (q, i, score, rank) with scores rounded to 9 digits, ties to the smaller i.
+def knn_matrix(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True, exclude_self: bool = False, block: int = 4096, weight: float = 1.0, equal: tuple[float, ...] = ()) -> DataFrame:
+    """(q, i, score, rank): exact nearest neighbours by matrix products, with scores rounded to 9 digits, ties to the
+    smaller i.
 
-    Queries (q, qv) are cut by hash into blocks of about `block` vectors, each sent to the items' partitions (so what is
-    broadcast is bounded); a partition gives at most its own k best of each query, and ties with the last of them.
+    Queries (q, qv) go in blocks to the items' partitions; a partition gives at most its own k best of each query, and
+    ties with the last of them. With `equal`, both sides have an array `codes` of as many longs, and a score is weight
+    times the product plus equal[n] where the n-th codes are the same.
     """
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "qv").toArrow()
-        if not rows.num_rows:
-            continue
-        ids, matrix = rows["q"].to_numpy(), _matrix(rows["qv"], cosine)
+    out = items.sparkSession.createDataFrame([], "q long, i long, score double")
+    for ids, matrix, *codes in item_blocks(queries, block, cosine, bool(equal)):
 
-        def best(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def best(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, codes=codes) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 own, i = _matrix(batch.column("iv"), cosine), batch.column("i").to_numpy(zero_copy_only=False)
                 if not len(i):
                     continue
-                scores = np.round(matrix @ own.T, 9)
+                scores = matrix @ own.T
+                if equal:
+                    scores *= weight
+                    theirs = _codes(batch.column("codes"))
+                    for n, more in enumerate(equal):
+                        scores += more * (codes[0][:, n, None] == theirs[None, :, n])
+                scores = np.round(scores, 9)
                 if exclude_self:
                     scores[ids[:, None] == i[None, :]] = -np.inf
-                last = np.partition(scores, -min(k, len(i)), axis=1)[:, -min(k, len(i))]
-                at, j = np.nonzero((scores >= last[:, None]) & np.isfinite(scores))
+                at, j = np.nonzero(top_of(scores, k))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(i[j]), pa.array(scores[at, j])], ["q", "i", "score"])
 
-        found = items.select("i", "iv").mapInArrow(best, "q long, i long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return items.sparkSession.createDataFrame([], "q long, i long, score double, rank int")
+        out = out.unionByName(items.select("i", "iv", *["codes"] * bool(equal)).mapInArrow(best, "q long, i long, score double"))
     return top_k(out, ["q"], "score", k, "i")
 
 
+def top_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which scores are among their row's k largest, or equal the last of them; never -inf."""
+    k = min(k, scores.shape[1])
+    last = np.partition(scores, -k, axis=1)[:, -k]
+    return (scores >= last[:, None]) & np.isfinite(scores)
+
+
+def ivf_index(items: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """An inverted-file index of item vectors (i, iv): (i, iv, cell) for every item, and the cells' unit centroids.
+
+    The centroids are Spark's k-means of at most `sample` items by hash; there are the square root of the number of
+    items, from 10 to 100, unless `cells` says otherwise. Every item is indexed under its nearest centroid.
+    """
+    n = items.count()
+    cells = cells or int(min(max(np.sqrt(n), 10), 100))
+    some = items if n <= sample else items.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    ready = some.select(array_to_vector(unit(F.col("iv"))).alias("features"))
+    centres = np.array(KMeans(k=cells, seed=seed).fit(ready).clusterCenters())
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+    def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            cell = (_matrix(b.column("iv"), True) @ centres.T).argmax(axis=1).astype(np.int32) if b.num_rows else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("iv"), pa.array(cell)], ["i", "iv", "cell"])
+
+    kind = dict(items.dtypes)["i"]
+    return items.select("i", "iv").mapInArrow(assign, f"i {kind}, iv array<double>, cell int"), centres
+
+
+def ivf_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, probes: int = 10, exclude_self: bool = True) -> DataFrame:
+    """(q, i, score, rank): the best by cosine among the items of the `probes` cells nearest to each query.
+
+    A join on the cell; a cell's queries and items meet in as many tasks as Spark makes of it.
+    """
+
+    def probed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                near = np.argsort(-(_matrix(b.column("qv"), True) @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column("q").take(rows), b.column("qv").take(rows), pa.array(near.ravel())], ["q", "qv", "cell"])
+
+    kind = dict(queries.dtypes)["q"]
+    asked = queries.select("q", "qv").mapInArrow(probed, f"q {kind}, qv array<double>, cell int")
+    met = asked.join(index, "cell")
+    met = met.where("q <> i") if exclude_self else met
+    return top_k(met.select("q", "i", F.round(cosine(F.col("qv"), F.col("iv")), 9).alias("score")), ["q"], "score", k, "i")
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours (q, i) that were found."""
+    n = exact.count()
+    return exact.join(found.select("q", "i"), ["q", "i"], "left_semi").count() / n if n else 1.0
+
+
 def _matrix(column, unit: bool) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     m = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
@@ -86,19 +152,90 @@ def _matrix(column, unit: bool) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0) if unit else m
 
 
+def _codes(column) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
 def exclude_pairs(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(seen.select(*keys), keys, "left_anti")
 
 
+def unseen_of(pool: DataFrame, users: DataFrame, seen: DataFrame, user: str = "user_id", item: str = "product_id") -> DataFrame:
+    """(user, free): for each of users, the items of `pool` (item, n) that the user has no row of `seen` with, the most
+    frequent first. The pool has a stated length, and travels as one array; a user's history counts only where it
+    meets the pool, so users are never multiplied by items."""
+    ids = pool.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(item).alias("item")))), lambda x: x["item"]).alias("_pool"))
+    held = seen.join(F.broadcast(pool.select(item)), item, "left_semi").groupBy(user).agg(F.collect_set(item).alias("_seen"))
+    rows = users.select(user).distinct().join(held, user, "left").crossJoin(F.broadcast(ids))
+    return rows.select(user, F.when(F.col("_seen").isNull(), F.col("_pool")).otherwise(F.array_except("_pool", "_seen")).alias("free"))
+
+
 def popular_unseen(interactions: DataFrame, k: int, pool: int, users: DataFrame | None = None) -> DataFrame:
     """(user_id, product_id, n, rank): each user's k most popular items that they haven't touched.
 
-    pool bounds the popular side: it must be at least k more than any user's history to be exact for that user.
+    A pool of the most popular items serves most users. Those whom it leaves short have a long history; they get a
+    pool longer than the longest of those histories, so every user's list is exact.
     """
-    popular = interactions.groupBy("product_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "product_id").limit(pool)
+    counts = interactions.groupBy("product_id").agg(F.count("*").alias("n"))
+    top = lambda size: counts.orderBy(F.desc("n"), "product_id").limit(size).persist()
     users = (users if users is not None else interactions).select("user_id").distinct()
-    free = exclude_pairs(users.crossJoin(F.broadcast(popular)), interactions, ["user_id", "product_id"])
-    return top_k(free, ["user_id"], "n", k, "product_id")
+    popular = top(pool)
+    free = unseen_of(popular, users, interactions)
+    enough = free.where(F.size("free") >= k)
+    if popular.count() < pool:  # the pool is all there is
+        enough = free
+    else:
+        short = free.where(F.size("free") < k).select("user_id")
+        longest = interactions.join(short, "user_id", "left_semi").groupBy("user_id").agg(F.count_distinct("product_id").alias("n")).agg(F.max("n")).first()[0]
+        if longest is not None:
+            popular = top(longest + k)
+            enough = enough.unionByName(unseen_of(popular, short, interactions))
+    listed = enough.select("user_id", F.posexplode(F.slice("free", 1, k)).alias("rank", "product_id"))
+    return listed.join(F.broadcast(popular), "product_id").select("user_id", "product_id", "n", (F.col("rank") + 1).alias("rank"))
+
+
+def popularity_fallback(popular: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """(user_id, product_id, score, rank): the k most popular items (product_id, n) that a user hasn't touched, scored by
+    their share of the largest count. The list has a stated length."""
+    most = popular.agg(F.max("n").alias("most"))
+    listed = unseen_of(popular, users, seen).select("user_id", F.posexplode(F.slice("free", 1, k)).alias("rank", "product_id"))
+    scored = popular.crossJoin(F.broadcast(most)).select("product_id", (F.col("n") / F.col("most")).alias("score"))
+    return listed.join(F.broadcast(scored), "product_id").select("user_id", "product_id", "score", (F.col("rank") + 1).alias("rank"))
+
+
+def hybrid_fallback(profiles: DataFrame, items: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """(q, i, score, rank): the best of weight * cosine + (1 - weight) * popularity; profiles are (q, qv), items (i, iv,
+    popularity). One dot product does both: each vector gets a place more."""
+    a = profiles.select("q", F.concat(F.transform(unit(F.col("qv")), lambda x: x * weight), F.array(F.lit(1 - weight))).alias("qv"))
+    b = items.select("i", F.concat(unit(F.col("iv")), F.array(F.col("popularity").cast("double"))).alias("iv"))
+    return knn_matrix(a, b, k, cosine=False)
+
+
+def content_score(asked: DataFrame, items: DataFrame, k: int, weights=(0.7, 0.2, 0.1), other_brand: float = 0.3) -> DataFrame:
+    """(q, i, score, rank): the best of weights * (cosine, same category, same brand or other_brand), of rows (id, vec,
+    brand, category). What is missing equals nothing."""
+    own = lambda missing: F.array(*[F.when(F.col(c).isNull(), F.lit(missing)).otherwise(F.xxhash64(c)) for c in ("category", "brand")])
+    q = asked.select(F.col("id").alias("q"), F.col("vec").alias("qv"), own(-1).alias("codes"))
+    i = items.select(F.col("id").alias("i"), F.col("vec").alias("iv"), own(-2).alias("codes"))
+    found = knn_matrix(q, i, k, exclude_self=True, weight=weights[0], equal=(weights[1], weights[2] * (1 - other_brand)))
+    return found.withColumn("score", F.round(F.col("score") + weights[2] * other_brand, 9))
+
+
+def sigmoid_scores(df: DataFrame, score: str = "score") -> DataFrame:
+    """Scores as the sigmoid of their distance from the mean in standard deviations."""
+    ends = df.agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
+    z = (F.col(score) - F.col("_m")) / F.col("_s")
+    return df.crossJoin(F.broadcast(ends)).withColumn(score, 1 / (1 + F.exp(-z))).drop("_m", "_s")
+
+
+def probes_for(queries: DataFrame, items: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
+    """The least number of probes (10 or more, doubling) that reaches a recall against brute force on these queries."""
+    exact = knn_matrix(queries, items, k, exclude_self=True).persist()
+    probes = 10
+    while probes < len(centres) and recall_of(ivf_search(queries, index, centres, k, probes), exact) < recall:
+        probes *= 2
+    return min(probes, len(centres))
 
 
 def min_max(score: Column, by: list[str]) -> Column:

@@ -119,10 +119,10 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("_ra", "_rb"), 6).alias("rho"))
 
 
-def bootstrap(df: DataFrame, value: str, replicates: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """(low, high): percentile interval of the mean. Each row has a Poisson(1) weight in each replicate, from a hash, so
-    replicates are partial aggregates and rows are never resampled in one place."""
-    reps = df.select(F.col(value).alias("v"), F.xxhash64(value, F.monotonically_increasing_id()).alias("h")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+def bootstrap(df: DataFrame, value: str, replicates: int = 200, level: float = 0.95, seed: int = 7, key: str | None = None) -> DataFrame:
+    """(low, high): percentile interval of the mean. Each row has a Poisson(1) weight in each replicate, from a hash of its
+    key (of all its values without one), so replicates are partial aggregates, and a task that runs again draws the same."""
+    reps = df.select(F.col(value).alias("v"), F.xxhash64(*([key] if key else df.columns)).alias("h")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = (F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     steps, p, total = [], math.exp(-1), 0.0
     for k in range(8):
@@ -136,9 +136,9 @@ def bootstrap(df: DataFrame, value: str, replicates: int = 200, level: float = 0
     return means.agg(*[F.percentile("m", F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
 
 
-def permutation_p(df: DataFrame, a: str, b: str, replicates: int = 500, seed: int = 7) -> DataFrame:
-    """(observed, p): sign flips of paired differences, from a hash; all replicates are one aggregate."""
-    d = df.select((F.col(a) - F.col(b)).alias("d"), F.xxhash64(a, b, F.monotonically_increasing_id()).alias("h"))
+def permutation_p(df: DataFrame, a: str, b: str, replicates: int = 500, seed: int = 7, key: str | None = None) -> DataFrame:
+    """(observed, p): sign flips of paired differences, from a hash of the key, or of all values; all replicates are one aggregate."""
+    d = df.select((F.col(a) - F.col(b)).alias("d"), F.xxhash64(*([key] if key else df.columns)).alias("h"))
     flips = d.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     sign = F.when((F.col("r") == 0) | (F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(2)) == 0), 1).otherwise(-1)
     means = flips.groupBy("r").agg(F.avg(F.col("d") * sign).alias("m"))

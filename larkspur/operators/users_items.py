@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.ordered import running_totals
+from larkspur.operators.ranking import unseen_of
 
 
 def user_stats(df: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def top_popular(df: DataFrame, k: int = 50, key: str = "product_id") -> DataFram
 
 def implicit_negatives(df: DataFrame, k: int = 50) -> DataFrame:
     """(user_id, product_id): popular items that a user hasn't touched. The popular side has k rows, a parameter."""
-    popular = top_popular(df, k).select("product_id")
-    return df.select("user_id").distinct().crossJoin(F.broadcast(popular)).join(df.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+    free = unseen_of(top_popular(df, k), df, df)
+    return free.select("user_id", F.explode("free").alias("product_id"))
 
 
 def hard_negatives(df: DataFrame, k: int = 50) -> DataFrame:
@@ -107,11 +108,8 @@ def negative_holdout(df: DataFrame, held: DataFrame, tie: str = "rid") -> DataFr
 
 def implicit_holdout(df: DataFrame, users: DataFrame, n: int = 4, pool: int = 500) -> DataFrame:
     """(user_id, product_id, k): each user's first n unseen items of the popularity-ordered pool."""
-    popular = df.groupBy("product_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "product_id").limit(pool)
-    popular = popular.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "product_id"))).select("product_id", "rank")
-    free = users.select("user_id").distinct().crossJoin(F.broadcast(popular)).join(df.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("rank")
-    return free.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("user_id", "product_id", "k")
+    free = unseen_of(top_popular(df, pool), users, df)
+    return free.select("user_id", F.posexplode(F.slice("free", 1, n)).alias("k", "product_id")).select("user_id", "product_id", (F.col("k") + 1).alias("k"))
 
 
 def order_violations(split: DataFrame) -> DataFrame:

@@ -204,8 +204,10 @@ mx AS (SELECT u_idx, i_idx, rating + quality AS conf, is_positive, rating FROM d
 
 
 def matrix(spark, d):
+    """Clean rows with dense indices. Dedup keeps a row of every user and product, so the indices come from the rows before it."""
+    rows = V.interactions(spark, d).select("user_id", "product_id")
     x = V.clean_interactions(spark, d)
-    return x.join(U.dense_index(x, "user_id", "u_idx"), "user_id").join(U.dense_index(x, "product_id", "i_idx"), "product_id").withColumn("conf", F.col("rating") + F.col("quality"))
+    return x.join(U.dense_index(rows, "user_id", "u_idx"), "user_id").join(U.dense_index(rows, "product_id", "i_idx"), "product_id").withColumn("conf", F.col("rating") + F.col("quality"))
 
 
 @query("w8_dense_index", f"WITH {_MAP} SELECT user_id, u_idx FROM um")

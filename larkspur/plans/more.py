@@ -14,7 +14,7 @@ from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, _POP, _TRAIN, _split_sql, matrix
 from larkspur.plans.models import item_count
 from larkspur.plans.opsq import MODELS, models
-from larkspur.plans.ranking import TOP, TRUTH, VEC, items, recs, truth
+from larkspur.plans.ranking import TOP, TRUTH, VEC, items, recs, truth, users
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -211,28 +211,31 @@ def q7(spark, d):
     return V.requests(spark, d).where("failed = 1").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts")
 
 
-@query("r4_popularity_fallback", f"WITH {V.DEDUP}, {_POP.format(20)} SELECT product_id, round(n / (SELECT max(n) FROM pop), 6) AS score FROM pop WHERE product_id NOT IN (SELECT product_id FROM dedup WHERE user_id = 1) ORDER BY n DESC, product_id LIMIT 10")
+@query("r4_popularity_fallback", f"WITH {V.DEDUP}, {_POP.format(20)}, f AS (SELECT u.user_id, p.product_id, p.n, row_number() OVER (PARTITION BY u.user_id ORDER BY n DESC, p.product_id) AS rank FROM (SELECT DISTINCT user_id FROM dedup WHERE user_id % 100 = 0) u, pop p WHERE NOT EXISTS (SELECT 1 FROM dedup x WHERE x.user_id = u.user_id AND x.product_id = p.product_id)) SELECT user_id, product_id, round(n / (SELECT max(n) FROM pop), 6) AS score, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 10")
 def r4(spark, d):
     x = V.clean_interactions(spark, d)
-    pop = U.top_popular(x, 20)
-    scored = pop.crossJoin(pop.agg(F.max("n").alias("most"))).join(x.where("user_id = 1").select("product_id"), "product_id", "left_anti")
-    return scored.orderBy(F.desc("n"), "product_id").limit(10).select("product_id", F.round(F.col("n") / F.col("most"), 6).alias("score"))
+    out = R.popularity_fallback(U.top_popular(x, 20), x.where("user_id % 100 = 0"), x, 10)
+    return out.withColumn("score", F.round("score", 6))
 
 
-_PROFILE = VEC + ", prof AS (SELECT CAST(label AS BIGINT) AS q, list(v ORDER BY p) AS qv FROM (SELECT label, p, avg(vec[p]) AS v FROM vec, range(1, 65) r(p) WHERE id < 50 GROUP BY label, p) GROUP BY label)"
+# A label's profile is the mean of its history, every fifth vector; the others are searched.
+_PROFILE = VEC + ", prof AS (SELECT CAST(label AS BIGINT) AS q, list(v ORDER BY p) AS qv FROM (SELECT label, p, avg(vec[p]) AS v FROM vec, range(1, 65) r(p) WHERE id % 5 = 0 AND label IS NOT NULL GROUP BY label, p) GROUP BY label)"
 
 
-@query("r16_profile_search", f"WITH {_PROFILE}, s AS (SELECT q, id AS i, round(list_cosine_similarity(qv, vec), 9) AS score FROM prof, vec WHERE id >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def _profiles(spark, d):
+    p = X.pooled(V.vectors(spark, d).where("id % 5 = 0 AND label IS NOT NULL"), "label", "vec")
+    return p.select(F.col("label").cast("long").alias("q"), F.col("vec").alias("qv")), items(spark, d).where("i % 5 <> 0")
+
+
+@query("r16_profile_search", f"WITH {_PROFILE}, s AS (SELECT q, id AS i, round(list_cosine_similarity(qv, vec), 9) AS score FROM prof, vec WHERE id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def r16(spark, d):
-    p = X.pooled(V.vectors(spark, d).where("id < 50"), "label", "vec").select(F.col("label").cast("long").alias("q"), F.col("vec").alias("qv"))
-    return _r6(R.knn_matrix(p, items(spark, d), 10), "score")
+    return _r6(R.knn_matrix(*_profiles(spark, d), 10), "score")
 
 
-@query("r5_hybrid_fallback", f"WITH {_PROFILE}, s AS (SELECT q, id AS i, 0.7 * list_cosine_similarity(qv, vec) + 0.3 * (ln(1 + id) / ln(501)) AS score FROM prof, vec WHERE id >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score FROM r WHERE rank <= 10")
+@query("r5_hybrid_fallback", f"WITH {_PROFILE}, s AS (SELECT q, id AS i, 0.7 * list_cosine_similarity(qv, vec) + 0.3 * (ln(1 + id) / ln(501)) AS score FROM prof, vec WHERE id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score FROM r WHERE rank <= 10")
 def r5(spark, d):
-    p = X.pooled(V.vectors(spark, d).where("id < 50"), "label", "vec").select(F.col("label").cast("long").alias("q"), F.col("vec").alias("qv"))
-    s = R.scored_pairs(p, items(spark, d), X.cosine).withColumn("score", F.round(0.7 * F.col("score") + 0.3 * F.log1p("i") / F.log(F.lit(501.0)), 9))
-    return _r6(R.top_k(s, ["q"], "score", 10, "i").select("q", "i", "score"), "score")
+    profiles, others = _profiles(spark, d)
+    return _r6(R.hybrid_fallback(profiles, others.withColumn("popularity", F.log1p("i") / F.log(F.lit(501.0))), 10).select("q", "i", "score"), "score")
 
 
 @query("r8_signal_rerank", f"WITH {TOP}, s AS (SELECT user_id, item, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS cf, (item - min(item) OVER w) / (max(item) OVER w - min(item) OVER w) AS pop, (item % 5) / 4.0 AS quality FROM recs WHERE rank <= 20 WINDOW w AS (PARTITION BY user_id)) SELECT user_id, item, round(0.6 * cf + 0.2 * pop + 0.2 * quality, 6) AS final_score FROM s")
@@ -242,47 +245,37 @@ def r8(spark, d):
     return r.select("user_id", "item", F.round(s, 6).alias("final_score"))
 
 
-@query("r13_filter_and_boost", f"WITH {V.PRODUCTS} SELECT product_id, round(price * CASE WHEN contains(brand, '#1') THEN 1.2 ELSE 1 END, 6) AS score FROM products WHERE coalesce(price, 0) >= 1000")
+@query("r13_filter_and_boost", f"WITH {V.PRODUCTS} SELECT product_id, round(price * CASE WHEN contains(brand, '#1') THEN 1.2 ELSE 1 END, 6) AS score FROM products WHERE coalesce(price, 0) >= 905")
 def r13(spark, d):
-    p = V.products(spark, d).where(R.attribute_filter(price_min=1000)).withColumn("score", F.col("price"))
+    p = V.products(spark, d).where(R.attribute_filter(price_min=905)).withColumn("score", F.col("price"))
     return _r6(R.boost(p, {"brand": [("#1", 1.2)]}).select("product_id", "score"), "score")
 
 
-@query("r15_similar_products", f"WITH {V.PRODUCTS}, {VEC}, s AS (SELECT a.id AS q, b.id AS product_id, round(list_cosine_similarity(a.vec, b.vec), 9) AS score FROM vec a, vec b WHERE a.id = 7 AND b.id <> 7 ORDER BY score DESC, product_id LIMIT 10) SELECT product_id, product_name, round(score, 6) AS score FROM s LEFT JOIN products USING (product_id)")
+@query("r15_similar_products", f"WITH {V.PRODUCTS}, {VEC}, s AS (SELECT a.id AS q, b.id AS product_id, round(list_cosine_similarity(a.vec, b.vec), 9) AS score FROM vec a, vec b WHERE a.id % 100 = 0 AND b.id <> a.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, product_id) AS rank FROM s) SELECT q, product_id, product_name, round(score, 6) AS score FROM r LEFT JOIN products USING (product_id) WHERE rank <= 10")
 def r15(spark, d):
-    v = V.vectors(spark, d)
-    q = v.where("id = 7").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
-    top = R.knn_matrix(q, v.select(F.col("id").alias("i"), F.col("vec").alias("iv")), 10, exclude_self=True)
-    return _r6(top.withColumnRenamed("i", "product_id").join(V.products(spark, d), "product_id", "left").select("product_id", "product_name", "score"), "score")
+    top = R.knn_matrix(users(spark, d), items(spark, d), 10, exclude_self=True)
+    return _r6(top.withColumnRenamed("i", "product_id").join(V.products(spark, d), "product_id", "left").select("q", "product_id", "product_name", "score"), "score")
 
 
 @query("r17_approximate_neighbours")
 def r17(spark, d):
-    """Random-projection LSH on unit vectors: approximate neighbours of stated queries within a distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    """An inverted-file index of all vectors, probed in the cells that give the wanted recall on these queries."""
+    q, every = users(spark, d), items(spark, d)
+    index, centres = R.ivf_index(every)
+    index = index.cache()
+    probes = R.probes_for(q, every, index, centres, 10, 0.9)
+    return R.ivf_search(q, index, centres, 10, probes)
 
-    v = V.vectors(spark, d).select("id", array_to_vector(X.unit(F.col("vec"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.8, numHashTables=4, seed=7).fit(v)
-    pairs = model.approxSimilarityJoin(v.where("id < 20"), v.where("id >= 20"), 1.3, "distance")
-    found = pairs.select(F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("i"), "distance")
-    w = Window.partitionBy("q").orderBy("distance", "i")
-    return found.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
-
-@query("r19_content_score", f"WITH {V.PRODUCTS}, {VEC}, p AS (SELECT v.id, v.vec, brand, category FROM vec v JOIN products ON product_id = v.id) SELECT a.id AS q, b.id AS i, round(0.7 * list_cosine_similarity(a.vec, b.vec) + 0.2 * CAST(a.category = b.category AS INTEGER) + 0.1 * CASE WHEN a.brand = b.brand THEN 1 ELSE 0.3 END, 6) AS score FROM p a JOIN p b ON a.id < 10 AND b.id >= 50")
+@query("r19_content_score", f"WITH {V.PRODUCTS}, {VEC}, p AS (SELECT v.id, v.vec, brand, category FROM vec v JOIN products ON product_id = v.id), s AS (SELECT a.id AS q, b.id AS i, round(0.7 * list_cosine_similarity(a.vec, b.vec) + 0.2 * CAST(a.category = b.category AS INTEGER) + 0.1 * CASE WHEN a.brand = b.brand THEN 1 ELSE 0.3 END, 9) AS score FROM p a JOIN p b ON a.id % 100 = 0 AND b.id <> a.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score FROM r WHERE rank <= 50")
 def r19(spark, d):
     p = V.vectors(spark, d).join(V.products(spark, d).select(F.col("product_id").alias("id"), "brand", "category"), "id")
-    a = p.where("id < 10").select(F.col("id").alias("q"), F.col("vec").alias("qv"), F.col("brand").alias("qb"), F.col("category").alias("qc"))
-    s = 0.7 * X.cosine(F.col("qv"), F.col("vec")) + 0.2 * (F.col("qc") == F.col("category")).cast("int") + 0.1 * F.when(F.col("qb") == F.col("brand"), 1.0).otherwise(0.3)
-    return p.where("id >= 50").crossJoin(a).select("q", F.col("id").alias("i"), F.round(s, 6).alias("score"))
+    return _r6(R.content_score(p.where("id % 100 = 0"), p, 50).select("q", "i", "score"), "score")
 
 
 @query("r22_sigmoid_scores", f"WITH {TOP}, s AS (SELECT avg(score) AS m, stddev_pop(score) AS s FROM recs WHERE rank <= 20) SELECT user_id, item, round(1 / (1 + exp(-(score - m) / s.s)), 6) AS score FROM recs, s WHERE rank <= 20")
 def r22(spark, d):
-    r = recs(spark, d, 20)
-    z = (F.col("score") - F.col("m")) / F.col("s")
-    return r.crossJoin(r.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))).select("user_id", "item", F.round(1 / (1 + F.exp(-z)), 6).alias("score"))
+    return _r6(R.sigmoid_scores(recs(spark, d, 20)).select("user_id", "item", "score"), "score")
 
 
 @query("x1_normalize_query")

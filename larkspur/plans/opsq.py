@@ -185,20 +185,20 @@ def d17(spark, d):
     return O.alerts(metrics, rules).withColumn("value", F.round("value", 6))
 
 
-_CHECKS = f"{_RUNS}, checks AS (SELECT pipeline, run_id, CASE status WHEN 'failed' THEN 'critical' WHEN 'running' THEN 'warning' ELSE 'ok' END AS status FROM runs WHERE run_id % 50 = 0)"
+_CHECKS = f"{_RUNS}, checks AS (SELECT pipeline, run_id, CASE status WHEN 'failed' THEN 'critical' WHEN 'running' THEN 'warning' ELSE 'ok' END AS status FROM runs)"
 
 
 @query("d18_health_check", f"WITH {_CHECKS} SELECT pipeline, CASE max(CASE status WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'ok' END AS status, count(*) FILTER (WHERE status <> 'ok') AS problems FROM checks GROUP BY pipeline")
 def d18(spark, d):
     status = F.when(F.col("status") == "failed", "critical").when(F.col("status") == "running", "warning").otherwise("ok")
-    return O.worst_status(runs(spark, d).where("run_id % 50 = 0").withColumn("status", status), ["pipeline"])
+    return O.worst_status(runs(spark, d).withColumn("status", status), ["pipeline"])
 
 
-MODELS = "models AS (SELECT p_partkey AS model_id, p_brand AS model_type, CASE WHEN p_partkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status, p_size AS created, p_retailprice / 10000 AS recall FROM part WHERE p_partkey <= 200)"
+MODELS = "models AS (SELECT p_partkey AS model_id, p_brand AS model_type, CASE WHEN p_partkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status, p_size AS created, p_retailprice / 10000 AS recall FROM part)"
 
 
 def models(spark, d):
-    return table(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("model_id"), F.col("p_brand").alias("model_type"), F.when(F.col("p_partkey") % 4 == 0, "archived").otherwise("active").alias("status"), F.col("p_size").alias("created"), (F.col("p_retailprice") / 10000).alias("recall"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("model_id"), F.col("p_brand").alias("model_type"), F.when(F.col("p_partkey") % 4 == 0, "archived").otherwise("active").alias("status"), F.col("p_size").alias("created"), (F.col("p_retailprice") / 10000).alias("recall"))
 
 
 @query("g2_select_best", f"WITH {MODELS} SELECT model_type, model_id, round(recall, 6) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY recall DESC NULLS LAST, model_id) AS k FROM models WHERE status = 'active') WHERE k = 1")
@@ -259,9 +259,9 @@ def a27(spark, d):
 
 @query("d9_bootstrap")
 def d9(spark, d):
-    return S.bootstrap(pairs(spark, d), "a", 100)
+    return S.bootstrap(pairs(spark, d), "a", 100, key="id")
 
 
 @query("d10_permutation")
 def d10(spark, d):
-    return S.permutation_p(pairs(spark, d), "a", "b", 100)
+    return S.permutation_p(pairs(spark, d), "a", "b", 100, key="id")

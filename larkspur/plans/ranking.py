@@ -13,30 +13,34 @@ from larkspur.session import table
 
 VEC = "vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
 _COS = "list_cosine_similarity({0}, {1})"
-#: Factors that SQL can check too: users are vectors below 50, items all others.
-SCORED = VEC + ", scored AS (SELECT u.id AS user_id, i.id AS item, list_dot_product(u.vec, i.vec) AS score FROM vec u, vec i WHERE u.id < 50 AND i.id >= 50)"
-TOP = SCORED + ", recs AS (SELECT user_id, item, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM scored)"
+#: Factors that SQL can check too: users are the vectors whose id is divisible by 100, items all others.
+SCORED = VEC + ", scored AS (SELECT u.id AS user_id, i.id AS item, list_dot_product(u.vec, i.vec) AS score FROM vec u, vec i WHERE u.id % 100 = 0 AND i.id <> u.id)"
+TOP = SCORED + ", recs AS (SELECT user_id, item, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item) AS rank FROM scored)"
 #: Relevant pairs: items of the user's own label, one in three.
-TRUTH = TOP + ", truth AS (SELECT u.id AS user_id, i.id AS item FROM vec u JOIN vec i ON u.label = i.label WHERE u.id < 50 AND i.id >= 50 AND i.id % 3 = 0)"
+TRUTH = TOP + ", truth AS (SELECT u.id AS user_id, i.id AS item FROM vec u JOIN vec i ON u.label = i.label WHERE u.id % 100 = 0 AND i.id <> u.id AND i.id % 3 = 0)"
 
 
 def users(spark, d):
-    return V.vectors(spark, d).where("id < 50").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
+    return V.vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
 
 
 def items(spark, d):
-    return V.vectors(spark, d).where("id >= 50").select(F.col("id").alias("i"), F.col("vec").alias("iv"))
+    return V.vectors(spark, d).select(F.col("id").alias("i"), F.col("vec").alias("iv"))
+
+
+def scored(spark, d):
+    return R.scored_pairs(users(spark, d), items(spark, d)).where("q <> i")
 
 
 def recs(spark, d, k=20):
-    top = R.knn(users(spark, d), items(spark, d), k, X.dot)
+    top = R.knn_matrix(users(spark, d), items(spark, d), k, cosine=False, exclude_self=True)
     return top.select(F.col("q").alias("user_id"), F.col("i").alias("item"), "score", "rank")
 
 
 def truth(spark, d):
     v = V.vectors(spark, d)
-    a, b = v.where("id < 50").select(F.col("id").alias("user_id"), "label"), v.where("id >= 50 AND id % 3 = 0").select(F.col("id").alias("item"), "label")
-    return a.join(b, "label").select("user_id", "item")
+    a, b = v.where("id % 100 = 0").select(F.col("id").alias("user_id"), "label"), v.where("id % 3 = 0").select(F.col("id").alias("item"), "label")
+    return a.join(b, "label").where("user_id <> item").select("user_id", "item")
 
 
 def _r6(df, *names):
@@ -62,7 +66,7 @@ def v2b(spark, d):
 
 @query("j13_scored_pairs", f"WITH {SCORED} SELECT user_id, item, round(score, 6) AS score FROM scored")
 def j13(spark, d):
-    p = R.scored_pairs(users(spark, d), items(spark, d))
+    p = scored(spark, d)
     return p.select(F.col("q").alias("user_id"), F.col("i").alias("item"), F.round("score", 6).alias("score"))
 
 
@@ -78,29 +82,29 @@ def q3(spark, d):
     return _r6(R.knn_matrix(q, v.select(F.col("id").alias("i"), F.col("vec").alias("iv")), 5, exclude_self=True), "score")
 
 
-@query("j14_filtered_knn", f"WITH {VEC}, s AS (SELECT a.id AS q, b.id AS i, {_COS.format('a.vec', 'b.vec')} AS score FROM vec a JOIN vec b ON a.label = b.label WHERE a.id < 20 AND b.id >= 50), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score >= 0.25")
+@query("j14_filtered_knn", f"WITH {VEC}, s AS (SELECT a.id AS q, b.id AS i, {_COS.format('a.vec', 'b.vec')} AS score FROM vec a JOIN vec b ON a.label = b.label WHERE a.id % 100 = 0 AND b.id <> a.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score >= 0.25")
 def j14(spark, d):
     v = V.vectors(spark, d)
-    a, b = v.where("id < 20").select(F.col("id").alias("q"), F.col("vec").alias("qv"), "label"), v.where("id >= 50").select(F.col("id").alias("i"), F.col("vec").alias("iv"), "label")
-    s = a.join(b, "label").select("q", "i", F.round(X.cosine(F.col("qv"), F.col("iv")), 9).alias("score"))
+    a, b = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"), "label"), v.select(F.col("id").alias("i"), F.col("vec").alias("iv"), "label")
+    s = a.join(b, "label").where("q <> i").select("q", "i", F.round(X.cosine(F.col("qv"), F.col("iv")), 9).alias("score"))
     return _r6(R.top_k(s, ["q"], "score", 5, "i").where("score >= 0.25"), "score")
 
 
 @query("a43_score_range", f"WITH {SCORED} SELECT round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.01), 6) AS p01, round(quantile_cont(score, 0.99), 6) AS p99 FROM scored")
 def a43(spark, d):
-    return R.score_range(R.scored_pairs(users(spark, d), items(spark, d)), "score")
+    return R.score_range(scored(spark, d), "score")
 
 
 @query("r3_normalised_scores", f"WITH {SCORED}, p AS (SELECT quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM scored) SELECT user_id, item, round(least(greatest((score - lo) / (hi - lo), 0), 1), 6) AS score FROM scored, p")
 def r3(spark, d):
-    s = R.scored_pairs(users(spark, d), items(spark, d))
+    s = scored(spark, d)
     p = s.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
     return s.crossJoin(p).select(F.col("q").alias("user_id"), F.col("i").alias("item"), F.round(R.clipped(F.col("score"), F.col("p")[0], F.col("p")[1]), 6).alias("score"))
 
 
 @query("r10_min_max", f"WITH {SCORED} SELECT user_id, item, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) AS score FROM scored WINDOW w AS (PARTITION BY user_id)")
 def r10(spark, d):
-    s = R.scored_pairs(users(spark, d), items(spark, d))
+    s = scored(spark, d)
     return s.select(F.col("q").alias("user_id"), F.col("i").alias("item"), F.round(R.min_max(F.col("score"), ["q"]), 6).alias("score"))
 
 
@@ -179,7 +183,7 @@ def a32(spark, d):
     return M.stratified(M.per_user(recs(spark, d), t, 10, ["recall"]), t.groupBy("user_id").agg(F.count("*").alias("n")), ["recall"])
 
 
-@query("m7_coverage", f"WITH {TOP} SELECT count(DISTINCT item) AS recommended, (SELECT count(*) FROM vec WHERE id >= 50) AS total, round(count(DISTINCT item) / (SELECT count(*) FROM vec WHERE id >= 50), 6) AS coverage FROM recs WHERE rank <= 10")
+@query("m7_coverage", f"WITH {TOP} SELECT count(DISTINCT item) AS recommended, (SELECT count(*) FROM vec) AS total, round(count(DISTINCT item) / (SELECT count(*) FROM vec), 6) AS coverage FROM recs WHERE rank <= 10")
 def m7(spark, d):
     return M.coverage(recs(spark, d), items(spark, d).select(F.col("i").alias("item")), 10)
 
@@ -198,7 +202,7 @@ def m10(spark, d):
 
 @query("m13_serendipity", f"WITH {TRUTH}, base AS (SELECT item FROM (SELECT item, row_number() OVER (ORDER BY sum(score) DESC, item) AS k FROM scored GROUP BY item) WHERE k <= 10), x AS (SELECT r.user_id, count(*) AS n FROM recs r JOIN truth t ON t.user_id = r.user_id AND t.item = r.item WHERE r.rank <= 10 AND r.item NOT IN (SELECT item FROM base) GROUP BY r.user_id) SELECT u.user_id, round(coalesce(n, 0) / 10, 6) AS serendipity FROM (SELECT DISTINCT user_id FROM truth) u LEFT JOIN x USING (user_id)")
 def m13(spark, d):
-    s = R.scored_pairs(users(spark, d), items(spark, d))
+    s = scored(spark, d)
     base = s.groupBy(F.col("i").alias("item")).agg(F.sum("score").alias("s")).orderBy(F.desc("s"), "item").limit(10).withColumn("rank", F.lit(1))
     t = truth(spark, d)
     return M.serendipity(recs(spark, d), t, t.select("user_id").distinct().crossJoin(F.broadcast(base)), 10)
@@ -248,11 +252,9 @@ def a33(spark, d):
     return R.preferences(x, "user_id", "brand")
 
 
-@query("r14_search_rerank", f"WITH {V.PRODUCTS}, {VEC}, s AS (SELECT q.id AS q, v.id AS product_id, list_cosine_similarity(q.vec, v.vec) AS semantic FROM vec q, vec v WHERE q.id < 10 AND v.id >= 10), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(semantic, 9) DESC, product_id) AS r FROM s) WHERE r <= 30 AND semantic >= 0.1) SELECT q, product_id, round(0.5 * semantic + 0.25 * least(ln(1 + num_sold) / ln(100001), 1) + 0.15 * coalesce(avg_star / 5, 0.5) + 0.1 * 0.5, 6) AS final_score FROM k JOIN products USING (product_id)")
+@query("r14_search_rerank", f"WITH {V.PRODUCTS}, {VEC}, s AS (SELECT q.id AS q, v.id AS product_id, list_cosine_similarity(q.vec, v.vec) AS semantic FROM vec q, vec v WHERE q.id % 100 = 0 AND v.id <> q.id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(semantic, 9) DESC, product_id) AS r FROM s) WHERE r <= 30 AND semantic >= 0.1) SELECT q, product_id, round(0.5 * semantic + 0.25 * least(ln(1 + num_sold) / ln(100001), 1) + 0.15 * coalesce(avg_star / 5, 0.5) + 0.1 * 0.5, 6) AS final_score FROM k JOIN products USING (product_id)")
 def r14(spark, d):
-    v = V.vectors(spark, d)
-    q, i = v.where("id < 10").select(F.col("id").alias("q"), F.col("vec").alias("qv")), v.where("id >= 10").select(F.col("id").alias("i"), F.col("vec").alias("iv"))
-    hits = R.knn_matrix(q, i, 30).where("score >= 0.1").select("q", F.col("i").alias("product_id"), F.col("score").alias("semantic"))
+    hits = R.knn_matrix(users(spark, d), items(spark, d), 30, exclude_self=True).where("score >= 0.1").select("q", F.col("i").alias("product_id"), F.col("score").alias("semantic"))
     joined = hits.join(V.products(spark, d), "product_id").withColumn("popularity", F.lit(None).cast("double"))
     return _r6(R.search_score(joined).select("q", "product_id", "final_score"), "final_score")
 
@@ -292,18 +294,18 @@ def a34(spark, d):
     return g.select("user_id", "categories", F.round(F.col("categories") / F.col("n"), 6).alias("share"))
 
 
-@query("r25_random_baseline", "WITH u AS (SELECT DISTINCT o_custkey AS user_id FROM orders WHERE o_custkey <= 100), s AS (SELECT user_id, p_partkey AS product_id, (user_id * 7919 + p_partkey * 104729 + 17) % 1000003 AS h FROM u, part) SELECT user_id, product_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, product_id) AS k FROM s) WHERE k <= 10")
+@query("r25_random_baseline", "WITH u AS (SELECT DISTINCT o_custkey AS user_id FROM orders WHERE o_custkey % 100 = 0), s AS (SELECT user_id, p_partkey AS product_id, (user_id * 7919 + p_partkey * 104729 + 17) % 1000003 AS h FROM u, part) SELECT user_id, product_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, product_id) AS k FROM s) WHERE k <= 10")
 def r25(spark, d):
-    u = table(spark, d, "orders").where("o_custkey <= 100").select(F.col("o_custkey").alias("user_id")).distinct()
+    u = table(spark, d, "orders").where("o_custkey % 100 = 0").select(F.col("o_custkey").alias("user_id")).distinct()
     p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"))
     s = u.crossJoin(p).withColumn("h", (F.col("user_id") * 7919 + F.col("product_id") * 104729 + 17) % 1000003)
     return R.top_k(s, ["user_id"], "h", 10, "product_id").select("user_id", "product_id", "rank")
 
 
-@query("m19_improvement", f"WITH {_HITS}, m AS (SELECT avg(hits / n) AS model FROM p), b AS (SELECT avg(coalesce(h.k, 0) / g.n) AS base FROM g LEFT JOIN (SELECT t.user_id, count(*) AS k FROM truth t WHERE t.item < 60 GROUP BY t.user_id) h USING (user_id)) SELECT 'recall' AS metric, round(model, 6) AS model, round(base, 6) AS baseline, round(round(model, 6) - round(base, 6), 6) AS gain, round(100 * (round(model, 6) - round(base, 6)) / round(base, 6), 4) AS gain_pct FROM m, b")
+@query("m19_improvement", f"WITH {_HITS}, m AS (SELECT avg(hits / n) AS model FROM p), b AS (SELECT avg(coalesce(h.k, 0) / g.n) AS base FROM g LEFT JOIN (SELECT t.user_id, count(*) AS k FROM truth t WHERE t.item < 10 GROUP BY t.user_id) h USING (user_id)) SELECT 'recall' AS metric, round(model, 6) AS model, round(base, 6) AS baseline, round(round(model, 6) - round(base, 6), 6) AS gain, round(100 * (round(model, 6) - round(base, 6)) / round(base, 6), 4) AS gain_pct FROM m, b")
 def m19(spark, d):
     t = truth(spark, d)
-    first = items(spark, d).where("i < 60").select(F.col("i").alias("item"), (F.col("i") - 49).cast("int").alias("rank"))
+    first = items(spark, d).where("i < 10").select(F.col("i").alias("item"), (F.col("i") + 1).cast("int").alias("rank"))
     base = t.select("user_id").distinct().crossJoin(F.broadcast(first))
     model = M.summary(M.per_user(recs(spark, d), t, 10, ["recall"]), ["recall"])
     return M.improvement(model, M.summary(M.per_user(base, t, 10, ["recall"]), ["recall"]))
