@@ -54,6 +54,13 @@ def per_user(recs: DataFrame, truth: DataFrame, k: int, names: list[str] | None
     return hits(recs, truth, k).select("user_id", *[METRICS[n](k).alias(n) for n in names or METRICS])
 
 
+def at_k(name: str, recs: DataFrame, truth: DataFrame, k: int) -> float:
+    """One metric's mean over users; ValueError for a name that isn't in METRICS."""
+    if name not in METRICS:
+        raise ValueError(f"{name}: one of {sorted(METRICS)}")
+    return per_user(recs, truth, k, [name]).agg(F.avg(name)).first()[0] or 0.0
+
+
 def summary(per: DataFrame, names: list[str]) -> DataFrame:
     """(metric, mean, std): population deviation over users."""
     row = per.agg(*[F.struct(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std")).alias(n) for n in names])

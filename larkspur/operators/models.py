@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -145,77 +144,6 @@ def confidence_weights(rating: Column, confidence: Column, bonus: float = 1.5, p
     return F.when((rating == 5) & (confidence < 5.3), penalty).when(confidence >= threshold, bonus).otherwise(1.0)
 
 
-def learning_rate(kind: str, base: float, step: int, steps: int, warm: int = 0) -> float:
-    """constant, linear, cosine, exponential or warmup_cosine schedules."""
-    at = min(step / max(steps, 1), 1.0)
-    if kind == "linear":
-        return base * (1 - at)
-    if kind == "cosine":
-        return base * 0.5 * (1 + np.cos(np.pi * at))
-    if kind == "exponential":
-        return base * 0.95**step
-    if kind == "warmup_cosine":
-        return base * (step + 1) / warm if step < warm else learning_rate("cosine", base, step - warm, max(steps - warm, 1))
-    return base
-
-
-def fit_bpr(triplets: DataFrame, n_users: int, n_items: int, rank: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 0.01, seed: int = 42, schedule: str = "constant", batch: int = 512, optimizer: str = "sgd", weight: str | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """BPR factors by SGD (or AdaGrad, restarted each epoch) in each partition, averaged after each epoch, and the mean
-    loss by epoch. `weight` names a column of triplets that scales each one's gradient.
-
-    The driver and each task hold the two factor tables, (users + items) * rank numbers, which is the bound on this
-    trainer's model; the triplets stay partitioned.
-    """
-    rng = np.random.default_rng(seed)
-    u, v = rng.normal(0, 0.01, (n_users, rank)), rng.normal(0, 0.01, (n_items, rank))
-    losses = []
-    sc = triplets.sparkSession.sparkContext
-    for epoch in range(epochs):
-        shared = sc.broadcast((u, v))
-        lr = learning_rate(schedule, rate, epoch, epochs)
-
-        def epoch_step(it: Iterator[pd.DataFrame], shared=shared, lr=lr) -> Iterator[pd.DataFrame]:
-            a, b = (x.copy() for x in shared.value)
-            squares = [np.full_like(a, 1e-8), np.full_like(b, 1e-8)]
-
-            def step(table: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
-                if optimizer == "adagrad":
-                    np.add.at(seen, at, grad * grad)
-                    grad = grad / np.sqrt(seen[at])
-                np.add.at(table, at, lr * grad)
-
-            loss, n = 0.0, 0
-            for p in it:
-                for at in range(0, len(p), batch):
-                    ui, ii, ji = (p[c].to_numpy()[at : at + batch] for c in ("u_idx", "i_idx", "j_idx"))
-                    du, di, dj = a[ui], b[ii], b[ji]
-                    x = (du * (di - dj)).sum(axis=1)
-                    g = 1 / (1 + np.exp(x))
-                    if weight:
-                        g = g * p[weight].to_numpy()[at : at + batch]
-                    loss += float(np.logaddexp(0, -x).sum())
-                    n += len(ui)
-                    step(a, squares[0], ui, g[:, None] * (di - dj) - reg * du)
-                    step(b, squares[1], ii, g[:, None] * du - reg * di)
-                    step(b, squares[1], ji, -g[:, None] * du - reg * dj)
-            if n:
-                yield pd.DataFrame({"u": [a.ravel() * n], "v": [b.ravel() * n], "loss": [loss], "n": [n]})
-
-        # One row for each partition: sums weighted by triplets, added element by element in Spark.
-        parts = triplets.mapInPandas(epoch_step, "u array<double>, v array<double>, loss double, n long").persist()
-        total = parts.agg(F.sum("loss"), F.sum("n")).first()
-        if not total[1]:
-            return u, v, losses
-
-        def summed(c: str, parts=parts) -> np.ndarray:
-            return np.array([r[1] for r in parts.select(F.posexplode(c).alias("p", "x")).groupBy("p").agg(F.sum("x")).orderBy("p").collect()])
-
-        u, v = summed("u").reshape(n_users, rank) / total[1], summed("v").reshape(n_items, rank) / total[1]
-        losses.append(total[0] / total[1])
-        parts.unpersist()
-    return u, v, losses
-
-
 def project(df: DataFrame, vec: str, k: int) -> DataFrame:
     """df with the column `factors`: the first k principal components of its vectors."""
     ready = df.withColumn("_v", array_to_vector(vec))

@@ -71,11 +71,38 @@ def retention(models: DataFrame, by: str, ts: str, keep: int, metric: str) -> Da
     return models.withColumn("age_rank", F.row_number().over(w)).where(F.col("age_rank") > keep).join(best, "model_id", "left_anti")
 
 
-def content_hash(df: DataFrame) -> DataFrame:
-    """(rows, digest): order-insensitive digest of a table, two 64-bit hashes a row and their sums."""
-    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in sorted(df.columns)]
+def _digest(columns: list[str]) -> list[Column]:
+    """Aggregates (rows, digest): order-insensitive, two 64-bit hashes a row and their sums."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in sorted(columns)]
     sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), *cells).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in (0, 1)]
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256).alias("digest"))
+    return [F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256).alias("digest")]
+
+
+def content_hash(df: DataFrame) -> DataFrame:
+    """(rows, digest) of a table; the order of rows and columns doesn't count."""
+    return df.agg(*_digest(df.columns))
+
+
+def changed_parts(old: DataFrame, new: DataFrame, part: str) -> DataFrame:
+    """(part, changed): 1 where the digests of two versions' rows of a part differ, or one version has none."""
+    a, b = (x.groupBy(part).agg(*_digest(x.columns)).select(part, F.col("digest").alias(n)) for x, n in ((old, "_old"), (new, "_new")))
+    return a.join(b, part, "full_outer").select(part, (~F.col("_old").eqNullSafe(F.col("_new"))).cast("int").alias("changed"))
+
+
+def deployment_history(events: DataFrame, key: str, ts: str, tie: str, model: str = "model_id", most: int = 100) -> DataFrame:
+    """The newest `most` deploy and rollback events of each key with `previous`, the model before, and `age`, 1 for the
+    newest: its model is the one deployed."""
+    w = Window.partitionBy(key)
+    out = events.withColumns({"previous": F.lag(model).over(w.orderBy(ts, tie)), "age": F.row_number().over(w.orderBy(F.desc(ts), F.desc(tie)))})
+    return out.where(F.col("age") <= most)
+
+
+def rollback(history: DataFrame, key: str, model: str = "model_id") -> DataFrame:
+    """(key, model, action): for each key the event that goes back to the last model that differs from the deployed one;
+    none where there is no such model. history is deployment_history()'s."""
+    now = history.where("age = 1").select(key, F.col(model).alias("_now"))
+    older = history.join(now, key).where(F.col(model) != F.col("_now"))
+    return older.groupBy(key).agg(F.min_by(model, "age").alias(model)).withColumn("action", F.lit("rollback"))
 
 
 def compare_maps(a: Column, b: Column) -> Column:

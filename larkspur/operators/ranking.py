@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine, unit
+from larkspur.functions.vectors import cosine, norm, unit
 
 #: Fixed weights and ranges of the hybrid reranker.
 WEIGHTS = {"cf": 0.3, "content": 0.4, "popularity": 0.2, "quality": 0.1}
@@ -229,6 +229,16 @@ def sigmoid_scores(df: DataFrame, score: str = "score") -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn(score, 1 / (1 + F.exp(-z))).drop("_m", "_s")
 
 
+def embedding_quality(vectors: DataFrame, items: DataFrame) -> DataFrame:
+    """(norm_quality, mean_abs_cos, coverage): 1 / (1 + variation of the norms), the mean absolute cosine of vectors of an
+    id divisible by 100 to all others, and the share of items (id) that have a vector. vectors is (id, vec)."""
+    n = vectors.select(norm(F.col("vec")).alias("n")).agg((1 / (1 + F.stddev_pop("n") / F.avg("n"))).alias("norm_quality"))
+    asked, every = vectors.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv")), vectors.select(F.col("id").alias("i"), F.col("vec").alias("iv"))
+    near = scored_pairs(asked, every, cosine=True).where("q <> i").agg(F.avg(F.abs("score")).alias("mean_abs_cos"))
+    held = items.join(vectors.select("id", F.lit(1).alias("hit")), "id", "left").agg((F.count("hit") / F.count("*")).alias("coverage"))
+    return n.crossJoin(near).crossJoin(held)
+
+
 def probes_for(queries: DataFrame, items: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
     """The least number of probes (10 or more, doubling) that reaches a recall against brute force on these queries."""
     exact = knn_matrix(queries, items, k, exclude_self=True).persist()

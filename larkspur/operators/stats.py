@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +165,47 @@ def normality(df: DataFrame, value: str) -> DataFrame:
     return r.select("n", F.round("s", 6).alias("skew"), F.round("k", 6).alias("excess_kurtosis"), F.round(jb, 5).alias("jarque_bera"))
 
 
+def shapiro_wilk(df: DataFrame, value: str, key: str | None = None, most: int = 5000) -> tuple[int, float, float]:
+    """(n, W, p) of the Shapiro-Wilk test, by Royston's approximation, on at most `most` rows, those of the smallest hash
+    of their key. Under three values, or equal ones: (n, nan, nan)."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(key or value).alias("h"))
+    x = np.sort(np.array([r[0] for r in rows.orderBy("h", "v").limit(most).collect()]))
+    n = len(x)
+    if n < 3 or x[0] == x[-1]:
+        return n, math.nan, math.nan
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    square, u = float(m @ m), 1 / math.sqrt(n)
+    a = m / math.sqrt(square)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, a[-1]], u)
+        if n > 5:
+            before = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u)
+            phi = (square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
+            a = m / math.sqrt(phi)
+            a[-2], a[1] = before, -before
+        else:
+            a = m / math.sqrt((square - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[-1], a[0] = last, -last
+    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    if n == 3:
+        return n, w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:
+        return n, 1.0, 1.0
+    size = math.log(n)
+    if n < 12:
+        g, mean = -2.273 + 0.459 * n, np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
+        deviation, at = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n)), math.log(1 - w)
+        if at >= g:
+            return n, w, 0.0
+        at = -math.log(g - at)
+    else:
+        mean, deviation = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], size), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], size))
+        at = math.log(1 - w)
+    return n, w, 1 - NormalDist().cdf((at - mean) / deviation)
+
+
 def compare_models(df: DataFrame, model: str, a: str, b: str) -> DataFrame:
     """(model, n, t, d) of paired differences a - b for each model; few rows, ready for corrected()."""
     d = F.col(a) - F.col(b)

@@ -12,6 +12,7 @@ from larkspur.operators import models as L
 from larkspur.operators import ops as O
 from larkspur.operators import ranking as R
 from larkspur.operators import stats as S
+from larkspur.operators import training as TR
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, matrix
@@ -123,6 +124,11 @@ def d7(spark, d):
     return S.normality(pairs(spark, d), "a")
 
 
+@query("d7_shapiro_wilk")
+def d7b(spark, d):
+    return spark.createDataFrame([S.shapiro_wilk(pairs(spark, d), "a", key="id")], "n long, w double, p double")
+
+
 @query("d8_compare_models", f"WITH {PAIRS} SELECT id % 4 AS model, count(*) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t, round(avg(a - b) / stddev_samp(a - b), 6) AS d FROM pr GROUP BY id % 4")
 def d8(spark, d):
     return S.compare_models(pairs(spark, d).withColumn("model", F.col("id") % 4), "model", "a", "b")
@@ -167,11 +173,14 @@ def y2(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").cast("string").alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("g7_change_detection", "SELECT CAST(0 AS INTEGER) AS same_changed, CAST(1 AS INTEGER) AS other_changed")
+@query("g7_change_detection", "WITH o AS (SELECT o_orderpriority AS part, o_orderkey, o_totalprice FROM orders), n AS (SELECT part, o_orderkey, CASE WHEN part LIKE '1%' AND o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o WHERE NOT (part LIKE '2%' AND o_orderkey = (SELECT min(o_orderkey) FROM o WHERE part LIKE '2%'))) SELECT part, CAST(count(*) FILTER (WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice) > 0 AS INTEGER) AS changed FROM (SELECT part, o_orderkey, o_totalprice FROM o) a LEFT JOIN n b USING (part, o_orderkey) GROUP BY part")
 def g7(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    a, b, c = (O.content_hash(x).withColumnRenamed("digest", n).drop("rows") for x, n in ((o, "a"), (o.orderBy(F.desc("o_totalprice")), "b"), (o.where("o_orderkey > 5"), "c")))
-    return a.crossJoin(b).crossJoin(c).select((F.col("a") != F.col("b")).cast("int").alias("same_changed"), (F.col("a") != F.col("c")).cast("int").alias("other_changed"))
+    """Which parts of a table changed between two versions, by their content hashes: one has new prices, one lost a row."""
+    old = table(spark, d, "orders").select(F.col("o_orderpriority").alias("part"), "o_orderkey", "o_totalprice")
+    lost = old.where("part LIKE '2%'").agg(F.min("o_orderkey").alias("lost"))
+    price = F.when(F.col("part").like("1%") & (F.col("o_orderkey") % 7 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    new = old.join(F.broadcast(lost), F.col("o_orderkey") == F.col("lost"), "left_anti").withColumn("o_totalprice", price).orderBy(F.desc("o_orderkey"))
+    return O.changed_parts(old, new, "part")
 
 
 @query("l2_als_input", f"WITH {_MAP} SELECT u_idx, i_idx, round(1 + 10 * conf, 6) AS value FROM mx WHERE is_positive = 1")
@@ -198,9 +207,8 @@ def l13(spark, d):
     als = L.fit_als(train.select("u_idx", "i_idx", "value"), rank=8, maxIter=3)
     n = train.agg(F.max("u_idx"), F.max("i_idx")).first()
     weighted = L.sample_negatives(train, n[1] + 1, 1).join(train.select("u_idx", "i_idx", L.confidence_weights(F.col("rating"), F.col("value")).alias("w")), ["u_idx", "i_idx"])
-    u, v, _ = L.fit_bpr(weighted, n[0] + 1, n[1] + 1, rank=8, epochs=2, weight="w", optimizer="adagrad", schedule="cosine")
-    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id int, features array<double>")
-    both = _evaluated("als", als.userFactors, als.itemFactors, train, test).unionByName(_evaluated("bpr", frame(u), frame(v), train, test))
+    f = TR.train_bpr(weighted, n[0] + 1, n[1] + 1, rank=8, epochs=2, weight="w", optimizer=TR.Optimizer("adagrad", schedule="cosine"))
+    both = _evaluated("als", als.userFactors, als.itemFactors, train, test).unionByName(_evaluated("bpr", *f.frames(spark), train, test))
     return both.orderBy(F.desc("recall"), "model")
 
 

@@ -9,6 +9,7 @@ from larkspur.functions import text as T
 from larkspur.functions import vectors as X
 from larkspur.operators import models as L
 from larkspur.operators import ranking as R
+from larkspur.operators import training as TR
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, _POP, _TRAIN, _split_sql, matrix
@@ -83,10 +84,17 @@ def a42(spark, d):
     return t.agg(F.count("*").alias("users"), F.sum("is_trainable").alias("trainable"), F.round(100 * F.avg("is_trainable"), 6).alias("trainable_pct"))
 
 
-@query("a45_embedding_quality", f"WITH {VEC}, n AS (SELECT sqrt(list_dot_product(vec, vec)) AS n FROM vec) SELECT round(1 / (1 + stddev_pop(n) / avg(n)), 6) AS norm_quality FROM n")
+@query("a45_embedding_quality", f"WITH {VEC}, n AS (SELECT sqrt(list_dot_product(vec, vec)) AS n FROM vec), c AS (SELECT avg(abs(list_cosine_similarity(a.vec, b.vec))) AS c FROM vec a, vec b WHERE a.id % 100 = 0 AND b.id <> a.id), k AS (SELECT count(vec_id) / count(*) AS k FROM part LEFT JOIN embeddings ON vec_id = p_partkey) SELECT round(1 / (1 + stddev_pop(n) / avg(n)), 6) AS norm_quality, round((SELECT c FROM c), 6) AS mean_abs_cos, round((SELECT k FROM k), 6) AS coverage FROM n")
 def a45(spark, d):
-    n = V.vectors(spark, d).select(X.norm(F.col("vec")).alias("n"))
-    return n.agg(F.round(1 / (1 + F.stddev_pop("n") / F.avg("n")), 6).alias("norm_quality"))
+    return _r6(R.embedding_quality(V.vectors(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("id"))), "norm_quality", "mean_abs_cos", "coverage")
+
+
+@query("j16_aligned_vectors", f"WITH {VEC} SELECT p_partkey AS id, CAST(v.id IS NOT NULL AS INTEGER) AS covered, CASE WHEN v.id IS NOT NULL THEN round(sqrt(list_dot_product(vec, vec)), 6) END AS norm FROM part LEFT JOIN vec v ON v.id = p_partkey")
+def j16b(spark, d):
+    """Every item with a vector; those without one get a draw near the mean, of which the norm isn't shown."""
+    items_ = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    out = TR.aligned_vectors(items_, V.vectors(spark, d).select("id", "vec"))
+    return out.select("id", F.col("covered").cast("int").alias("covered"), F.when(F.col("covered"), F.round(X.norm(F.col("vec")), 6)).alias("norm"))
 
 
 @query("a48_sampling_strategies")

@@ -211,6 +211,23 @@ def g1(spark, d):
     return O.latest(runs(spark, d), "pipeline", "started", "run_id").select("pipeline", "run_id", "status")
 
 
+_DEPLOYS = f"{_RUNS}, ev AS (SELECT pipeline, run_id, run_id % 97 AS model_id, CASE WHEN run_id % 5 = 0 THEN 'rollback' ELSE 'deploy' END AS action, started FROM runs)"
+
+
+def deployments(spark, d):
+    return runs(spark, d).select("pipeline", "run_id", (F.col("run_id") % 97).alias("model_id"), F.when(F.col("run_id") % 5 == 0, "rollback").otherwise("deploy").alias("action"), "started")
+
+
+@query("g9_deployment_history", f"WITH {_DEPLOYS} SELECT pipeline, run_id, model_id, action, previous, CAST(age AS INTEGER) AS age FROM (SELECT *, lag(model_id) OVER (PARTITION BY pipeline ORDER BY started, run_id) AS previous, row_number() OVER (PARTITION BY pipeline ORDER BY started DESC, run_id DESC) AS age FROM ev) WHERE age <= 100")
+def g9(spark, d):
+    return O.deployment_history(deployments(spark, d), "pipeline", "started", "run_id").select("pipeline", "run_id", "model_id", "action", "previous", "age")
+
+
+@query("g9_rollback", f"WITH {_DEPLOYS}, h AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY started DESC, run_id DESC) AS age FROM ev), c AS (SELECT pipeline, model_id AS current FROM h WHERE age = 1) SELECT pipeline, arg_min(model_id, age) AS model_id, 'rollback' AS action FROM h JOIN c USING (pipeline) WHERE age <= 100 AND model_id <> current GROUP BY pipeline")
+def g9b(spark, d):
+    return O.rollback(O.deployment_history(deployments(spark, d), "pipeline", "started", "run_id"), "pipeline")
+
+
 @query("w14_retention", f"WITH {MODELS}, b AS (SELECT model_id FROM models WHERE status = 'active' ORDER BY recall DESC NULLS LAST, model_id LIMIT 1) SELECT model_id, model_type, CAST(k AS INTEGER) AS age_rank FROM (SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY created DESC, model_id) AS k FROM models) WHERE k > 2 AND model_id NOT IN (SELECT model_id FROM b)")
 def w14(spark, d):
     return O.retention(models(spark, d), "model_type", "created", 2, "recall").select("model_id", "model_type", "age_rank")

@@ -15,13 +15,13 @@ REQUIRED = {
 }
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _path(spark, path)
+    where, fs = hadoop_path(spark, path)
     return bool(fs.exists(where))
 
 

@@ -11,6 +11,7 @@ from larkspur.functions import vectors as X
 from larkspur.operators import cleaning as C
 from larkspur.operators import metrics as M
 from larkspur.operators import models as L
+from larkspur.operators import training as TR
 from larkspur.operators import ranking as R
 from larkspur.operators import stats as S
 from larkspur.operators import users_items as U
@@ -108,16 +109,27 @@ def test_statistics(spark):
     assert S.ks_statistic(same, same, "a").first()["d"] == 0.0 and S.ks_p(0.0, 20, 20) == 1.0
 
 
+def test_shapiro_wilk(spark):
+    """The published example of eleven weights (W 0.79, p under 0.01), and data that are normal or not."""
+    frame = lambda xs: spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "id int, v double")
+    n, w, p = S.shapiro_wilk(frame([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]), "v", "id")
+    assert n == 11 and w == pytest.approx(0.79, abs=0.005) and 0.005 < p < 0.01
+    r = np.random.default_rng(1)
+    assert S.shapiro_wilk(frame(r.normal(size=300)), "v", "id")[2] > 0.05 > S.shapiro_wilk(frame(r.exponential(size=300)), "v", "id")[2]
+    assert S.shapiro_wilk(frame(range(6000)), "v", "id")[0] == 5000 and math.isnan(S.shapiro_wilk(frame([1, 1, 1]), "v")[1])
+    assert 0 < S.shapiro_wilk(frame([1, 2, 4]), "v")[2] <= 1 and 0 < S.shapiro_wilk(frame([1, 2, 4, 8, 9]), "v")[1] < 1
+
+
 def test_samplers_and_bpr(spark):
     pairs = spark.createDataFrame([(u, (u * 7 + k) % 40) for u in range(30) for k in range(5)], "u_idx int, i_idx int")
     hard = spark.createDataFrame([(u, (u * 7 + 20) % 40) for u in range(30)], "u_idx int, j_idx int")
     neg = L.sample_negatives(pairs, 40, per_pair=3, hard=hard)
     assert neg.count() == 450
     assert neg.join(pairs.select("u_idx", F.col("i_idx").alias("j_idx")), ["u_idx", "j_idx"], "left_semi").isEmpty()
-    u, v, losses = L.fit_bpr(neg, 30, 40, rank=8, epochs=6, rate=0.3)
-    assert losses[-1] < losses[0] and u.shape == (30, 8)
-    assert L.learning_rate("warmup_cosine", 1.0, 0, 10, 5) == 0.2 and L.learning_rate("linear", 1.0, 10, 10) == 0.0
-    assert np.isfinite(v).all()
+    for opt in (TR.Optimizer(rate=0.3), TR.Optimizer("adagrad", rate=0.1, dropout=0.1), TR.Optimizer("adamw", rate=0.02, clip=0.5)):
+        f = TR.train_bpr(neg, 30, 40, rank=8, epochs=6, optimizer=opt)
+        assert f.losses[-1] < f.losses[0] and f.users.shape == (30, 8) and np.isfinite(f.items).all()
+    assert TR.learning_rate("warmup_cosine", 1.0, 0, 10, 5) == 0.2 and TR.learning_rate("linear", 1.0, 10, 10) == 0.0
 
 
 def test_negatives_cover_every_item(spark, sf_dir):

@@ -1,5 +1,8 @@
 """Round trips of sources and sinks, and streaming against batch."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +39,57 @@ def test_versions_and_reports(spark, tmp_path):
     assert one == two
 
 
+def test_backups(spark, tmp_path):
+    a, b = (spark.createDataFrame([(i, x)], "k int, v string") for i, x in ((1, "a"), (2, "b")))
+    writers.save_version(a, f"{tmp_path}/v", "v1")
+    writers.save_version(b, f"{tmp_path}/v", "v2")
+    listed = writers.versions(spark, f"{tmp_path}/v").collect()
+    assert {r.version for r in listed} == {"v1", "v2"} and all(r.bytes > 0 for r in listed)
+    writers.restore_version(spark, f"{tmp_path}/v", "v1", f"{tmp_path}/now")
+    writers.restore_version(spark, f"{tmp_path}/v", "v2", f"{tmp_path}/now")
+    assert spark.read.parquet(f"{tmp_path}/now").collect() == b.collect()
+    with pytest.raises(FileNotFoundError):
+        writers.restore_version(spark, f"{tmp_path}/v", "v3", f"{tmp_path}/now")
+
+
+def test_bundle_mapping_and_hashes(spark, tmp_path):
+    df = spark.createDataFrame([(10, 0), (30, 1), (20, 2)], "user_id long, u_idx int")
+    writers.save_bundle({"one": df, "two": df.limit(1)}, f"{tmp_path}/b")
+    assert spark.read.parquet(f"{tmp_path}/b/one").count() == 3 and spark.read.parquet(f"{tmp_path}/b/two").count() == 1
+    writers.save_mapping(df, "user_id", "u_idx", f"{tmp_path}/m")
+    meta = spark.read.parquet(f"{tmp_path}/m/metadata").first()
+    assert (meta.rows, meta.min_user_id, meta.max_user_id, meta.min_u_idx, meta.max_u_idx) == (3, 10, 30, 0, 2)
+    assert meta.digest == ops.content_hash(spark.read.parquet(f"{tmp_path}/m/mapping")).first().digest
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/x.txt").write_text("abc")
+    assert [r.md5 for r in writers.file_hashes(spark, f"{tmp_path}/f").collect()] == ["900150983cd24fb0d6963f7d28e17f72"]
+
+
+def test_expired_files(spark, tmp_path):
+    for name, days in (("new", 0), ("old", 10)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (time.time() - 86_400 * days,) * 2)
+    assert [r.path.rsplit("/", 1)[-1] for r in writers.expired(spark, str(tmp_path), 5).collect()] == ["old"]
+
+
+def test_encodings_and_json(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("product_id,name\n1,café\n".encode("latin-1"))
+    (tmp_path / "utf.csv").write_bytes("product_id,name\n1,café\n".encode())
+    for name in ("latin", "utf"):
+        assert readers.read_csv_any_encoding(spark, f"{tmp_path}/{name}.csv", "name").first().name == "café"
+    (tmp_path / "a.json").write_text('{"x": "1", "y": "2"}')
+    (tmp_path / "b.json").write_text('{"z": "3"}')
+    assert {(r.key, r.value) for r in readers.read_json_maps(spark, f"{tmp_path}/*.json").collect()} == {("x", "1"), ("y", "2"), ("z", "3")}
+
+
+def test_deployments(spark):
+    events = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", 3, 6), ("b", 1, 9)], "pipeline string, ts int, model_id int")
+    h = ops.deployment_history(events, "pipeline", "ts", "model_id")
+    assert [(r.model_id, r.previous, r.age) for r in h.where("pipeline = 'a'").orderBy("age").collect()] == [(6, 6, 1), (6, 5, 2), (5, None, 3)]
+    assert [tuple(r) for r in ops.rollback(h, "pipeline").collect()] == [("a", 5, "rollback")]  # b has nothing to go back to
+    assert ops.deployment_history(events, "pipeline", "ts", "model_id", most=1).count() == 2
+
+
 def test_pushdown(spark, sf_dir):
     df = readers.read_parquet(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey"], "l_returnflag = 'R'")
     plan = df._jdf.queryExecution().executedPlan().toString()
