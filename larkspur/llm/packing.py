@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import materialize
 
 #: Words of the cache at most, and characters of a cached word at most; longer ones are encoded each time.
-_CACHE_MOST, _WORD_MOST = 400_000, 64
+_CACHE_MOST, _WORD_MOST = 250_000, 64
 #: A text is encoded in stretches of about so many characters, cut at spaces where that can't change the result.
 _STRETCH = 1 << 18
 #: A normaliser that only joins white space and lower-cases, and a step that changes nothing but the spelling of bytes.

@@ -192,7 +192,7 @@ def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = xxhash.xxh64_intdigest
-        for b in it:
+        for b in (whole.slice(at, 2000) for whole in it for at in range(0, whole.num_rows, 2000)):
             nodes, keys, places = [], [], []
             for t in b.column("text").cast(pa.binary()):
                 h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle_words, seed)

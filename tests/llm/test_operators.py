@@ -326,6 +326,67 @@ def test_language(spark, sf_dir, hard, empty):
     assert language.predict(empty, model).isEmpty()
 
 
+def _gram_buckets(text):
+    letters = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+    raw = b" " + b" ".join(letters.encode().split()) + b" "
+    grams = [(raw[i] | raw[i + 1] << 8 | 1 << 31) for i in range(len(raw) - 1)] + [raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16 for i in range(len(raw) - 2)]
+    counts = {}
+    for g in grams:
+        at = (g * 2654435761 % (1 << 32)) >> 19
+        counts[at] = counts.get(at, 0) + 1
+    return counts
+
+
+def _unit_vector(text, idf):
+    x = {k: math.sqrt(n) * idf[k] for k, n in _gram_buckets(text).items()}
+    size = math.sqrt(sum(v * v for v in x.values()))
+    return {k: v / size for k, v in x.items()} if size else {}
+
+
+def _nearest(text, model):
+    """Plain nearest centroid: (language, cosine, rejected)."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, True
+    x = _unit_vector(text, model.idf)
+    near = [sum(v * float(c[k]) for k, v in x.items()) for c in model.centroids]
+    best = max(range(len(near)), key=lambda i: near[i])
+    score = min(max(near[best], 0.0), 1.0)
+    return model.langs[best], score, 1 - score > model.limits[model.langs[best]]
+
+
+def test_language_as_plain(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(language.learnable()), sample=20, clusters=3)
+    learned = [r for r in docs.withColumn("h", F.xxhash64("doc_id", "text")).where(language.learnable()).collect() if r.lang and r.text and any(c.isalpha() for c in r.text)]
+    chosen = {}
+    for r in sorted(learned, key=lambda r: (r.h, r.text)):
+        if len(chosen.setdefault(r.lang, [])) < 20 and r.h % (1 << 30) < min(1.0, 40 / sum(x.lang == r.lang for x in learned)) * (1 << 30):
+            chosen[r.lang].append(r.text)
+    every = [t for ts in chosen.values() for t in ts]
+    df = {}
+    for t in every:
+        for k in _gram_buckets(t):
+            df[k] = df.get(k, 0) + 1
+    assert all(model.idf[k] == pytest.approx(math.log((1 + len(every)) / (1 + n)) + 1, rel=1e-5) for k, n in df.items())
+    for lang, texts in chosen.items():  # each centroid is the direction of the sum of its nearest texts
+        own = [c for c, x in zip(model.centroids, model.langs, strict=True) if x == lang]
+        vectors = [_unit_vector(t, model.idf) for t in texts]
+        cosines = [[sum(v * float(c[k]) for k, v in x.items()) for c in own] for x in vectors]
+        far = max(1 - max(row) for row in cosines)
+        assert model.limits[lang] == pytest.approx(far + 0.5 * (1 - far), abs=1e-4)
+        for i, c in enumerate(own):
+            mine = [x for x, row in zip(vectors, cosines, strict=True) if row.index(max(row)) == i]
+            total = np.zeros(len(c))
+            for x in mine:
+                for k, v in x.items():
+                    total[k] += v
+            assert mine and float(total @ c) / np.linalg.norm(total) == pytest.approx(1, abs=1e-3)
+    for r in language.predict(docs, model).collect():
+        lang, score, rejected = _nearest(r.text, model)
+        assert r.score == pytest.approx(score, abs=1e-4) and (r.lang_pred == lang or score == pytest.approx(r.score, abs=1e-5))
+        assert r.rejected == rejected or abs(1 - score - model.limits[lang]) < 1e-4
+
+
 class _KneserNey:
     """Plain interpolated modified Kneser-Ney over dictionaries of strings."""
 
