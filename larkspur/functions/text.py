@@ -80,19 +80,29 @@ def recency(ts: Column, as_of: Column) -> Column:
     return RECENCY_FLOOR + RECENCY_WEIGHT * F.exp(-age / RECENCY_DAYS)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def adjusted_quality(base: Column, text: Column, rating: Column, ts: Column, as_of: Column, positive: list[str], negative: list[str]) -> Column:
     """struct<quality, suspicious>: a base score with the length bonus, the short-and-high penalty, keyword terms, rating
     mismatch, recency and unique-character ratio applied in this order, then clipped to 0..1."""
-    words, pos, neg = word_count(text), keyword_count(text, positive), keyword_count(text, negative)
-    bonus = F.when(words >= LENGTH_MIN_WORDS, F.least(LENGTH_BASE + LENGTH_STEP * (words - LENGTH_MIN_WORDS), F.lit(LENGTH_CAP))).otherwise(0.0)
-    short = (words <= SHORT_WORDS) & (rating >= 4)
-    q = base + bonus - F.when(short, SHORT_PENALTY).otherwise(0.0)
-    q = q + F.least(POSITIVE_STEP * pos, F.lit(POSITIVE_CAP)) - F.least(NEGATIVE_STEP * neg, F.lit(NEGATIVE_CAP))
-    hard, soft = (rating >= 4) & (neg > pos), (rating <= 2) & (pos > neg)
-    q = q * F.when(hard, MISMATCH).when(soft, MISMATCH_SOFT).otherwise(1.0) * recency(ts, as_of)
-    few = unique_ratio(text) < UNIQUE_RATIO
-    q = q * F.when(few, UNIQUE_FACTOR).otherwise(1.0)
-    return F.struct(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)).alias("quality"), (short | hard | soft | few).cast("int").alias("suspicious"))
+    seen = F.struct(word_count(text).alias("words"), keyword_count(text, positive).alias("pos"), keyword_count(text, negative).alias("neg"), unique_ratio(text).alias("unique"))
+
+    def adjusted(f: Column) -> Column:
+        words, pos, neg = f["words"], f["pos"], f["neg"]
+        bonus = F.when(words >= LENGTH_MIN_WORDS, F.least(LENGTH_BASE + LENGTH_STEP * (words - LENGTH_MIN_WORDS), F.lit(LENGTH_CAP))).otherwise(0.0)
+        short = (words <= SHORT_WORDS) & (rating >= 4)
+        q = base + bonus - F.when(short, SHORT_PENALTY).otherwise(0.0)
+        q = q + F.least(POSITIVE_STEP * pos, F.lit(POSITIVE_CAP)) - F.least(NEGATIVE_STEP * neg, F.lit(NEGATIVE_CAP))
+        hard, soft = (rating >= 4) & (neg > pos), (rating <= 2) & (pos > neg)
+        q = q * F.when(hard, MISMATCH).when(soft, MISMATCH_SOFT).otherwise(1.0) * recency(ts, as_of)
+        few = f["unique"] < UNIQUE_RATIO
+        q = q * F.when(few, UNIQUE_FACTOR).otherwise(1.0)
+        return F.struct(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)).alias("quality"), (short | hard | soft | few).cast("int").alias("suspicious"))
+
+    return _once(seen, adjusted)
 
 
 def grep(c: Column, pattern: str, mode: str = "literal", case: bool = False) -> Column:

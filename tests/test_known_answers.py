@@ -109,6 +109,14 @@ def test_statistics(spark):
     assert S.ks_statistic(same, same, "a").first()["d"] == 0.0 and S.ks_p(0.0, 20, 20) == 1.0
 
 
+def test_metric_by_name(spark):
+    recs = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "user_id int, item int, rank int")
+    truth = spark.createDataFrame([(1, 11), (1, 13), (2, 12), (3, 1)], "user_id int, item int")
+    assert M.at_k("recall", recs, truth, 2) == pytest.approx((0.5 + 1 + 0) / 3) and M.at_k("mrr", recs, truth, 2) == pytest.approx((0.5 + 1 + 0) / 3)
+    with pytest.raises(ValueError, match="ndcg"):
+        M.at_k("other", recs, truth, 2)
+
+
 def test_shapiro_wilk(spark):
     """The published example of eleven weights (W 0.79, p under 0.01), and data that are normal or not."""
     frame = lambda xs: spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "id int, v double")
