@@ -212,6 +212,15 @@ def hybrid_fallback(profiles: DataFrame, items: DataFrame, k: int, weight: float
     return knn_matrix(a, b, k, cosine=False)
 
 
+def fallback(strategy: str, **given) -> DataFrame:
+    """Lists for users without a model, by name: popularity (popularity_fallback), similarity (knn_matrix on their
+    profiles) or hybrid (hybrid_fallback), with that function's arguments; ValueError for another name."""
+    ways = {"popularity": popularity_fallback, "similarity": knn_matrix, "hybrid": hybrid_fallback}
+    if strategy not in ways:
+        raise ValueError(f"{strategy}: one of {sorted(ways)}")
+    return ways[strategy](**given)
+
+
 def content_score(asked: DataFrame, items: DataFrame, k: int, weights=(0.7, 0.2, 0.1), other_brand: float = 0.3) -> DataFrame:
     """(q, i, score, rank): the best of weights * (cosine, same category, same brand or other_brand), of rows (id, vec,
     brand, category). What is missing equals nothing."""

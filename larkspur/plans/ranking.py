@@ -75,11 +75,9 @@ def q1(spark, d):
     return _r6(recs(spark, d, 10), "score")
 
 
-@query("q3_similar_items", f"WITH {VEC}, s AS (SELECT a.id AS q, b.id AS i, {_COS.format('a.vec', 'b.vec')} AS score FROM vec a, vec b WHERE a.id % 10 = 0 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+@query("q3_similar_items", f"WITH {VEC}, s AS (SELECT a.id AS q, b.id AS i, {_COS.format('a.vec', 'b.vec')} AS score FROM vec a, vec b WHERE a.id % 100 = 0 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def q3(spark, d):
-    v = V.vectors(spark, d)
-    q = v.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
-    return _r6(R.knn_matrix(q, v.select(F.col("id").alias("i"), F.col("vec").alias("iv")), 5, exclude_self=True), "score")
+    return _r6(R.knn_matrix(users(spark, d), items(spark, d), 5, exclude_self=True), "score")
 
 
 @query("j14_filtered_knn", f"WITH {VEC}, s AS (SELECT a.id AS q, b.id AS i, {_COS.format('a.vec', 'b.vec')} AS score FROM vec a JOIN vec b ON a.label = b.label WHERE a.id % 100 = 0 AND b.id <> a.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score >= 0.25")

@@ -131,6 +131,15 @@ def test_popular_unseen_is_exact(spark):
     assert {tuple(r) for r in R.popular_unseen(x, 4, 6).collect()} == want
 
 
+def test_fallbacks(spark):
+    profiles = spark.createDataFrame([(1, [1.0, 0.0])], "q long, qv array<double>")
+    items = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, [0.9, 0.1], 1.0), (3, [0.0, 1.0], 1.0)], "i long, iv array<double>, popularity double")
+    lists = {x: [r.i for r in R.fallback(x, **({"profiles": profiles} if x == "hybrid" else {"queries": profiles}), items=items, k=2).orderBy("rank").collect()] for x in ("similarity", "hybrid")}
+    assert lists == {"similarity": [1, 2], "hybrid": [2, 1]}
+    with pytest.raises(ValueError, match="popularity"):
+        R.fallback("other")
+
+
 def test_recommend_as_plain(spark):
     r = np.random.default_rng(5)
     u, v = r.normal(size=(20, 4)), r.normal(size=(33, 4))
