@@ -55,8 +55,11 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     rows = rows.join(found, rows["site"].eqNullSafe(found["host"]), "left")
     every = F.split("text", "\n", -1)
     # A page's own boilerplate is found by hash in one pass over the host's list, not by a search of it for each line.
-    own = F.array_intersect(F.transform(every, lambda x: F.sha2(x, 256)), "lines")
-    kept = let(own, lambda bad: F.when(F.size(bad) == 0, every).otherwise(F.filter(every, lambda x: _blank(x) | ~F.array_contains(bad, F.sha2(x, 256)))))
+    def without(digests: Column) -> Column:
+        here = lambda bad: F.filter(every, lambda x, i: _blank(x) | ~F.array_contains(bad, F.get(digests, i)))
+        return let(F.array_intersect(digests, "lines"), lambda bad: F.when(F.size(bad) == 0, every).otherwise(here(bad)))
+
+    kept = let(F.transform(every, lambda x: F.sha2(x, 256)), without)
     cleaned = rows.withColumn("kept", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), kept))
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("kept"))
