@@ -80,7 +80,7 @@ def recency(ts: Column, as_of: Column) -> Column:
     return RECENCY_FLOOR + RECENCY_WEIGHT * F.exp(-age / RECENCY_DAYS)
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once however often the body names it."""
     return F.transform(F.array(value), body)[0]
 
@@ -102,7 +102,7 @@ def adjusted_quality(base: Column, text: Column, rating: Column, ts: Column, as_
         q = q * F.when(few, UNIQUE_FACTOR).otherwise(1.0)
         return F.struct(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)).alias("quality"), (short | hard | soft | few).cast("int").alias("suspicious"))
 
-    return _once(seen, adjusted)
+    return once(seen, adjusted)
 
 
 def grep(c: Column, pattern: str, mode: str = "literal", case: bool = False) -> Column:
