@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import decontaminate, language, lines, media, packing, pii, quality, secrets, simhash, urls
+from larkspur.llm import decontaminate, language, lines, media, merkle, packing, pii, quality, secrets, simhash, urls
 from larkspur.llm.common import table
 
 
@@ -81,6 +81,13 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """Every document's leaf, roots and proof; half of the documents are shown without their newlines."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], shown={"text": tampered})
+
+
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -93,8 +100,9 @@ def queries():
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql():
-    return {"op1_secret_scan": secrets.sql(), "op2_benchmark_decontamination": decontaminate.SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_secret_scan": secrets.sql(), "op2_benchmark_decontamination": decontaminate.SQL, "op6_line_dedup": OP6_SQL, "op12_merkle_manifest": merkle.SQL}
