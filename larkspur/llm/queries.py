@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import decontaminate, language, lines, media, merkle, packing, pii, quality, secrets, simhash, urls
-from larkspur.llm.common import table
+from larkspur.llm import decontaminate, language, lines, media, merkle, packing, pii, quality, secrets, simhash, trie, urls
+from larkspur.llm.common import materialize, table
 
 
 def op3_packing(spark, sf_dir):
@@ -88,6 +88,11 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], shown={"text": tampered})
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return trie.nodes(trie.rebuilt(materialize(trie.sequences(table(spark, sf_dir, "conversations")), "sequences")))
+
+
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -101,8 +106,9 @@ def queries():
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql():
-    return {"op1_secret_scan": secrets.sql(), "op2_benchmark_decontamination": decontaminate.SQL, "op6_line_dedup": OP6_SQL, "op12_merkle_manifest": merkle.SQL}
+    return {"op1_secret_scan": secrets.sql(), "op2_benchmark_decontamination": decontaminate.SQL, "op6_line_dedup": OP6_SQL, "op12_merkle_manifest": merkle.SQL, "op13_prefix_trie": trie.SQL}
