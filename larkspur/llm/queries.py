@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import decontaminate, language, lines, media, merkle, packing, pii, quality, secrets, simhash, trie, urls
+from larkspur.llm import decontaminate, language, lines, media, merkle, mixing, packing, pii, quality, secrets, simhash, trie, urls
 from larkspur.llm.common import materialize, table
 
 
@@ -81,6 +81,11 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_source_mixing(spark, sf_dir):
+    """Every document's share of a mix of all sources by weight."""
+    return mixing.mix_shares(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     """Every document's leaf, roots and proof; half of the documents are shown without their newlines."""
     docs = table(spark, sf_dir, "documents")
@@ -105,6 +110,7 @@ def queries():
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
+        "op11_source_mixing": op11_source_mixing,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_prefix_trie": op13_prefix_trie,
     }
