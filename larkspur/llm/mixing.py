@@ -88,6 +88,7 @@ class Mix:
         self.rows = self._laid(keyed, named)
         blocks = self.rows.groupBy("sid").agg(F.max("blocks").alias("blocks"))
         self.sources = self._counted(named, blocks)
+        self.many = self.rows.where(F.col("copies") > SPREAD).agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
         self.seed, self.shard = F.lit(seed), shard
 
     @staticmethod
@@ -114,11 +115,13 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """(shard, slot, sid, block) of the whole mix: what each slot of each shard takes."""
-        n = F.lit(self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]).cast("long")
+        total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+        n = F.lit(total).cast("long")
         parts = self.sources.where("slots > 0").select("sid", "blocks", "slots", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SPREAD))).alias("part"))
         start = F.col("part") * SPREAD
         q = F.explode(F.sequence(start, F.least(start + SPREAD, F.col("slots")) - 1)).alias("q")
-        every = parts.repartition("sid", "part").select("sid", "blocks", "first", q)
+        # By number: what is dealt here is few rows, each of which becomes many.
+        every = parts.repartition(total // (4 * SPREAD) + 1, "sid", "part").select("sid", "blocks", "first", q)
         place = permuted(F.col("first") + F.col("q"), n, self.seed)
         block = permuted(F.col("q") % F.col("blocks"), F.col("blocks"), self.seed, F.col("sid"), F.floor(F.col("q") / F.col("blocks")))
         return every.select(place.alias("place"), "sid", block.alias("block")).select(F.floor(F.col("place") / self.shard).alias("shard"), (F.col("place") % self.shard).alias("slot"), "sid", "block")
@@ -132,7 +135,8 @@ class Mix:
         """Each row of the input, copies numbered and one after the other; a row of many copies is spread first."""
         many = self.rows.where(F.col("copies") > SPREAD)
         last = F.floor((F.col("copies") - 1) / SPREAD)
-        spread = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part")).repartition("sid", "doc_id", "text_key", "part")
+        spread = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+        spread = spread.repartition(self.many // (4 * SPREAD) + 1, "sid", "doc_id", "text_key", "part")
         every = self.rows.where(F.col("copies") <= SPREAD).withColumn("part", F.lit(0).cast("long")).unionByName(spread)
         start = F.col("part") * SPREAD
         every = every.withColumn("copy", F.explode(F.sequence(start, F.least(start + SPREAD, F.col("copies")) - 1)))
