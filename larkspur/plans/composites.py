@@ -207,8 +207,8 @@ def l13(spark, d):
     als = L.fit_als(train.select("u_idx", "i_idx", "value"), rank=8, maxIter=3)
     n = train.agg(F.max("u_idx"), F.max("i_idx")).first()
     weighted = L.sample_negatives(train, n[1] + 1, 1).join(train.select("u_idx", "i_idx", L.confidence_weights(F.col("rating"), F.col("value")).alias("w")), ["u_idx", "i_idx"])
-    f = TR.train_bpr(weighted, n[0] + 1, n[1] + 1, rank=8, epochs=2, weight="w", optimizer=TR.Optimizer("adagrad", schedule="cosine"))
-    both = _evaluated("als", als.userFactors, als.itemFactors, train, test).unionByName(_evaluated("bpr", *f.frames(spark), train, test))
+    f = TR.train_bpr(weighted, ids=(train.select(F.col("u_idx").alias("id")), spark.range(n[1] + 1)), rank=8, epochs=2, weight="w", optimizer=TR.Optimizer("adagrad", schedule="cosine"))
+    both = _evaluated("als", als.userFactors, als.itemFactors, train, test).unionByName(_evaluated("bpr", f.users, f.items, train, test))
     return both.orderBy(F.desc("recall"), "model")
 
 

@@ -135,8 +135,8 @@ def test_samplers_and_bpr(spark):
     assert neg.count() == 450
     assert neg.join(pairs.select("u_idx", F.col("i_idx").alias("j_idx")), ["u_idx", "j_idx"], "left_semi").isEmpty()
     for opt in (TR.Optimizer(rate=0.3), TR.Optimizer("adagrad", rate=0.1, dropout=0.1), TR.Optimizer("adamw", rate=0.02, clip=0.5)):
-        f = TR.train_bpr(neg, 30, 40, rank=8, epochs=6, optimizer=opt)
-        assert f.losses[-1] < f.losses[0] and f.users.shape == (30, 8) and np.isfinite(f.items).all()
+        f = TR.train_bpr(neg, rank=8, epochs=6, optimizer=opt, rounds=1)
+        assert f.losses[-1] < f.losses[0] and f.users.count() == 30 and np.isfinite([r.features for r in f.items.collect()]).all()
     assert TR.learning_rate("warmup_cosine", 1.0, 0, 10, 5) == 0.2 and TR.learning_rate("linear", 1.0, 10, 10) == 0.0
 
 
