@@ -124,21 +124,6 @@ def popularity_negatives(pairs: DataFrame, popularity: DataFrame, per_pair: int
     return rows.select("u_idx", "i_idx", F.explode(F.slice(F.array_sort(keyed), 1, per_pair)).alias("x")).select("u_idx", "i_idx", "x.j_idx")
 
 
-def strategy(progress: float, shares: dict[str, float], *keys: str, seed: int = 0) -> Column:
-    """A sampling strategy's name for each row, by cumulative shares grown with training progress (0 to 1).
-
-    The denominator is the total plus what is missing to one, of a total counted up to 0.9.
-    """
-    grown = {n: s * progress for n, s in shares.items()}
-    total = sum(grown.values())
-    whole = total + max(0.0, 1 - min(total, 0.9))
-    u, at, out = uniform_draw(*keys, seed=seed), 0.0, None
-    for name, share in grown.items():
-        at += share / whole
-        out = F.when(u < at, name) if out is None else out.when(u < at, name)
-    return out.otherwise("uniform")
-
-
 def confidence_weights(rating: Column, confidence: Column, bonus: float = 1.5, penalty: float = 0.5, threshold: float = 4.5) -> Column:
     """1, raised for confident and lowered for suspicious positives."""
     return F.when((rating == 5) & (confidence < 5.3), penalty).when(confidence >= threshold, bonus).otherwise(1.0)
@@ -156,17 +141,3 @@ def initial_factors(ids: DataFrame, rank: int, scale: float = 0.01, seed: int =
     draw = lambda i, k: F.pmod(F.xxhash64("id", i, F.lit(k), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     normal = lambda i: scale * F.sqrt(-2 * F.log(draw(i, 0) + 1e-12)) * F.cos(2 * np.pi * draw(i, 1))
     return ids.select("id", F.transform(F.sequence(F.lit(1), F.lit(rank)), normal).alias("features"))
-
-
-def mixed_negatives(pairs: DataFrame, n_items: int, pools: dict[str, DataFrame], shares: dict[str, float], progress: float, seed: int = 0) -> DataFrame:
-    """(u_idx, i_idx, j_idx, strategy): each pair's strategy by training progress, then a negative from that strategy's pool
-    (u_idx, j_idx), or a uniform one where the pool has none for the user."""
-    chosen = pairs.select("u_idx", "i_idx").withColumn("strategy", strategy(progress, shares, "u_idx", "i_idx", seed=seed))
-    uniform = sample_negatives(pairs, n_items, 1, seed=seed)
-    out = chosen.join(uniform, ["u_idx", "i_idx"], "left").withColumn("best", F.lit(None).cast("int"))
-    for name, pool in pools.items():
-        w = Window.partitionBy("u_idx", "i_idx").orderBy("h", "p_idx")
-        mine = chosen.where(F.col("strategy") == name).join(pool.select("u_idx", F.col("j_idx").alias("p_idx")).distinct(), "u_idx")
-        mine = mine.withColumn("h", uniform_draw("u_idx", "i_idx", "p_idx", seed=seed)).withColumn("k", F.row_number().over(w)).where("k = 1")
-        out = out.join(mine.select("u_idx", "i_idx", "p_idx"), ["u_idx", "i_idx"], "left").withColumn("best", F.coalesce("best", "p_idx")).drop("p_idx")
-    return out.select("u_idx", "i_idx", F.coalesce("best", "j_idx").alias("j_idx"), "strategy").where("j_idx is not null")

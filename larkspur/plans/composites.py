@@ -212,14 +212,6 @@ def l13(spark, d):
     return both.orderBy(F.desc("recall"), "model")
 
 
-@query("l11_mixed_negatives")
-def l11(spark, d):
-    m = matrix(spark, d)
-    pos = m.where("is_positive = 1").select("u_idx", "i_idx")
-    hard = m.where("rating <= 2").select("u_idx", F.col("i_idx").alias("j_idx"))
-    return L.mixed_negatives(pos, item_count(m), {"hard": hard}, {"hard": 0.5}, 0.6)
-
-
 @query("l12_initial_factors")
 def l12(spark, d):
     return L.initial_factors(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 8)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions import vectors as X
 from larkspur.operators import models as L
+from larkspur.operators import negatives as N
 from larkspur.operators import ranking as R
 from larkspur.operators import training as TR
 from larkspur.operators import users_items as U
@@ -97,96 +98,23 @@ def j16b(spark, d):
     return out.select("id", F.col("covered").cast("int").alias("covered"), F.when(F.col("covered"), F.round(X.norm(F.col("vec")), 6)).alias("norm"))
 
 
-@query("a48_sampling_strategies")
-def a48(spark, d):
-    p = matrix(spark, d).where("is_positive = 1")
-    s = p.withColumn("strategy", L.strategy(0.8, {"hard": 0.3, "contextual": 0.3, "popular": 0.2}, "u_idx", "i_idx"))
-    return s.groupBy("strategy").agg(F.count("*").alias("n"))
-
-
-@query("f12_valid_item_indices", f"WITH {_MAP}, {V.PRODUCTS} SELECT i_idx FROM im JOIN products USING (product_id) WHERE contains(brand, '#1') OR contains(brand, '#3')")
-def f12(spark, d):
-    x = V.clean_interactions(spark, d)
-    keep = F.exists(F.array(F.lit("#1"), F.lit("#3")), lambda v: F.contains(F.col("brand"), v))
-    return V.products(spark, d).where(keep).join(U.dense_index(x, "product_id", "i_idx"), "product_id").select("i_idx")
-
-
-@query("f13_exclude_ids", f"WITH {TOP} SELECT user_id, item FROM recs WHERE rank <= 10 AND item NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0)")
-def f13(spark, d):
-    out = V.vectors(spark, d).where("id % 4 = 0").select(F.col("id").alias("item"))
-    return recs(spark, d, 10).join(out, "item", "left_anti").select("user_id", "item")
-
-
-@query("f17_min_score", f"WITH {TOP} SELECT user_id, item, round(score, 6) AS score FROM recs WHERE rank <= 10 AND score >= 0.25")
-def f17(spark, d):
-    return _r6(recs(spark, d, 10).where("score >= 0.25").select("user_id", "item", "score"), "score")
-
-
-@query("f21_first_difference", "SELECT a.p_partkey AS id, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
-def f21(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    b = p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("other"))
-    return p.withColumnRenamed("p_partkey", "id").join(b, "id").select("id", F.levenshtein("p_name", "other").cast("bigint").alias("distance"))
-
-
-@query("j2_attributes_by_name_or_id", "WITH a AS (SELECT p_name AS name, min(p_brand) AS brand_attr FROM part GROUP BY p_name) SELECT p_partkey AS product_id, coalesce(brand_attr, p_brand) AS brand FROM part LEFT JOIN a ON lower(trim(p_name)) = lower(trim(name))")
-def j2(spark, d):
-    part = table(spark, d, "part")
-    attrs = part.groupBy(T.normalize_name(F.col("p_name")).alias("name")).agg(F.min("p_brand").alias("brand_attr"))
-    out = part.withColumn("name", T.normalize_name(F.col("p_name"))).join(attrs, "name", "left")
-    return out.select(F.col("p_partkey").alias("product_id"), F.coalesce("brand_attr", "p_brand").alias("brand"))
-
-
-@query("j3_row_growth_guard", "SELECT count(*) AS before, count(*) AS after FROM part")
-def j3(spark, d):
-    part = table(spark, d, "part")
-    right = part.groupBy("p_name").agg(F.min("p_size").alias("size"))
-    return part.agg(F.count("*").alias("before")).crossJoin(part.join(right, "p_name", "left").agg(F.count("*").alias("after")))
+def _shares_sql(hard: float) -> str:
+    at, cases = 0.0, []
+    for name, share in N.strategy_shares(hard).items():
+        at += share
+        cases.append(f"WHEN u < {at!r} THEN '{name}'" if name != "random" else "ELSE 'random'")
+    return f"SELECT {hard!r} AS difficulty, CASE {' '.join(cases)} END AS strategy FROM drawn"
 
 
-@query("j12_list_pairs", f"WITH {TOP}, l AS (SELECT r.user_id, r.rank, v.vec FROM recs r JOIN vec v ON v.id = r.item WHERE rank <= 5) SELECT a.user_id, CAST(a.rank AS INTEGER) AS a, CAST(b.rank AS INTEGER) AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM l a JOIN l b ON a.user_id = b.user_id AND a.rank < b.rank")
-def j12(spark, d):
-    lists = recs(spark, d, 5).join(V.vectors(spark, d).select(F.col("id").alias("item"), "vec"), "item").select("user_id", "rank", "vec")
-    a, b = lists.select("user_id", F.col("rank").alias("a"), F.col("vec").alias("va")), lists.select("user_id", F.col("rank").alias("b"), F.col("vec").alias("vb"))
-    return a.join(b, "user_id").where("a < b").select("user_id", "a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+_STAGES = [N.difficulty(epoch, schedule) for epoch, schedule in ((0, "linear"), (30, "exponential"), (55, "cosine"))]
 
 
-@query("j17_rekey_by_name", "WITH n AS (SELECT p_name, min(p_partkey) AS ref FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name) SELECT p_partkey AS id, ref FROM part LEFT JOIN n USING (p_name)")
-def j17(spark, d):
-    part = table(spark, d, "part")
-    ref = part.where("p_partkey % 2 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("ref"))
-    return part.join(ref, "p_name", "left").select(F.col("p_partkey").alias("id"), "ref")
-
-
-@query("j18_trainable_remap", f"WITH {_TRAIN}, g AS (SELECT user_id, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS u_idx FROM (SELECT DISTINCT user_id FROM dedup)), c AS (SELECT user_id, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS u_idx_cf FROM st WHERE is_trainable = 1) SELECT user_id, u_idx, u_idx_cf FROM g JOIN c USING (user_id)")
-def j18(spark, d):
-    x = V.clean_interactions(spark, d)
-    trained = U.trainable_users(x).where("is_trainable = 1").select("user_id")
-    return U.dense_index(x, "user_id", "u_idx").join(U.dense_index(trained, "user_id", "u_idx_cf"), "user_id")
-
-
-@query("j19_paired_with_baseline", f"WITH {TRUTH}, m AS (SELECT user_id, count(*) AS model FROM recs JOIN truth USING (user_id, item) WHERE rank <= 10 GROUP BY user_id), b AS (SELECT user_id, count(*) AS base FROM truth WHERE item < 60 GROUP BY user_id) SELECT user_id, model, base FROM m JOIN b USING (user_id)")
-def j19(spark, d):
-    t = truth(spark, d)
-    m = recs(spark, d, 10).join(t, ["user_id", "item"]).groupBy("user_id").agg(F.count("*").alias("model"))
-    return m.join(t.where("item < 60").groupBy("user_id").agg(F.count("*").alias("base")), "user_id")
-
-
-@query("w2_last_positive", f"WITH {V.DEDUP} SELECT user_id, rid FROM (SELECT user_id, rid, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, rating, rid) AS k FROM dedup WHERE is_positive = 1) WHERE k = 1")
-def w2(spark, d):
-    return U.temporal_split(V.clean_interactions(spark, d)).where("split = 'test'").select("user_id", "rid")
-
-
-@query("w10_rank_after_sort", f"WITH {TOP} SELECT user_id, item, CAST(row_number() OVER (PARTITION BY user_id ORDER BY item) AS INTEGER) AS rank FROM recs WHERE rank <= 10")
-def w10(spark, d):
-    return recs(spark, d, 10).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("item"))).select("user_id", "item", "rank")
-
-
-@query("u1_union_parts", f"WITH {_split_sql(True)} SELECT rid, split AS part FROM split WHERE split = 'test' UNION ALL SELECT rid, 'validation' FROM split WHERE split = 'val'")
-def u1(spark, d):
-    x = U.temporal_split(V.clean_interactions(spark, d), use_validation=True)
-    test, val = x.where("split = 'test'").select("rid", F.lit("test").alias("part")), x.where("split = 'val'").select("rid")
-    return test.unionByName(val, allowMissingColumns=True).na.fill({"part": "validation"})
+@query("a48_sampling_strategies", f"WITH {_MAP}, drawn AS (SELECT {N.draw_sql(repr('strategy'), 0, 'u_idx', 'i_idx')} AS u FROM mx WHERE is_positive = 1) SELECT difficulty, strategy, count(*) AS n FROM ({' UNION ALL '.join(map(_shares_sql, _STAGES))}) GROUP BY difficulty, strategy")
+def a48(spark, d):
+    """How often each strategy is drawn at the start, in the middle and at the end of a curriculum."""
+    drawn = matrix(spark, d).where("is_positive = 1").select(N.draw("strategy", 0, F.col("u_idx"), F.col("i_idx")).alias("u"))
+    stages = F.array(*[F.struct(F.lit(x).alias("difficulty"), N.strategy(x, F.col("u")).alias("strategy")) for x in _STAGES])
+    return drawn.select(F.inline(stages)).groupBy("difficulty", "strategy").agg(F.count("*").alias("n"))
 
 
 @query("u4_union_of_sets", f"WITH {V.DEDUP}, {_POP.format(10)} SELECT user_id, product_id FROM dedup WHERE rating <= 2 UNION SELECT u.user_id, p.product_id FROM (SELECT DISTINCT user_id FROM dedup) u, pop p WHERE NOT EXISTS (SELECT 1 FROM dedup x WHERE x.user_id = u.user_id AND x.product_id = p.product_id)")

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from larkspur.plans import composites, data, models, more, opsq, ranking  # noqa: F401
+    from larkspur.plans import composites, data, models, more, opsq, ranking, sampling  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
