@@ -15,7 +15,7 @@ DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")
 
 def to_long(c: Column) -> Column:
     """A whole number from text or numbers ('3.0' is 3); null where there is none."""
-    return c.try_cast("double").try_cast("bigint")
+    return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
 
 
 def to_double(c: Column) -> Column:

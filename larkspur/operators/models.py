@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import unit
-from larkspur.operators.ranking import item_blocks, top_k, top_of, unseen_of
+from larkspur.operators.ranking import in_blocks, top_k, top_of, unseen_of
+from larkspur.sources.shared import Scratch
 
 #: Fixed presets of the ALS trainer: rank, iterations, regularisation, alpha.
 PRESETS = {"default": (64, 15, 0.1, 10.0), "fast": (32, 8, 0.1, 10.0), "sparse": (64, 15, 0.05, 40.0)}
@@ -33,15 +34,20 @@ def recommend(user_factors: DataFrame, item_factors: DataFrame, seen: DataFrame,
     product scores them and a user's own history is left out; each block gives a user's k best, so no user's whole list
     is ever held, and no pairs are shuffled but those.
     """
+    n = max(1, item_factors.count())
+    block = min(block, -(-n // blocks))
     held = seen.groupBy("user_id").agg(F.collect_set(F.col("item").cast("long")).alias("seen"))
     users = user_factors.select(F.col("id").cast("long").alias("user_id"), F.col("features").cast("array<double>").alias("uf")).join(held, "user_id", "left")
+    if n > block:  # read once a block
+        users = Scratch(users.sparkSession, "users").write(users, "users")
     items = item_factors.select(F.col("id").cast("long").alias("q"), F.col("features").cast("array<double>").alias("qv"))
-    n = max(1, item_factors.count())
-    found = users.sparkSession.createDataFrame([], "user_id long, item long, score double")
-    for ids, matrix in item_blocks(items, min(block, -(-n // blocks))):
+    kind = "user_id long, item long, score double"
+
+    def run(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         order = np.argsort(ids)
+        ids, matrix = ids[order], matrix[order]
 
-        def best(it: Iterator[pa.RecordBatch], ids=ids[order], matrix=matrix[order]) -> Iterator[pa.RecordBatch]:
+        def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 own, history = batch.column("uf"), batch.column("seen")
                 user = batch.column("user_id").to_numpy()
@@ -57,8 +63,9 @@ def recommend(user_factors: DataFrame, item_factors: DataFrame, seen: DataFrame,
                     u, j = np.nonzero(top_of(scores, k))
                     yield pa.RecordBatch.from_arrays([pa.array(user[at + u]), pa.array(ids[j]), pa.array(scores[u, j])], ["user_id", "item", "score"])
 
-        found = found.unionByName(users.mapInArrow(best, "user_id long, item long, score double"))
-    return top_k(found, ["user_id"], "score", k, "item")
+        return users.mapInArrow(best, kind)
+
+    return top_k(in_blocks(items, block, run, kind), ["user_id"], "score", k, "item")
 
 
 def content_blend(user_factors: DataFrame, item_factors: DataFrame, profiles: DataFrame, vectors: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
@@ -71,15 +78,20 @@ def content_blend(user_factors: DataFrame, item_factors: DataFrame, profiles: Da
     return recommend(users, items, none, k)
 
 
-def route(recommended: DataFrame, users: DataFrame, popular: DataFrame, k: int) -> DataFrame:
-    """(user_id, item, score, rank, fallback): model lists, and for users without one the k most popular items, scored by
-    their share of the largest count. popular is (item, n), of a stated length."""
+def route(recommended: DataFrame, users: DataFrame, popular: DataFrame, k: int, seen: DataFrame) -> DataFrame:
+    """(user_id, item, score, rank, fallback): model lists, and for users without one the k most popular items that they
+    have no row of seen (user_id, item) with, scored by their share of the largest count. popular is (item, n).
+
+    The popular list is as long as the longest history of the users without a list, and k more.
+    """
     have = recommended.select("user_id").distinct()
     cold = users.select("user_id").distinct().join(have, "user_id", "left_anti")
-    top = popular.orderBy(F.desc("n"), "item").limit(k)
-    scored = top.crossJoin(top.agg(F.max("n").alias("most"))).select("item", (F.col("n") / F.col("most")).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "item")))
-    return recommended.select("user_id", "item", "score", "rank", F.lit(False).alias("fallback")).unionByName(cold.crossJoin(F.broadcast(ranked)).select("user_id", "item", "score", "rank", F.lit(True).alias("fallback")))
+    longest = seen.join(cold, "user_id", "left_semi").groupBy("user_id").agg(F.count_distinct("item").alias("n")).agg(F.max("n")).first()[0] or 0
+    top = popular.orderBy(F.desc("n"), "item").limit(longest + k)
+    listed = unseen_of(top, cold, seen, "user_id", "item").select("user_id", F.posexplode(F.slice("free", 1, k)).alias("rank", "item"))
+    scored = listed.join(top, "item").join(F.broadcast(top.agg(F.max("n").alias("most"))))
+    fallen = scored.select("user_id", "item", (F.col("n") / F.col("most")).alias("score"), (F.col("rank") + 1).alias("rank"), F.lit(True).alias("fallback"))
+    return recommended.select("user_id", "item", "score", "rank", F.lit(False).alias("fallback")).unionByName(fallen)
 
 
 def uniform_draw(*keys: Column | str, seed: int = 0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import cosine, norm, unit
+from larkspur.sources.shared import Scratch
 
 #: Fixed weights and ranges of the hybrid reranker.
 WEIGHTS = {"cf": 0.3, "content": 0.4, "popularity": 0.2, "quality": 0.1}
@@ -21,20 +22,34 @@ RANGES = {"cf": (0.0, 1.5), "content": (-1.0, 1.0), "popularity": (0.0, 6.0), "q
 SEARCH_WEIGHTS = {"semantic": 0.50, "popularity": 0.25, "quality": 0.15, "recency": 0.10}
 
 
+PAIR = "q long, i long, score double"
+
+
 def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFrame:
     """The k best rows of each group with rank; ties go to the smaller `tie`."""
     w = Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc())
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def item_blocks(queries: DataFrame, block: int, unit: bool = False, codes: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """Vectors (q, qv[, codes]) as (ids, matrix[, codes]), in blocks by hash of about `block` vectors, so that what is
-    sent at a time is bounded."""
-    blocks = max(1, -(-queries.count() // block))
+def in_blocks(vectors: DataFrame, block: int, run: Callable[..., DataFrame], empty: str, unit: bool = False, codes: bool = False) -> DataFrame:
+    """The union of run(ids, matrix[, codes]) over blocks of about `block` vectors (q, qv[, codes]) by hash.
+
+    With several blocks, each one's rows are written before the next is fetched, so neither the driver nor a plan ever
+    holds more than one block. One block runs with the query that reads it.
+    """
+    spark = vectors.sparkSession
+    blocks = max(1, -(-vectors.count() // block))
+    scratch = Scratch(spark, "blocks") if blocks > 1 else None
+    found, names = spark.createDataFrame([], empty), []
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "qv", *["codes"] * codes).toArrow()
+        rows = vectors.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "qv", *["codes"] * codes).toArrow()
         if rows.num_rows:
-            yield rows["q"].to_numpy(), _matrix(rows["qv"], unit), *([_codes(rows["codes"])] if codes else [])
+            own = run(rows["q"].to_numpy(), _matrix(rows["qv"], unit), *([_codes(rows["codes"])] if codes else []))
+            if scratch is None:
+                return own
+            scratch.write(own, f"block={b}")
+            names.append(f"{scratch.folder}/block={b}")
+    return spark.read.schema(found.schema).parquet(*names) if names else found
 
 
 def scored_pairs(queries: DataFrame, items: DataFrame, cosine: bool = False, block: int = 4096) -> DataFrame:
@@ -43,10 +58,9 @@ def scored_pairs(queries: DataFrame, items: DataFrame, cosine: bool = False, blo
     Blocks of queries are sent to the items' partitions and scored by matrix products. All pairs come out; where only
     the best are wanted, knn_matrix() keeps them within each partition.
     """
-    out = items.sparkSession.createDataFrame([], "q long, i long, score double")
-    for ids, matrix in item_blocks(queries, block, cosine):
 
-        def scored(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+    def run(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 own, i = _matrix(batch.column("iv"), cosine), batch.column("i").to_numpy(zero_copy_only=False)
                 step = max(1, 1_000_000 // max(len(ids), 1))
@@ -54,8 +68,9 @@ def scored_pairs(queries: DataFrame, items: DataFrame, cosine: bool = False, blo
                     scores = own[at : at + step] @ matrix.T
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(scores))), pa.array(np.repeat(i[at : at + step], len(ids))), pa.array(scores.ravel())], ["q", "i", "score"])
 
-        out = out.unionByName(items.select("i", "iv").mapInArrow(scored, "q long, i long, score double"))
-    return out
+        return items.select("i", "iv").mapInArrow(scored, PAIR)
+
+    return in_blocks(queries, block, run, PAIR, cosine)
 
 
 def knn_matrix(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True, exclude_self: bool = False, block: int = 4096, weight: float = 1.0, equal: tuple[float, ...] = ()) -> DataFrame:
@@ -66,10 +81,9 @@ def knn_matrix(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True
     ties with the last of them. With `equal`, both sides have an array `codes` of as many longs, and a score is weight
     times the product plus equal[n] where the n-th codes are the same.
     """
-    out = items.sparkSession.createDataFrame([], "q long, i long, score double")
-    for ids, matrix, *codes in item_blocks(queries, block, cosine, bool(equal)):
 
-        def best(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, codes=codes) -> Iterator[pa.RecordBatch]:
+    def run(ids: np.ndarray, matrix: np.ndarray, *codes: np.ndarray) -> DataFrame:
+        def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 own, i = _matrix(batch.column("iv"), cosine), batch.column("i").to_numpy(zero_copy_only=False)
                 if not len(i):
@@ -86,8 +100,9 @@ def knn_matrix(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True
                 at, j = np.nonzero(top_of(scores, k))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(i[j]), pa.array(scores[at, j])], ["q", "i", "score"])
 
-        out = out.unionByName(items.select("i", "iv", *["codes"] * bool(equal)).mapInArrow(best, "q long, i long, score double"))
-    return top_k(out, ["q"], "score", k, "i")
+        return top_k(items.select("i", "iv", *["codes"] * bool(equal)).mapInArrow(best, PAIR), ["q"], "score", k, "i")
+
+    return in_blocks(queries, block, run, PAIR + ", rank int", cosine, bool(equal))
 
 
 def top_of(scores: np.ndarray, k: int) -> np.ndarray:

@@ -157,5 +157,6 @@ def test_als_beats_random(spark):
     recs = L.recommend(model.userFactors, model.itemFactors, seen, 2, blocks=2)
     assert recs.where("item % 3 = user_id % 3").count() / recs.count() > 0.8
     popular = pairs.groupBy(F.col("i_idx").alias("item")).agg(F.count("*").alias("n"))
-    cold = L.route(recs, spark.createDataFrame([(99,)], "user_id int"), popular, 3).where("fallback").collect()
-    assert len(cold) == 3 and max(r.score for r in cold) == 1.0
+    asked, own = spark.createDataFrame([(99,), (98,)], "user_id int"), spark.createDataFrame([(98, 0), (98, 1), (98, 1), (7, 3)], "user_id int, item int")
+    cold = L.route(recs, asked, popular, 3, own).where("fallback").collect()
+    assert len(cold) == 6 and max(r.score for r in cold) == 1.0 and not {0, 1} & {r.item for r in cold if r.user_id == 98}

@@ -211,6 +211,18 @@ def test_fallbacks(spark):
         R.fallback("other")
 
 
+def test_one_block_at_a_time(spark):
+    """A thousand queries in blocks of 50: the plan of the result reads what was written, and holds no block."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(1000, 4))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "q long, qv array<double>")
+    items = frame.select(F.col("q").alias("i"), F.col("qv").alias("iv"))
+    few, one = R.knn_matrix(frame, items, 3, block=50), R.knn_matrix(frame, items, 3)
+    assert "MapInArrow" not in few._jdf.queryExecution().toString() and one._jdf.queryExecution().toString().count("MapInArrow [") <= 4
+    assert {tuple(x) for x in few.collect()} == {tuple(x) for x in one.collect()} and few.count() == 3000
+    assert R.scored_pairs(frame.limit(120), items, block=50).count() == 120_000 and R.knn_matrix(frame.limit(0), items, 3).isEmpty()
+
+
 def test_recommend_as_plain(spark):
     r = np.random.default_rng(5)
     u, v = r.normal(size=(20, 4)), r.normal(size=(33, 4))
