@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import vectors as X
+from larkspur.operators import graph_index as G
 from larkspur.operators import models as L
 from larkspur.operators import negatives as N
 from larkspur.operators import ranking as R
@@ -19,6 +20,7 @@ from larkspur.plans.opsq import MODELS, models
 from larkspur.plans.ranking import TOP, TRUTH, VEC, items, recs, truth, users
 from larkspur.plans.registry import query
 from larkspur.session import table
+from larkspur.sources.shared import Scratch
 
 
 def _r6(df, *names):
@@ -203,6 +205,13 @@ def r17(spark, d):
     return R.ivf_search(q, index, centres, 10, probes)
 
 
+@query("r17_graph_neighbours")
+def r17_graph(spark, d):
+    """Navigable graphs over all vectors, searched for every id divisible by 100."""
+    index = Scratch(spark, "graphs").write(G.build_graphs(items(spark, d), links=8, build=64), "index")
+    return G.search_graphs(users(spark, d), index, 10, keep=48)
+
+
 @query("r19_content_score", f"WITH {V.PRODUCTS}, {VEC}, p AS (SELECT v.id, v.vec, brand, category FROM vec v JOIN products ON product_id = v.id), s AS (SELECT a.id AS q, b.id AS i, round(0.7 * list_cosine_similarity(a.vec, b.vec) + 0.2 * CAST(a.category = b.category AS INTEGER) + 0.1 * CASE WHEN a.brand = b.brand THEN 1 ELSE 0.3 END, 9) AS score FROM p a JOIN p b ON a.id % 100 = 0 AND b.id <> a.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS rank FROM s) SELECT q, i, round(score, 6) AS score FROM r WHERE rank <= 50")
 def r19(spark, d):
     p = V.vectors(spark, d).join(V.products(spark, d).select(F.col("product_id").alias("id"), "brand", "category"), "id")

@@ -190,6 +190,30 @@ def test_index_recall(spark, sf_dir):
     assert index.count() == items(spark, d).count() and index.where("cell is null").isEmpty()
 
 
+def test_graph_index(spark):
+    """Recall of nine tenths on the test vectors and on clustered ones in several parts, with few comparisons."""
+    from larkspur.operators import graph_index as G
+    from larkspur.plans.ranking import items, users
+
+    d = "/root/testdata/sf0.1"
+    found = registry.queries()["r17_graph_neighbours"](spark, d).cache()
+    assert R.recall_of(found, R.knn_matrix(users(spark, d), items(spark, d), 10, exclude_self=True)) >= 0.9
+    assert found.agg(F.max("visited")).first()[0] < 0.5 * items(spark, d).count()
+    r = np.random.default_rng(8)
+    v = r.normal(size=(40, 12))[r.integers(0, 40, 6000)] + 0.4 * r.normal(size=(6000, 12))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, iv array<double>").repartition(5)
+    index = G.build_graphs(rows, links=8, build=48, part=2000).cache()
+    assert index.count() == 6000 and index.select("part").distinct().count() == 3
+    asked = rows.where("i % 100 = 0").select(F.col("i").alias("q"), F.col("iv").alias("qv"))
+    got, exact = G.search_graphs(asked, index, 10, 32).cache(), R.knn_matrix(asked, rows, 10, exclude_self=True)
+    assert R.recall_of(got, exact) >= 0.9 and got.agg(F.avg("visited")).first()[0] < 0.25 * 6000
+    assert got.groupBy("q").count().where("count <> 10").isEmpty() and got.where("q = i").isEmpty()
+    assert {tuple(x) for x in G.search_graphs(asked, index, 10, 32, block=16).collect()} == {tuple(x) for x in got.collect()}
+    assert G.build_graphs(rows.limit(0)).isEmpty() and G.search_graphs(asked, index.limit(0), 3).isEmpty()
+    lone = G.build_graphs(rows.where("i = 7"))
+    assert G.search_graphs(asked, lone, 3).select("i").distinct().collect()[0].i == 7
+
+
 def test_popular_unseen_is_exact(spark):
     """Users who have touched most of the pool get items from beyond it."""
     rows = [(u, p) for u in range(40) for p in range(u)] + [(99, p) for p in range(50)]
