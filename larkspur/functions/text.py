@@ -105,10 +105,58 @@ def adjusted_quality(base: Column, text: Column, rating: Column, ts: Column, as_
     return once(seen, adjusted)
 
 
+def search_pattern(pattern: str, mode: str = "literal", case: bool = False) -> str:
+    """A regex that finds a literal, a whole word or a regex, with or without regard to case."""
+    regex = {"literal": rf"\Q{pattern}\E", "word": rf"\b\Q{pattern}\E\b", "regex": pattern}[mode]
+    return ("(?U)" if case else "(?iU)") + regex
+
+
 def grep(c: Column, pattern: str, mode: str = "literal", case: bool = False) -> Column:
     """Number of matches of a literal, a whole word or a regex."""
-    regex = {"literal": rf"\Q{pattern}\E", "word": rf"\b\Q{pattern}\E\b", "regex": pattern}[mode]
-    return F.regexp_count(c, F.lit(("(?U)" if case else "(?iU)") + regex))
+    return F.regexp_count(c, F.lit(search_pattern(pattern, mode, case)))
+
+
+def sums_before(values: Column, block: int = 256) -> Column:
+    """For each of an array of numbers the sum of those before it. Blocks are summed first, so the time grows with the
+    size times the block's, and with the square of the number of blocks only."""
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def within(blocks: Column) -> Column:
+        own = lambda b, start: F.transform(b, lambda _, j: start + total(F.slice(b, 1, j)))
+        return once(F.transform(blocks, total), lambda totals: F.flatten(F.transform(blocks, lambda b, k: once(total(F.slice(totals, 1, k)), lambda start: own(b, start)))))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
+    return F.when(F.size(values) > 0, once(cut, within)).otherwise(F.array().cast("array<bigint>"))
+
+
+def match_spans(c: Column, pattern: str, mode: str = "literal", case: bool = False) -> Column:
+    """array<struct<start, end, match>> of all leftmost non-overlapping matches: places in code points, end exclusive.
+    Null for a null text. A pattern must not match the empty string.
+
+    The matches and what lies between them (a split by the pattern) alternate, so running sums of their lengths are places.
+    """
+    regex = search_pattern(pattern, mode, case)
+
+    def placed(found: Column) -> Column:
+        each = F.zip_with(found["m"], F.slice(found["b"], 1, F.size(found["m"])), lambda m, b: (F.length(m) + F.length(b)).cast("long"))
+        span = lambda m, at, i: F.struct((at + F.length(found["b"][i])).cast("int").alias("start"), (at + F.length(found["b"][i]) + F.length(m)).cast("int").alias("end"), m.alias("match"))
+        return once(sums_before(each), lambda at: F.transform(found["m"], lambda m, i: span(m, at[i], i)))
+
+    parts = F.struct(F.regexp_extract_all(c, F.lit(regex), F.lit(0)).alias("m"), F.split(c, regex, -1).alias("b"))
+    return F.when(c.isNotNull(), F.when(c.rlike(regex), once(parts, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>")))
+
+
+def matches(df: DataFrame, text: str, pattern: str, mode: str = "literal", case: bool = False) -> DataFrame:
+    """The table of matches: df without the text, a row for each match with its number k (from 1), start, end and match."""
+    rest = [c for c in df.columns if c != text]
+    each = df.select(*rest, F.posexplode(match_spans(F.col(text), pattern, mode, case)).alias("k", "span"))
+    return each.select(*rest, (F.col("k") + 1).alias("k"), "span.*")
+
+
+def highlight(c: Column, pattern: str, mode: str = "literal", case: bool = False, left: str = "[", right: str = "]") -> Column:
+    """The text with marks around each match."""
+    quoted = lambda x: x.replace("\\", r"\\").replace("$", r"\$")
+    return F.regexp_replace(c, search_pattern(pattern, mode, case), f"{quoted(left)}$0{quoted(right)}")
 
 
 def preview(c: Column, n: int = 80) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from larkspur.functions.vectors import unit
 from larkspur.operators.ranking import in_blocks, top_k, top_of, unseen_of
@@ -148,6 +150,82 @@ def project(df: DataFrame, vec: str, k: int) -> DataFrame:
     return model.transform(ready).withColumn("factors", vector_to_array("_p")).drop("_v", "_p")
 
 
+@dataclass
+class Decomposition:
+    """A truncated SVD of rows: the mean that was taken off (zeros if none), the right vectors (one a column), singular
+    values, the share of the variance (or of the squares) that each explains, and the passes that it took."""
+
+    mean: np.ndarray
+    vectors: np.ndarray
+    values: np.ndarray
+    explained: np.ndarray
+    passes: int
+
+    def apply(self, df: DataFrame, vec: str, whiten: bool = False) -> DataFrame:
+        """df with `factors`: its vectors' coordinates, divided by the singular values if `whiten`."""
+        turn = self.vectors / np.maximum(self.values, 1e-12) if whiten else self.vectors
+        mean = self.mean
+
+        def project(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                rows = _rows(b.column(vec), len(mean)) - mean
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(rows @ turn), pa.list_(pa.float64()))], [*b.schema.names, "factors"])
+
+        return df.mapInArrow(project, StructType([*df.schema.fields, StructField("factors", ArrayType(DoubleType()))]))
+
+
+def _rows(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+
+
+def truncated_svd(df: DataFrame, vec: str, k: int, centre: bool = True, extra: int = 56, tolerance: float = 1e-10, most: int = 60, seed: int = 0) -> Decomposition:
+    """The k largest singular values and right vectors by a randomised range finder with power iterations.
+
+    A pass gives each partition's rows times a basis, and back times the rows: what meets is the sum of one small matrix
+    a partition (dimensions by k + extra numbers), never rows or a square of the dimensions. Passes go on until no value
+    moves by more than `tolerance` of the largest. Signs make each vector's largest entry positive. Null vectors count
+    for nothing; k is cut to the dimensions, and a table without vectors is an error.
+    """
+    rows = df.select(F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    first = rows.first()
+    if first is None:
+        raise ValueError("no vectors")
+    size = len(first.v)
+    k = min(k, size)
+
+    def summed(f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+        """The sum of f(rows of a batch) over all batches, added up by place in Spark."""
+
+        def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            for b in it:
+                total += f(_rows(b.column("v"), size))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "x"])
+
+        found = rows.mapInArrow(parts, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toArrow()
+        return found["x"].to_numpy().reshape(shape)
+
+    moments = summed(lambda m: np.concatenate([m.sum(axis=0), [(m * m).sum(), len(m)]]), (size + 2,))
+    mean = moments[:size] / moments[-1] if centre else np.zeros(size)
+    total = moments[-2] - moments[-1] * float(mean @ mean)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + extra))))[0]
+    values, passes = None, 0
+    while passes < most:
+        back = summed(lambda m, basis=basis: (m - mean).T @ ((m - mean) @ basis), basis.shape)
+        passes += 1
+        # The basis turned to the directions in which the rows are longest.
+        squares, turn = np.linalg.eigh(basis.T @ back)
+        order = np.argsort(-squares)
+        now = np.sqrt(np.maximum(squares[order], 0))[:k]
+        vectors = basis @ turn[:, order[:k]]
+        if values is not None and np.abs(now - values).max() <= tolerance * max(now[0], 1e-300) or basis.shape[1] == size:
+            values = now
+            break
+        values, basis = now, np.linalg.qr(back)[0]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)] < 0, -1, 1)
+    return Decomposition(mean, vectors, values, values**2 / total if total > 0 else np.zeros(k), passes)
+
+
 def initial_factors(ids: DataFrame, rank: int, scale: float = 0.01, seed: int = 0) -> DataFrame:
     """(id, features): normal draws by Box and Muller from hashes of the id, so they never change."""
     draw = lambda i, k: F.pmod(F.xxhash64("id", i, F.lit(k), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)

@@ -134,6 +134,12 @@ def d8(spark, d):
     return S.compare_models(pairs(spark, d).withColumn("model", F.col("id") % 4), "model", "a", "b")
 
 
+@query("d8_corrected_comparison")
+def d8_holm(spark, d):
+    """Each model against its baseline, with one-sided p-values and their corrections."""
+    return S.compare_corrected(pairs(spark, d).withColumn("model", F.col("id") % 4), "model", "a", "b")
+
+
 @query("d19_latency_profile", f"WITH {V.REQUESTS}, p AS (SELECT event_type AS component, quantile_cont(latency_ms, 0.95) AS p95 FROM requests GROUP BY event_type) SELECT component, round(p95, 6) AS p95, CAST(p95 > 40 AS INTEGER) AS slow FROM p")
 def d19(spark, d):
     p = O.load_summary(V.requests(spark, d), 40, "event_type")

@@ -65,6 +65,23 @@ def f16(spark, d):
     return table(spark, d, "documents").select("doc_id", T.grep(F.col("text"), "license").alias("matches")).where("matches > 0")
 
 
+@query(
+    "f16_match_spans",
+    """WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?i)licen[cs]e\\w*') AS m, regexp_split_to_array(text, '(?i)licen[cs]e\\w*') AS b FROM documents),
+u AS (SELECT doc_id, unnest(m) AS match, unnest(list_transform(m, lambda x, i: length(b[i]))) AS gap, generate_subscripts(m, 1) AS k FROM f)
+SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(sum(gap + length(match)) OVER w - length(match) AS INTEGER) AS start, CAST(sum(gap + length(match)) OVER w AS INTEGER) AS "end", match FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY k)""",
+)
+def f16_spans(spark, d):
+    """Every match of a pattern with its place in the text."""
+    return T.matches(table(spark, d, "documents").select("doc_id", "text"), "text", r"licen[cs]e\w*", "regex").select("doc_id", "k", "start", "end", "match")
+
+
+@query("x12_highlights", "SELECT doc_id, regexp_replace(text, '(?i)(license)', '[\\1]', 'g') AS marked FROM documents WHERE regexp_matches(text, '(?i)license')")
+def x12_marks(spark, d):
+    docs = table(spark, d, "documents").where(T.grep(F.col("text"), "license") > 0)
+    return docs.select("doc_id", T.highlight(F.col("text"), "license").alias("marked"))
+
+
 @query("x11_version_parts", "SELECT p_partkey AS id, 'als' AS model, CAST(p_size AS INTEGER) AS major, CAST(p_partkey % 7 AS INTEGER) AS minor FROM part")
 def x11(spark, d):
     name = F.concat(F.lit("als_v"), F.col("p_size"), F.lit("."), F.col("p_partkey") % 7)
@@ -91,6 +108,19 @@ def d2(spark, d):
     return S.wilcoxon(pairs(spark, d), "a", "b")
 
 
+@query("d2_wilcoxon_ties", f"WITH {PAIRS}, d AS (SELECT round(a - b, -4) AS d FROM pr WHERE round(a - b, -4) <> 0), c AS (SELECT abs(d) AS m, count(*) AS k FROM d GROUP BY 1), r AS (SELECT m, k, coalesce(sum(k) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2 AS r FROM c) SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, CAST((SELECT sum(k * k * k - k) FROM c) AS BIGINT) AS ties FROM d JOIN r ON m = abs(d)")
+def d2_ties(spark, d):
+    """Rank sums of differences in whole ten thousands, of which many tie."""
+    rounded = pairs(spark, d).select(F.round(F.col("a") - F.col("b"), -4).alias("a"), F.lit(0.0).alias("b"))
+    return S.wilcoxon_sums(rounded, "a", "b")
+
+
+@query("d2_wilcoxon_p")
+def d2_p(spark, d):
+    found = [(name, *(float(x) for x in S.wilcoxon_test(pairs(spark, d), "a", "b", name).values())) for name in ("two-sided", "greater", "less")]
+    return spark.createDataFrame(found, "alternative string, n double, statistic double, p double")
+
+
 @query("d3_effect_sizes", f"WITH {PAIRS} SELECT round(avg(a - b) / stddev_samp(a - b), 6) AS paired_d, round(avg(a - b) / sqrt((var_samp(a) + var_samp(b)) / 2), 6) AS pooled_d, round(avg(a - b) / stddev_samp(b), 6) AS glass_delta FROM pr")
 def d3(spark, d):
     return S.effect_sizes(pairs(spark, d), "a", "b")
