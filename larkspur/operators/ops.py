@@ -23,6 +23,32 @@ def health_rollup(requests: DataFrame, width: str = "1 minute", slide: str | Non
     return out.select(F.col("w.start").alias("window_start"), "n", *[F.round(c, 6).alias(c) for c in ("avg_latency", "fallback_rate", "error_rate")], *[F.round(c, 6).alias(n) for n, c in ranks.items()])
 
 
+#: Size of a latency sketch: a rank is off by about 1.4 % in 99 of 100 cases, whatever the traffic.
+SKETCH = 200
+
+
+def latency_sketches(requests: DataFrame, width: str = "1 minute", size: int = SKETCH) -> DataFrame:
+    """(window_start, n, latency, fallbacks, failures, sketch) by window: sums, and a mergeable sketch of the latencies of
+    some kilobytes. What roll_up() needs, so that raw requests need not be kept or read again."""
+    w = F.window("ts", width)
+    out = requests.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency"), F.sum("fallback").alias("fallbacks"), F.sum("failed").alias("failures"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(size)).alias("sketch"))
+    return out.select(F.col("w.start").alias("window_start"), "n", "latency", "fallbacks", "failures", "sketch")
+
+
+def roll_up(sketches: DataFrame, width: str) -> DataFrame:
+    """The same rows over wider windows, from those of narrower ones alone."""
+    w = F.window("window_start", width)
+    out = sketches.groupBy(w.alias("w")).agg(*[F.sum(c).alias(c) for c in ("n", "latency", "fallbacks", "failures")], F.kll_merge_agg_double("sketch").alias("sketch"))
+    return out.select(F.col("w.start").alias("window_start"), "n", "latency", "fallbacks", "failures", "sketch")
+
+
+def sketch_health(sketches: DataFrame) -> DataFrame:
+    """health_rollup()'s columns of windows with sketches; percentiles are within the sketch's rank error."""
+    share = lambda c: F.round(F.col(c) / F.col("n"), 6)
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return sketches.select("window_start", "n", share("latency").alias("avg_latency"), share("fallbacks").alias("fallback_rate"), share("failures").alias("error_rate"), *[F.round(at(p), 6).alias(f"p{round(100 * p)}") for p in (0.50, 0.95, 0.99)])
+
+
 def request_stats(requests: DataFrame, as_of: Column, minutes: int, user: int | None = None) -> DataFrame:
     """(n, mean latency, fallback rate, p95 by interpolation, errors) of the last minutes, of one user or all."""
     rows = requests.where(F.col("ts") > as_of - F.make_interval(mins=F.lit(minutes)))

@@ -12,6 +12,8 @@ from larkspur.operators import stats as S
 from larkspur.plans import views as V
 from larkspur.plans.registry import query
 from larkspur.session import table
+from larkspur.sources.shared import Scratch
+from larkspur.streaming.runs import closed_runs
 
 POSITIVE, NEGATIVE = ["the", "and", "with", "for"], ["that", "this", "not", "from"]
 
@@ -166,6 +168,48 @@ def a35(spark, d):
     return O.health_rollup(V.requests(spark, d))
 
 
+_WIDTHS = {"15 minutes": 900, "1 hour": 3600, "6 hours": 21_600, "1 day": 86_400}
+
+
+@query(
+    "a35_sketch_rollup",
+    f"WITH {V.REQUESTS} " + " UNION ALL ".join(f"SELECT '{name}' AS width, make_timestamp((epoch_us(ts) // {s}000000) * {s}000000) AS window_start, count(*) AS n, round(sum(latency_ms) / count(*), 6) AS avg_latency, round(avg(fallback), 6) AS fallback_rate, round(avg(failed), 6) AS error_rate, true AS within FROM requests GROUP BY 2" for name, s in _WIDTHS.items()),
+)
+def a35_sketches(spark, d):
+    """Sketches of a minute rolled up to wider windows, each from the one before; `within`: the raw latencies have the
+    sketch's percentiles within 3 % of their ranks."""
+    raw = V.requests(spark, d)
+    held, out = Scratch(spark, "sketches").write(O.latency_sketches(raw), "minutes"), None
+    for name in _WIDTHS:
+        held = O.roll_up(held, name)
+        health = O.sketch_health(held)
+        real = raw.select(F.window("ts", name)["start"].alias("window_start"), "latency_ms").join(health.select("window_start", "p50", "p95", "p99"), "window_start")
+        low = lambda p: F.count_if(F.col("latency_ms") < F.col(p) - 1e-6) / F.count("*")
+        high = lambda p: F.count_if(F.col("latency_ms") <= F.col(p) + 1e-6) / F.count("*")
+        near = lambda p: (low(f"p{p}") <= p / 100 + 0.03) & (high(f"p{p}") >= p / 100 - 0.03)
+        ok = real.groupBy("window_start").agg((near(50) & near(95) & near(99)).alias("within"))
+        part = health.join(ok, "window_start").select(F.lit(name).alias("width"), "window_start", "n", "avg_latency", "fallback_rate", "error_rate", "within")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_RUNS = """events_ AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderpriority AS pipeline, 'running' AS status, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), NULL, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END, CAST(l_shipdate AS TIMESTAMP) FROM lineitem)"""
+
+
+@query(
+    "st_closed_runs",
+    f"""WITH {_RUNS}, r AS (SELECT run_id, min(pipeline) AS pipeline, min(ts) FILTER (WHERE status = 'running') AS started, min(ROW(ts, status)) FILTER (WHERE status <> 'running') AS e FROM events_ GROUP BY run_id),
+c AS (SELECT *, e IS NULL OR e[1] > started + INTERVAL 720 HOUR AS stale FROM r WHERE started IS NOT NULL)
+SELECT run_id, pipeline, started, CASE WHEN stale THEN started + INTERVAL 720 HOUR ELSE e[1] END AS finished, CASE WHEN stale THEN 'failed' ELSE e[2] END AS status, CASE WHEN stale THEN 'Marked as stale - exceeded max running time' END AS error FROM c""",
+)
+def st_closed_runs(spark, d):
+    """Orders as runs that end with their first shipment, or are stale after thirty days: what the stream of them closes."""
+    started = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("pipeline"), F.lit("running").alias("status"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    ended = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit(None).cast("string").alias("pipeline"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return closed_runs(started.unionByName(ended), 720)
+
+
 @query("a36_request_stats", f"WITH {V.REQUESTS} SELECT count(*) AS n, round(avg(latency_ms), 6) AS avg_latency, round(avg(fallback), 6) AS fallback_rate, round(quantile_cont(latency_ms, 0.95), 6) AS p95, CAST(coalesce(sum(failed), 0) AS BIGINT) AS errors FROM requests WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1440 MINUTE")
 def a36(spark, d):
     return O.request_stats(V.requests(spark, d), F.lit("2024-01-20").cast("timestamp"), 1440)
