@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine, norm, unit
+from larkspur.functions.vectors import cosine, dot, norm, pooled, unit
 from larkspur.sources.shared import Scratch
 
 #: Fixed weights and ranges of the hybrid reranker.
@@ -258,11 +258,53 @@ def embedding_quality(vectors: DataFrame, items: DataFrame) -> DataFrame:
     id divisible by 100 to all others, and the share of items (id) that have a vector. vectors is (id, vec)."""
     n = vectors.select(norm(F.col("vec")).alias("n")).agg((1 / (1 + F.stddev_pop("n") / F.avg("n"))).alias("norm_quality"))
     asked, every = vectors.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv")), vectors.select(F.col("id").alias("i"), F.col("vec").alias("iv"))
-    near = scored_pairs(asked, every, cosine=True).where("q <> i").agg(F.avg(F.abs("score")).alias("mean_abs_cos"))
+
+    def run(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        def summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = 0.0, 0
+            for b in it:
+                if b.num_rows:
+                    scores = np.abs(_matrix(b.column("iv"), True) @ matrix.T)
+                    other = b.column("i").to_numpy()[:, None] != ids[None, :]
+                    total, n = total + float(scores[other].sum()), n + int(other.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n])], ["total", "n"])
+
+        return every.mapInArrow(summed, "total double, n long")
+
+    near = in_blocks(asked, 4096, run, "total double, n long", unit=True).agg((F.sum("total") / F.sum("n")).alias("mean_abs_cos"))
     held = items.join(vectors.select("id", F.lit(1).alias("hit")), "id", "left").agg((F.count("hit") / F.count("*")).alias("coverage"))
     return n.crossJoin(near).crossJoin(held)
 
 
+def popular_by_factors(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(item, s): the k items with the largest sum of dot products with all users (q, qv) but themselves; items are (i, iv).
+    The sum over users is one product with the sum of their vectors, so no pair is made."""
+    whole = pooled(users.withColumn("one", F.lit(1)).select("one", "qv"), "one", "qv").crossJoin(users.agg(F.count("*").alias("n")))
+    mean = F.broadcast(whole.select(F.col("qv").alias("mean"), "n"))  # one row
+    own = users.select(F.col("q").alias("i"), F.lit(1).alias("own"))
+    met = items.join(own, "i", "left").crossJoin(mean)
+    score = dot(F.col("iv"), F.col("mean")) * F.col("n") - F.when(F.col("own") == 1, dot(F.col("iv"), F.col("iv"))).otherwise(0.0)
+    return met.select(F.col("i").alias("item"), score.alias("s")).orderBy(F.desc("s"), "item").limit(k)
+
+
+def random_lists(users: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(q, i, score, rank): for each of stated users (q) the k items (i) with the largest value of a fixed hash of both;
+    ties go to the smaller item. A partition gives its own k best."""
+
+    def run(ids: np.ndarray, _: np.ndarray) -> DataFrame:
+        def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                i = b.column("i").to_numpy().astype(np.int64)
+                if len(i):
+                    scores = ((ids[:, None] * 7919 + i[None, :] * 104729 + 17) % 1000003).astype(float)
+                    at, j = np.nonzero(top_of(scores, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(i[j]), pa.array(scores[at, j])], ["q", "i", "score"])
+
+        return top_k(items.select(F.col("i").cast("long").alias("i")).mapInArrow(best, PAIR), ["q"], "score", k, "i")
+
+    return in_blocks(users.select(F.col("q").cast("long").alias("q"), F.array(F.lit(0.0)).alias("qv")), block, run, PAIR + ", rank int")
+
+
 def probes_for(queries: DataFrame, items: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
     """The least number of probes (10 or more, doubling) that reaches a recall against brute force on these queries."""
     exact = knn_matrix(queries, items, k, exclude_self=True).persist()

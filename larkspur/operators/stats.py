@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,31 +164,48 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("_ra", "_rb"), 6).alias("rho"))
 
 
+def _bits(h: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Mixed 64-bit numbers of each row's hash and each replicate (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = h.view(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _replicate_sums(rows: DataFrame, replicates: int, seed: int, weight: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(r, s, w): for each replicate the weighted sum of rows (v, h) and the sum of the weights, which come from bits of
+    each row's hash. A partition keeps running sums of the replicates, so a row is never multiplied."""
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, w = np.zeros(replicates), np.zeros(replicates)
+        for b in it:
+            v, h = b.column("v").to_numpy(zero_copy_only=False), b.column("h").to_numpy()
+            for at in range(0, len(v), 4096):
+                own = weight(_bits(h[at : at + 4096], replicates, seed)).astype(float)
+                s, w = s + v[at : at + 4096] @ own, w + own.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(s), pa.array(w)], ["r", "s", "w"])
+
+    found = rows.where("v IS NOT NULL").mapInArrow(sums, "r int, s double, w double")
+    return found.groupBy("r").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+
+
 def bootstrap(df: DataFrame, value: str, replicates: int = 200, level: float = 0.95, seed: int = 7, key: str | None = None) -> DataFrame:
     """(low, high): percentile interval of the mean. Each row has a Poisson(1) weight in each replicate, from a hash of its
-    key (of all its values without one), so replicates are partial aggregates, and a task that runs again draws the same."""
-    reps = df.select(F.col(value).alias("v"), F.xxhash64(*([key] if key else df.columns)).alias("h")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, p, total = [], math.exp(-1), 0.0
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    weight = F.lit(8)
-    for k in range(7, -1, -1):
-        weight = F.when(u < steps[k], k).otherwise(weight)
-    means = reps.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    key (of all its values without one), so a task that runs again draws the same."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    rows = df.select(F.col(value).cast("double").alias("v"), F.xxhash64(*([key] if key else df.columns)).alias("h"))
+    found = _replicate_sums(rows, replicates, seed, lambda bits: np.searchsorted(steps, ((bits >> np.uint64(11)) + 0.5) / float(1 << 53)))
+    means = found.where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
     return means.agg(*[F.percentile("m", F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
 
 
 def permutation_p(df: DataFrame, a: str, b: str, replicates: int = 500, seed: int = 7, key: str | None = None) -> DataFrame:
-    """(observed, p): sign flips of paired differences, from a hash of the key, or of all values; all replicates are one aggregate."""
-    d = df.select((F.col(a) - F.col(b)).alias("d"), F.xxhash64(*([key] if key else df.columns)).alias("h"))
-    flips = d.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    sign = F.when((F.col("r") == 0) | (F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(2)) == 0), 1).otherwise(-1)
-    means = flips.groupBy("r").agg(F.avg(F.col("d") * sign).alias("m"))
-    observed = means.where("r = 0").select(F.col("m").alias("observed"))
-    return means.where("r > 0").crossJoin(observed).agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("m") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    """(observed, p): sign flips of paired differences, from a hash of the key, or of all values."""
+    rows = df.select((F.col(a) - F.col(b)).cast("double").alias("v"), F.xxhash64(*([key] if key else df.columns)).alias("h"))
+    flips = _replicate_sums(rows, replicates, seed, lambda bits: 1 - 2 * (bits >> np.uint64(63)).astype(np.int8))
+    observed = rows.agg(F.sum("v").alias("total"), F.count("v").alias("n"))
+    return flips.crossJoin(observed).agg((F.first("total") / F.first("n")).alias("observed"), ((F.count_if(F.abs("s") >= F.abs("total") - 1e-9 * F.abs("total")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def activity_drift(old: DataFrame, new: DataFrame, limit: float = 0.2) -> DataFrame:

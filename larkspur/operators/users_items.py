@@ -85,17 +85,23 @@ def temporal_split(df: DataFrame, use_validation: bool = False, tie: str = "rid"
     A user's last positive is the test row; with validation the one before is held out as well, and users with one
     positive have no test row. Train is strictly before the first held-out row; rows at or after it are discarded.
     """
-    order = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("rating").asc(), F.col(tie).asc())
-    users = Window.partitionBy("user_id")
-    positives = df.where("is_positive = 1").withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(users)})
-    wanted = F.when((F.col("_k") == 1) & (F.col("_n") >= (2 if use_validation else 1)), "test")
+    # Held-out rows by partial aggregates, and one join to the rows by user: a user's rows are never gathered.
+    late = F.coalesce(-F.unix_micros(F.col("ts").cast("timestamp")), F.lit((1 << 63) - 1))
+    first = F.min(F.struct(late.alias("late"), "rating", F.col(tie).alias("tie"), "ts"))
+    positives = df.where("is_positive = 1").select("user_id", "ts", "rating", tie)
+    held = positives.groupBy("user_id").agg(first.alias("_test"), F.count("*").alias("_n"))
     if use_validation:
-        wanted = wanted.when((F.col("_k") == 2) & (F.col("_n") >= 2), "val")
-    held = positives.withColumn("split", wanted).where("split is not null").select(tie, "split")
-    out = df.join(held, tie, "left").withColumn("_cut", F.min(F.when(F.col("split").isNotNull(), F.col("ts"))).over(users))
-    train = F.col("split").isNull() & (F.col("_cut").isNull() | (F.col("ts") < F.col("_cut")))
+        held = held.where("_n >= 2")
+        others = positives.join(held.select("user_id", F.col("_test.tie").alias("_t")), "user_id").where(F.col(tie) != F.col("_t"))
+        held = held.join(others.groupBy("user_id").agg(first.alias("_val")), "user_id")
+    else:
+        held = held.withColumn("_val", F.lit(None).cast(held.schema["_test"].dataType))
+    held = held.select("user_id", "_test", "_val", F.least("_test.ts", "_val.ts").alias("_cut"))
+    split = F.when(F.col(tie) == F.col("_test.tie"), "test").when(F.col(tie) == F.col("_val.tie"), "val")
+    out = df.join(held, "user_id", "left").withColumn("split", split)
+    train = F.col("split").isNull() & (F.col("_test").isNull() | (F.col("ts") < F.col("_cut")))
     kind = F.when(F.col("split") == "test", "positive").when(F.col("split") == "val", "validation")
-    return out.withColumn("split", F.when(train, "train").otherwise(F.col("split"))).withColumn("holdout_type", kind).drop("_cut")
+    return out.withColumn("split", F.when(train, "train").otherwise(F.col("split"))).withColumn("holdout_type", kind).drop("_test", "_val", "_cut")
 
 
 def negative_holdout(df: DataFrame, held: DataFrame, tie: str = "rid") -> DataFrame:

@@ -16,9 +16,8 @@ from larkspur.operators import training as TR
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, matrix
-from larkspur.plans.models import item_count
 from larkspur.plans.opsq import PAIRS, pairs
-from larkspur.plans.ranking import _FINAL, _HITS, _SIGNALS, TRUTH, VEC, recs, scored, signals, truth
+from larkspur.plans.ranking import _FINAL, _HITS, _SIGNALS, TRUTH, VEC, items, recs, signals, truth, users
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -93,8 +92,7 @@ def m18(spark, d):
 @query("m16_baseline_comparison", f"WITH {_HITS}, b AS (SELECT item, row_number() OVER (ORDER BY sum(score) DESC, item) AS k FROM scored GROUP BY item), bh AS (SELECT user_id, count(*) AS hits FROM truth JOIN b USING (item) WHERE k <= 10 GROUP BY user_id) SELECT 'model' AS who, round(avg(hits / n), 6) AS recall FROM p UNION ALL SELECT 'popular', round(avg(coalesce(hits, 0) / n), 6) FROM g LEFT JOIN bh USING (user_id)")
 def m16(spark, d):
     r, t = recs(spark, d, 10), truth(spark, d)
-    s = scored(spark, d)
-    top = s.groupBy(F.col("i").alias("item")).agg(F.sum("score").alias("s")).orderBy(F.desc("s"), "item").limit(10)
+    top = R.popular_by_factors(users(spark, d), items(spark, d), 10)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "item"))).select("item", "rank")
     mean = lambda who, x: M.per_user(x, t, 10, ["recall"]).agg(F.lit(who).alias("who"), F.round(F.avg("recall"), 6).alias("recall"))
     return mean("model", r).unionByName(mean("popular", t.select("user_id").distinct().crossJoin(F.broadcast(top))))

@@ -200,8 +200,7 @@ def m10(spark, d):
 
 @query("m13_serendipity", f"WITH {TRUTH}, base AS (SELECT item FROM (SELECT item, row_number() OVER (ORDER BY sum(score) DESC, item) AS k FROM scored GROUP BY item) WHERE k <= 10), x AS (SELECT r.user_id, count(*) AS n FROM recs r JOIN truth t ON t.user_id = r.user_id AND t.item = r.item WHERE r.rank <= 10 AND r.item NOT IN (SELECT item FROM base) GROUP BY r.user_id) SELECT u.user_id, round(coalesce(n, 0) / 10, 6) AS serendipity FROM (SELECT DISTINCT user_id FROM truth) u LEFT JOIN x USING (user_id)")
 def m13(spark, d):
-    s = scored(spark, d)
-    base = s.groupBy(F.col("i").alias("item")).agg(F.sum("score").alias("s")).orderBy(F.desc("s"), "item").limit(10).withColumn("rank", F.lit(1))
+    base = R.popular_by_factors(users(spark, d), items(spark, d), 10).withColumn("rank", F.lit(1))
     t = truth(spark, d)
     return M.serendipity(recs(spark, d), t, t.select("user_id").distinct().crossJoin(F.broadcast(base)), 10)
 
@@ -294,10 +293,9 @@ def a34(spark, d):
 
 @query("r25_random_baseline", "WITH u AS (SELECT DISTINCT o_custkey AS user_id FROM orders WHERE o_custkey % 100 = 0), s AS (SELECT user_id, p_partkey AS product_id, (user_id * 7919 + p_partkey * 104729 + 17) % 1000003 AS h FROM u, part) SELECT user_id, product_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, product_id) AS k FROM s) WHERE k <= 10")
 def r25(spark, d):
-    u = table(spark, d, "orders").where("o_custkey % 100 = 0").select(F.col("o_custkey").alias("user_id")).distinct()
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"))
-    s = u.crossJoin(p).withColumn("h", (F.col("user_id") * 7919 + F.col("product_id") * 104729 + 17) % 1000003)
-    return R.top_k(s, ["user_id"], "h", 10, "product_id").select("user_id", "product_id", "rank")
+    u = table(spark, d, "orders").where("o_custkey % 100 = 0").select(F.col("o_custkey").alias("q")).distinct()
+    found = R.random_lists(u, table(spark, d, "part").select(F.col("p_partkey").alias("i")), 10)
+    return found.select(F.col("q").alias("user_id"), F.col("i").alias("product_id"), "rank")
 
 
 @query("m19_improvement", f"WITH {_HITS}, m AS (SELECT avg(hits / n) AS model FROM p), b AS (SELECT avg(coalesce(h.k, 0) / g.n) AS base FROM g LEFT JOIN (SELECT t.user_id, count(*) AS k FROM truth t WHERE t.item < 10 GROUP BY t.user_id) h USING (user_id)) SELECT 'recall' AS metric, round(model, 6) AS model, round(base, 6) AS baseline, round(round(model, 6) - round(base, 6), 6) AS gain, round(100 * (round(model, 6) - round(base, 6)) / round(base, 6), 4) AS gain_pct FROM m, b")
