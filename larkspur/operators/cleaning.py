@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import once
-
 #: Fixed date formats, in the order in which they are tried.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")
 
@@ -37,15 +35,15 @@ def coercion_losses(df: DataFrame, longs: list[str] = (), doubles: list[str] = (
     return each.select(F.col("x")[0].alias("column"), F.col("x")[1].cast("bigint").alias("missing"), F.col("x")[2].cast("bigint").alias("unparsable"))
 
 
-def _shape(text: str) -> str:
-    return re.sub("[A-Za-z0-9]", "0", text)
+def _shape(fmt: str) -> str:
+    """A regex for texts of a format's shape: digits where it has fields."""
+    return "^" + re.sub("[A-Za-z]+", lambda m: rf"\d{{{len(m.group())}}}", re.escape(fmt).replace(r"\ ", " ")) + "$"
 
 
-def _iso(c: Column, fmt: str) -> Column:
-    """Text of the format's shape rewritten year first, by the places of the format's fields."""
-    field = lambda name: F.substring(c, fmt.index(name) + 1, len(name))
-    day = F.concat_ws("-", *[field(x) for x in ("yyyy", "MM", "dd")])
-    return F.concat(day, F.lit(" "), F.concat_ws(":", *[field(x) for x in ("HH", "mm", "ss")])) if "HH" in fmt else day
+def _built(c: Column, fmt: str) -> Column:
+    """The timestamp that the fields at the format's places name; null if there is none such."""
+    field = lambda name: F.substring(c, fmt.index(name) + 1, len(name)).try_cast("int") if name in fmt else F.lit(0)
+    return F.try_make_timestamp(*[field(x) for x in ("yyyy", "MM", "dd", "HH", "mm", "ss")])
 
 
 def _parsed(c: Column, formats: list[str]) -> Column:
@@ -54,10 +52,10 @@ def _parsed(c: Column, formats: list[str]) -> Column:
     same: dict[str, list[str]] = {}
     for f in formats:
         same.setdefault(_shape(f), []).append(f)
-    shape, out = F.translate(c, "0123456789", "0" * 10), None
+    out = None
     for of, held in same.items():
-        value = F.coalesce(*[_iso(c, f).try_cast("timestamp") for f in held])
-        out = F.when(shape == of, value) if out is None else out.when(shape == of, value)
+        value = F.coalesce(*[_built(c, f) for f in held])
+        out = F.when(c.rlike(of), value) if out is None else out.when(c.rlike(of), value)
     return out
 
 
@@ -65,7 +63,7 @@ def parse_dates(df: DataFrame, column: str, mode: str = "coalesce", formats=DATE
     """Text to timestamps. mode 'coalesce': the first format that fits a row; 'column': one format for all rows, the
     first that parses any (other rows become null)."""
     if mode == "coalesce":
-        return df.withColumn(column, once(F.col(column), lambda c: _parsed(c, list(formats))))
+        return df.withColumn(column, _parsed(F.col(column), list(formats)))
     tried = [_parsed(F.col(column), [f]) for f in formats]
     found = df.agg(*[F.count(t).alias(f"f{i}") for i, t in enumerate(tried)]).first()
     best = next((i for i in range(len(formats)) if found[i]), 0)
