@@ -7,13 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import once
+
 #: Fixed date formats, in the order in which they are tried.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")
 
 
 def to_long(c: Column) -> Column:
     """A whole number from text or numbers ('3.0' is 3); null where there is none."""
-    return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
+    whole = c.cast("string").rlike(r"^\s*[+-]?\d{1,19}\s*$")  # a cast that fails costs far more than this
+    return F.when(whole, c.try_cast("bigint")).otherwise(c.try_cast("double").try_cast("bigint"))
 
 
 def to_double(c: Column) -> Column:
@@ -63,7 +66,8 @@ def parse_dates(df: DataFrame, column: str, mode: str = "coalesce", formats=DATE
     """Text to timestamps. mode 'coalesce': the first format that fits a row; 'column': one format for all rows, the
     first that parses any (other rows become null)."""
     if mode == "coalesce":
-        return df.withColumn(column, _parsed(F.col(column), list(formats)))
+        # once: filters on the result repeat the expression, and with it whatever the text is computed from.
+        return df.withColumn(column, once(F.col(column), lambda c: _parsed(c, list(formats))))
     tried = [_parsed(F.col(column), [f]) for f in formats]
     found = df.agg(*[F.count(t).alias(f"f{i}") for i, t in enumerate(tried)]).first()
     best = next((i for i in range(len(formats)) if found[i]), 0)
