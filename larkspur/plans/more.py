@@ -15,7 +15,6 @@ from larkspur.operators import training as TR
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
 from larkspur.plans.data import _MAP, _POP, _TRAIN, _split_sql, matrix
-from larkspur.plans.models import item_count
 from larkspur.plans.opsq import MODELS, models
 from larkspur.plans.ranking import TOP, TRUTH, VEC, items, recs, truth, users
 from larkspur.plans.registry import query
@@ -125,14 +124,6 @@ def u4(spark, d):
     return x.where("rating <= 2").select("user_id", "product_id").union(U.implicit_negatives(x, 10)).distinct()
 
 
-@query("u5_triplet_violations", "SELECT CAST(0 AS BIGINT) AS violations")
-def u5(spark, d):
-    every = matrix(spark, d)
-    m = every.where("is_positive = 1").select("u_idx", "i_idx")
-    neg = L.sample_negatives(m, item_count(every), per_pair=1)
-    return neg.join(m.select("u_idx", F.col("i_idx").alias("j_idx")), ["u_idx", "j_idx"], "left_semi").agg(F.count("*").alias("violations"))
-
-
 @query("q5_heaviest_users", f"WITH {V.INTER} SELECT user_id, count(*) AS n FROM inter GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
 def q5(spark, d):
     return V.interactions(spark, d).groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
@@ -301,8 +292,17 @@ def s15(spark, d):
     return U.temporal_split(V.clean_interactions(spark, d)).where("split = 'train' AND is_positive = 1").select("user_id", "product_id")
 
 
-@query("st_late_rows", f"WITH {V.REQUESTS} SELECT count(*) AS n, max(ts) AS latest FROM requests")
+@query(
+    "st_late_rows",
+    f"""WITH {V.REQUESTS}, b AS (SELECT event_id // 1000 AS batch, max(ts) AS latest FROM requests GROUP BY 1),
+w AS (SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 DAY AS mark FROM b)
+SELECT date_trunc('day', ts) AS window_start, count(*) AS n, CAST(sum(CASE WHEN ts < mark THEN 1 ELSE 0 END) AS BIGINT) AS late FROM requests JOIN w ON batch = event_id // 1000 GROUP BY 1""",
+)
 def late(spark, d):
-    return V.requests(spark, d).agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
-
-
+    """If requests arrived in batches of a thousand by id, and the watermark were ten days behind the latest before: how
+    many rows of each day a stream would drop."""
+    rows = V.requests(spark, d).withColumn("batch", F.floor(F.col("event_id") / 1000).cast("long"))
+    latest = rows.groupBy("batch").agg(F.max("ts").alias("latest"))  # a row a batch
+    mark = F.max("latest").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)) - F.expr("INTERVAL 10 DAY")
+    met = rows.join(latest.select("batch", mark.alias("mark")), "batch")
+    return met.groupBy(F.date_trunc("day", "ts").alias("window_start")).agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("mark")).alias("late"))
