@@ -431,6 +431,24 @@ def preferences(df: DataFrame, by: str, attribute: str, n: int = 3) -> DataFrame
 ADAPTIVE = ((2, (0.1, 0.6, 0.3)), (5, (0.3, 0.5, 0.2)), (10, (0.5, 0.35, 0.15)), (None, (0.6, 0.3, 0.1)))
 
 
+def attention_logits(query: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A vector for each signal, of which the product with a user's vector is the signal's logit: query maps user vectors
+    to the attention's dimensions, keys has a row for each signal."""
+    return keys @ query.T
+
+
+def attention_fusion(df: DataFrame, vec: str, logits: np.ndarray, temperature: float = 1.0, signals=("cf", "content", "popularity")) -> DataFrame:
+    """df with the signals' weights (array `attention`, a softmax over the logits of the user's vector) and the `score`
+    that they give."""
+    each = F.array(*[dot(F.col(vec), F.array(*map(F.lit, row.tolist()))) / temperature for row in logits])
+    out = df.withColumn("attention", each).withColumn("attention", F.transform("attention", lambda x: F.exp(x - F.array_max("attention"))))
+    out = out.withColumn("attention", F.transform("attention", lambda x: x / F.aggregate("attention", F.lit(0.0), lambda a, y: a + y)))
+    score = F.lit(0.0)
+    for k, name in enumerate(signals):
+        score = score + F.col("attention")[k] * F.col(name)
+    return out.withColumn("score", score)
+
+
 def adaptive_fusion(df: DataFrame, n: str, signals=("cf", "content", "popularity")) -> DataFrame:
     def mix(weights):
         return F.lit(weights[0]) * F.col(signals[0]) + F.lit(weights[1]) * F.col(signals[1]) + F.lit(weights[2]) * F.col(signals[2])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as X
@@ -261,6 +262,19 @@ def r21(spark, d):
     return _r6(R.adaptive_fusion(signals(spark, d).withColumn("n", F.col("user_id") % 13), "n").select("user_id", "item", "score"), "score")
 
 
+#: An attention over three signals in eight dimensions, of fixed waves as its trained numbers would be.
+_LOGITS = R.attention_logits(np.sin(np.arange(64)[:, None] + 2 * np.arange(8)[None, :]), np.cos(np.arange(3)[:, None] * np.arange(1, 9)[None, :]))
+_LOGIT_SQL = ", ".join(f"list_dot_product(u.vec, {[float(x) for x in row]}) / 0.5 AS l{k}" for k, row in enumerate(_LOGITS))
+
+
+@query("r21_attention_fusion", f"WITH {_SIGNALS}, l AS (SELECT sg.user_id, sg.item, sg.cf, sg.content, sg.popularity, {_LOGIT_SQL} FROM sg JOIN vec u ON u.id = sg.user_id), m AS (SELECT *, greatest(l0, l1, l2) AS m FROM l) SELECT user_id, item, round((exp(l0 - m) * cf + exp(l1 - m) * content + exp(l2 - m) * popularity) / (exp(l0 - m) + exp(l1 - m) + exp(l2 - m)), 6) AS score FROM m")
+def r21_attention(spark, d):
+    """Signals fused by weights that a softmax over the user's own vector gives."""
+    own = users(spark, d).select(F.col("q").alias("user_id"), F.col("qv").alias("user_vec"))
+    rows = signals(spark, d).select("user_id", "item", "cf", "content", "popularity").join(own, "user_id")
+    return _r6(R.attention_fusion(rows, "user_vec", _LOGITS, 0.5).select("user_id", "item", "score"), "score")
+
+
 @query("r20_popularity_scorer", f"WITH {V.PRODUCTS} SELECT product_id, round(0.7 * (ln(1 + num_sold) - min(ln(1 + num_sold)) OVER ()) / (max(ln(1 + num_sold)) OVER () - min(ln(1 + num_sold)) OVER ()) + 0.3 * coalesce(avg_star, 3) / 5, 6) AS score FROM products")
 def r20(spark, d):
     p = V.products(spark, d).withColumn("pop", F.log1p("num_sold"))
