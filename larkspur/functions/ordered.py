@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import held
 
 #: Rows of a range, on average: what one task sorts and sums.
 RANGE_ROWS, MOST_RANGES = 500_000, 4096
@@ -17,7 +18,7 @@ def running_totals(df: DataFrame, key: str, sums: list[str], buckets: int | None
     as many numbers; each range is summed in order, and a range starts from the totals of those before it. Few rows are
     one range.
     """
-    df = df.persist()
+    df = held(df)
     buckets = buckets or min(max(-(-df.count() // RANGE_ROWS), 1), MOST_RANGES)
     if buckets == 1:
         inside = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

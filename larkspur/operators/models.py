@@ -128,7 +128,7 @@ def sample_negatives(pairs: DataFrame, n_items: int, per_pair: int = 4, draws: i
 def popularity_negatives(pairs: DataFrame, popularity: DataFrame, per_pair: int = 1, pool: int = 200, seed: int = 0) -> DataFrame:
     """Negatives from the `pool` most popular items with probability by count: the smallest exponential keys -ln(u) / n.
     A pair's keys are made and cut within its row, of the pool's items that its user has no positive with."""
-    top = popularity.orderBy(F.desc("n"), "i_idx").limit(pool).persist()
+    top = Scratch(popularity.sparkSession, "popular").write(popularity.orderBy(F.desc("n"), "i_idx").limit(pool), "pool")
     users = pairs.select("u_idx").distinct()
     free = unseen_of(top, users, pairs, "u_idx", "i_idx")
     counts = top.agg(F.map_from_entries(F.collect_list(F.struct("i_idx", "n"))).alias("_counts"))

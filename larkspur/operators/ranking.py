@@ -192,10 +192,12 @@ def popular_unseen(interactions: DataFrame, k: int, pool: int, users: DataFrame
     A pool of the most popular items serves most users. Those whom it leaves short have a long history; they get a
     pool longer than the longest of those histories, so every user's list is exact.
     """
-    counts = interactions.groupBy("product_id").agg(F.count("*").alias("n"))
-    top = lambda size: counts.orderBy(F.desc("n"), "product_id").limit(size).persist()
+    scratch = Scratch(interactions.sparkSession, "popular")
+    interactions = scratch.write(interactions.select("user_id", "product_id"), "pairs")
+    counts = scratch.write(interactions.groupBy("product_id").agg(F.count("*").alias("n")), "counts")
+    top = lambda size, name: scratch.write(counts.orderBy(F.desc("n"), "product_id").limit(size), name)
     users = (users if users is not None else interactions).select("user_id").distinct()
-    popular = top(pool)
+    popular = top(pool, "pool")
     free = unseen_of(popular, users, interactions)
     enough = free.where(F.size("free") >= k)
     if popular.count() < pool:  # the pool is all there is
@@ -204,7 +206,7 @@ def popular_unseen(interactions: DataFrame, k: int, pool: int, users: DataFrame
         short = free.where(F.size("free") < k).select("user_id")
         longest = interactions.join(short, "user_id", "left_semi").groupBy("user_id").agg(F.count_distinct("product_id").alias("n")).agg(F.max("n")).first()[0]
         if longest is not None:
-            popular = top(longest + k)
+            popular = top(longest + k, "longer")
             enough = enough.unionByName(unseen_of(popular, short, interactions))
     listed = enough.select("user_id", F.posexplode(F.slice("free", 1, k)).alias("rank", "product_id"))
     return listed.join(F.broadcast(popular), "product_id").select("user_id", "product_id", "n", (F.col("rank") + 1).alias("rank"))
@@ -307,7 +309,7 @@ def random_lists(users: DataFrame, items: DataFrame, k: int, block: int = 4096)
 
 def probes_for(queries: DataFrame, items: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
     """The least number of probes (10 or more, doubling) that reaches a recall against brute force on these queries."""
-    exact = knn_matrix(queries, items, k, exclude_self=True).persist()
+    exact = Scratch(queries.sparkSession, "probes").write(knn_matrix(queries, items, k, exclude_self=True), "exact")
     probes = 10
     while probes < len(centres) and recall_of(ivf_search(queries, index, centres, k, probes), exact) < recall:
         probes *= 2

@@ -20,6 +20,7 @@ from larkspur.plans.opsq import PAIRS, pairs
 from larkspur.plans.ranking import _FINAL, _HITS, _SIGNALS, TRUTH, VEC, items, recs, signals, truth, users
 from larkspur.plans.registry import query
 from larkspur.session import table
+from larkspur.sources.shared import held
 
 
 @query("a13_alpha_rules", f"WITH {_MAP}, s AS (SELECT count(*) / (count(DISTINCT u_idx) * count(DISTINCT i_idx)) AS density, avg(conf) AS mean FROM mx) SELECT round(density, 9) AS density, CASE WHEN density < 0.001 THEN 40 WHEN density < 0.01 THEN 20 ELSE 10 END AS by_density, CASE WHEN mean < 2 THEN 5 WHEN mean < 4 THEN 10 ELSE 40 END AS by_mean FROM s")
@@ -194,7 +195,7 @@ def l2(spark, d):
 
 def _train_test(spark, d):
     x = U.temporal_split(V.clean_interactions(spark, d))
-    x = x.join(U.dense_index(x, "user_id", "u_idx"), "user_id").join(U.dense_index(x, "product_id", "i_idx"), "product_id").withColumn("value", F.col("rating") + F.col("quality")).cache()
+    x = held(x.join(U.dense_index(x, "user_id", "u_idx"), "user_id").join(U.dense_index(x, "product_id", "i_idx"), "product_id").withColumn("value", F.col("rating") + F.col("quality")))
     train = x.where("split = 'train' AND is_positive = 1").select("u_idx", "i_idx", "value", "rating")
     return train, x.where("split = 'test'").select(F.col("u_idx").alias("user_id"), F.col("i_idx").alias("item"))
 

@@ -19,7 +19,7 @@ from larkspur.plans.opsq import MODELS, models
 from larkspur.plans.ranking import TOP, TRUTH, VEC, items, recs, truth, users
 from larkspur.plans.registry import query
 from larkspur.session import table
-from larkspur.sources.shared import Scratch
+from larkspur.sources.shared import Scratch, held
 
 
 def _r6(df, *names):
@@ -191,7 +191,7 @@ def r17(spark, d):
     """An inverted-file index of all vectors, probed in the cells that give the wanted recall on these queries."""
     q, every = users(spark, d), items(spark, d)
     index, centres = R.ivf_index(every)
-    index = index.cache()
+    index = held(index)
     probes = R.probes_for(q, every, index, centres, 10, 0.9)
     return R.ivf_search(q, index, centres, 10, probes)
 

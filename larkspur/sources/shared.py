@@ -45,3 +45,9 @@ class Scratch:
     def drop(self, name: str) -> None:
         where, fs = hadoop_path(self.spark, f"{self.folder}/{name}")
         fs.delete(where, True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df written once and read back, for what is read more than once; unlike a cache it needs no release and survives a
+    lost executor."""
+    return Scratch(df.sparkSession, "held").write(df, "rows")
