@@ -79,9 +79,15 @@ def in_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
 
 
 def validate(df: DataFrame, user="user_id", item="product_id", rating="rating", date="ts") -> DataFrame:
-    """Coerce, parse, drop incomplete rows and ratings outside 1 to 5."""
-    out = parse_dates(coerce(df, [user, item], [rating]), date)
-    return in_range(out.dropna(subset=[user, item, rating, date]), rating, 1, 5)
+    """Coerce, parse, drop incomplete rows and ratings outside 1 to 5.
+
+    The parsed columns come out of an array of one struct, which filters aren't pushed through: each text is parsed once,
+    and not again by the filters.
+    """
+    parsed = {user: to_long(F.col(user)), item: to_long(F.col(item)), rating: to_double(F.col(rating)), date: once(F.col(date), lambda c: _parsed(c, list(DATE_FORMATS)))}
+    rest = [c for c in df.columns if c not in parsed]
+    out = df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in parsed.items()])))).select(*df.columns)
+    return in_range(out.dropna(subset=list(parsed)), rating, 1, 5)
 
 
 def dedup_latest(df: DataFrame, keys: list[str], date: str, rating: str, tie: str) -> DataFrame:
