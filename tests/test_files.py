@@ -73,3 +73,12 @@ def test_reports(spark, tmp_path):
     assert [r.id for r in spark.read.json(f"{tmp_path}/r").collect()] == [1, 2, 3]
     assert [r.id for r in spark.read.option("header", True).csv(f"{tmp_path}/e").collect()] == ["2", "3", "1"]
     assert writers.report_markdown(df.orderBy("id")).splitlines()[2] == "| 1 | a | 30 |"
+
+
+def test_whole_numbers(spark):
+    """Numbers above 2^53 stay as they are; texts that are no whole number are cut or null."""
+    from larkspur.operators.cleaning import to_long
+
+    want = {"9007199254740993": 9007199254740993, " -12 ": -12, "3.0": 3, "9223372036854775807": 9223372036854775807, "92233720368547758070": None, "x": None, "": None, "1e3": 1000}
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", to_long(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == want
