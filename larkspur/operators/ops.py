@@ -118,9 +118,12 @@ def changed_parts(old: DataFrame, new: DataFrame, part: str) -> DataFrame:
 def deployment_history(events: DataFrame, key: str, ts: str, tie: str, model: str = "model_id", most: int = 100) -> DataFrame:
     """The newest `most` deploy and rollback events of each key with `previous`, the model before, and `age`, 1 for the
     newest: its model is the one deployed."""
-    w = Window.partitionBy(key)
-    out = events.withColumns({"previous": F.lag(model).over(w.orderBy(ts, tie)), "age": F.row_number().over(w.orderBy(F.desc(ts), F.desc(tie)))})
-    return out.where(F.col("age") <= most)
+    newest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
+    # One more than asked for, as the oldest has a model before it too; the limit goes below the shuffle.
+    kept = events.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= most + 1)
+    previous = F.lead(model).over(Window.partitionBy(key).orderBy("age"))
+    columns = [*events.columns, "previous", "age"]
+    return kept.withColumn("previous", previous).where(F.col("age") <= most).select(*columns)
 
 
 def rollback(history: DataFrame, key: str, model: str = "model_id") -> DataFrame:
