@@ -234,9 +234,12 @@ def l12(spark, d):
 @query("l5_content_blend")
 def l5(spark, d):
     """ALS scores blended with content similarity for items that have vectors."""
-    m = matrix(spark, d).where("is_positive = 1")
+    m = held(matrix(spark, d).where("is_positive = 1").select("u_idx", "i_idx", "product_id", "conf"))
     als = L.fit_als(m.select("u_idx", "i_idx", F.col("conf").alias("value")), rank=8, maxIter=3)
     vec = V.vectors(spark, d).select(F.col("id").alias("product_id"), X.unit(F.col("vec")).alias("vec"))
-    with_vec = m.select("u_idx", "i_idx", "product_id").join(vec, "product_id")
-    profile = X.pooled(with_vec.where("u_idx % 100 = 0"), "u_idx", "vec")
-    return L.content_blend(als.userFactors, als.itemFactors, profile.select(F.col("u_idx").alias("id"), "vec"), with_vec.groupBy(F.col("i_idx").alias("id")).agg(F.first("vec").alias("vec")), 10)
+    # An item's vector is met once, not once a row; only the asked users' rows meet vectors.
+    of_item = held(m.select(F.col("i_idx").alias("id"), "product_id").distinct().join(vec, "product_id").select("id", "vec"))
+    asked = m.where("u_idx % 100 = 0").select("u_idx", F.col("i_idx").alias("id")).join(of_item, "id")
+    profile = X.pooled(asked, "u_idx", "vec").select(F.col("u_idx").alias("id"), "vec")
+    users = als.userFactors.where("id % 100 = 0")
+    return L.content_blend(users, als.itemFactors, profile, of_item, 10)
