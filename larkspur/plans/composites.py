@@ -237,9 +237,9 @@ def l5(spark, d):
     m = held(matrix(spark, d).where("is_positive = 1").select("u_idx", "i_idx", "product_id", "conf"))
     als = L.fit_als(m.select("u_idx", "i_idx", F.col("conf").alias("value")), rank=8, maxIter=3)
     vec = V.vectors(spark, d).select(F.col("id").alias("product_id"), X.unit(F.col("vec")).alias("vec"))
-    # An item's vector is met once, not once a row; only the asked users' rows meet vectors.
+    # An item's vector is met once, not once a row, and only by rows of items that have one.
     of_item = held(m.select(F.col("i_idx").alias("id"), "product_id").distinct().join(vec, "product_id").select("id", "vec"))
-    asked = m.where("u_idx % 100 = 0").select("u_idx", F.col("i_idx").alias("id")).join(of_item, "id")
-    profile = X.pooled(asked, "u_idx", "vec").select(F.col("u_idx").alias("id"), "vec")
-    users = als.userFactors.where("id % 100 = 0")
-    return L.content_blend(users, als.itemFactors, profile, of_item, 10)
+    rows = m.select("u_idx", F.col("i_idx").alias("id")).join(of_item, "id")
+    # Written, as the factors of users with a profile are read once for each block of items.
+    profile = held(X.pooled(rows, "u_idx", "vec").select(F.col("u_idx").alias("id"), "vec"))
+    return L.content_blend(als.userFactors, als.itemFactors, profile, of_item, 10)
