@@ -15,7 +15,7 @@ from larkspur.operators import stats as S
 from larkspur.operators import training as TR
 from larkspur.operators import users_items as U
 from larkspur.plans import views as V
-from larkspur.plans.data import _MAP, matrix
+from larkspur.plans.data import _MAP, indexed, matrix
 from larkspur.plans.opsq import PAIRS, pairs
 from larkspur.plans.ranking import _FINAL, _HITS, _SIGNALS, TRUTH, VEC, items, recs, signals, truth, users
 from larkspur.plans.registry import query
@@ -204,9 +204,11 @@ def l2(spark, d):
 
 
 def _train_test(spark, d):
-    x = U.temporal_split(V.clean_interactions(spark, d))
-    x = held(x.join(U.dense_index(x, "user_id", "u_idx"), "user_id").join(U.dense_index(x, "product_id", "i_idx"), "product_id").withColumn("value", F.col("rating") + F.col("quality")))
-    train = x.where("split = 'train' AND is_positive = 1").select("u_idx", "i_idx", "value", "rating")
+    # Split and indices read written rows, and only what is trained on or tested meets the indices.
+    x, users, items = indexed(spark, d, "ts", "rid")
+    used = U.temporal_split(x).where("split = 'test' OR split = 'train' AND is_positive = 1").select("user_id", "product_id", "split", "rating", (F.col("rating") + F.col("quality")).alias("value"))
+    x = held(used.join(users, "user_id").join(items, "product_id").select("u_idx", "i_idx", "value", "rating", "split"))
+    train = x.where("split = 'train'").select("u_idx", "i_idx", "value", "rating")
     return train, x.where("split = 'test'").select(F.col("u_idx").alias("user_id"), F.col("i_idx").alias("item"))
 
 
